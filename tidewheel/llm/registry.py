@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from .chat import OP2_SQL, op2_chat_format
 from .mixing import OP5_SQL, op5_source_mix
+from .sentencepieces import op3_sentencepiece
 
 QUERIES = {
     "op2_chat_format": op2_chat_format,
+    "op3_sentencepiece": op3_sentencepiece,
     "op5_source_mix": op5_source_mix,
 }
 ORACLE_SQL = {
