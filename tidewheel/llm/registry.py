@@ -5,11 +5,13 @@ from __future__ import annotations
 from .chat import OP2_SQL, op2_chat_format
 from .mixing import OP5_SQL, op5_source_mix
 from .sentencepieces import op3_sentencepiece
+from .syncmers import op7_syncmer_fingerprint
 
 QUERIES = {
     "op2_chat_format": op2_chat_format,
     "op3_sentencepiece": op3_sentencepiece,
     "op5_source_mix": op5_source_mix,
+    "op7_syncmer_fingerprint": op7_syncmer_fingerprint,
 }
 ORACLE_SQL = {
     "op2_chat_format": OP2_SQL,
