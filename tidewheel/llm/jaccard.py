@@ -67,16 +67,23 @@ def size_classes(num: int, den: int) -> tuple[list[int], list[int], list[int], l
     low, high = 1, max(1, (num + den - 1) // (2 * (den - num)))
     while low < 1 << 44:
         k = 2 * high * (den - num) // (den + num)
-        best, e = 2.0, 1
-        for x in range(1, (3 * k) // 2 + 4) if k else ():
-            # chance that a set of the class's least size has more than x empty parts, taken as normal
+        def over(x: int, k: int = k, low: int = low) -> float:
+            """Chance that a set of the class's least size has more than x empty parts, taken as normal."""
             m = k + 1 + x
             p = (1 - 1 / m) ** low
-            over = 0.5 * math.erfc((x + 0.5 - m * p) / math.sqrt(2 * m * p * (1 - p)))
-            if over < best:
-                best, e = over, x
-            if over < SPARE:
-                break
+            return 0.5 * math.erfc((x + 0.5 - m * p) / math.sqrt(2 * m * p * (1 - p)))
+
+        e, most = 1, (3 * k) // 2 + 3
+        if 0 < k <= 64:
+            chances = [over(x) for x in range(1, most + 1)]
+            e = next((x for x, c in enumerate(chances, 1) if c < SPARE), chances.index(min(chances)) + 1)
+        elif k:  # large sets: the chance falls from the mean on, far below SPARE
+            below, e = 0, 1
+            while e < most and over(e) >= SPARE:
+                below, e = e, 2 * e
+            while e - below > 1:
+                mid = (below + e) // 2
+                below, e = (mid, e) if over(mid) >= SPARE else (below, mid)
         first.append(low)
         far.append(k)
         parts.append(k + 1 + e)
