@@ -61,7 +61,7 @@ def mix(
     bucket_rows: int = 20_000,
     quality_weight: Column | None = None,
 ) -> DataFrame:
-    """doc_id, size, source_size, target, taken for every row of docs(doc_id, text, source).
+    """doc_id, size, source_size, target, taken, source for every row of docs(doc_id, text, source).
 
     Nulls: a null text has size 0 and takes nothing, a null source is one source and comes last, a
     null doc_id is an id like any other. Rows with equal keys go by doc_id, then size; rows equal
@@ -89,11 +89,11 @@ def mix(
     ranked = dealt.withColumn("prefix", F.coalesce(F.sum("size").over(inside), F.lit(0)))
     ranked = ranked.join(small_side(sums, 100), F.col("source").eqNullSafe(F.col("s")) & (F.col("bucket") == F.col("b")))
     part = F.greatest(F.lit(0).cast("long"), F.least(F.col("size"), F.col("rest") - F.col("offset") - F.col("prefix")))
-    return ranked.select("doc_id", "size", "source_size", "target", (F.col("epochs") * F.col("size") + part).alias("taken"))
+    return ranked.select("doc_id", "size", "source_size", "target", (F.col("epochs") * F.col("size") + part).alias("taken"), "source")
 
 
 def op5_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mix(read_table(spark, sf_dir, "documents"))
+    return mix(read_table(spark, sf_dir, "documents")).drop("source")
 
 
 OP5_SQL = r"""
