@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .chat import OP2_SQL, op2_chat_format
+from .crosspolytope import op4_cross_polytope
 from .jaccard import op1_ngram_jaccard
 from .mixing import OP5_SQL, op5_source_mix
 from .quality import op10_quality
@@ -15,6 +16,7 @@ QUERIES = {
     "op1_ngram_jaccard": op1_ngram_jaccard,
     "op2_chat_format": op2_chat_format,
     "op3_sentencepiece": op3_sentencepiece,
+    "op4_cross_polytope": op4_cross_polytope,
     "op5_source_mix": op5_source_mix,
     "op7_syncmer_fingerprint": op7_syncmer_fingerprint,
     "op8_substring_dedup": op8_substring_dedup,
