@@ -5,6 +5,7 @@ from __future__ import annotations
 from .chat import OP2_SQL, op2_chat_format
 from .crosspolytope import op4_cross_polytope
 from .jaccard import op1_ngram_jaccard
+from .licences import op6_licence_scan
 from .mixing import OP5_SQL, op5_source_mix
 from .quality import op10_quality
 from .repeats import OP8_SQL, op8_substring_dedup
@@ -18,6 +19,7 @@ QUERIES = {
     "op3_sentencepiece": op3_sentencepiece,
     "op4_cross_polytope": op4_cross_polytope,
     "op5_source_mix": op5_source_mix,
+    "op6_licence_scan": op6_licence_scan,
     "op7_syncmer_fingerprint": op7_syncmer_fingerprint,
     "op8_substring_dedup": op8_substring_dedup,
     "op9_warc": op9_warc,
