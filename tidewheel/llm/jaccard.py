@@ -26,7 +26,7 @@ from .scratch import Scratch, partitions, read_table, small_side
 from .textblocks import Words, blocks, mix, ngrams, text_array
 
 #: Bound on the n-grams on either side of a search; larger classes are cut in blocks and searched block against block.
-CELL_NGRAMS = 1 << 20
+CELL_NGRAMS = 1 << 21
 #: Weight of long lists in DivideSkip's rule for how many lists are long.
 MU = 0.0085
 #: Parts are added until a set of a class's least size has too many empty ones with this chance at most, if that can be.
@@ -276,10 +276,13 @@ def _links(members: DataFrame, docs: DataFrame, n: int, lower: bool, num: int, d
 
     def load(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            keep, sets = [], []
+            keep, sets, seen = [], [], set()
+            ids = b.column(0).to_pylist()
             h1, h2 = b.column(3).to_pylist(), b.column(4).to_pylist()
             for i, s in enumerate(ngram_sets(b.column(1), n, lower)):
-                if set_hash(s) == (h1[i], h2[i]):  # rows may share an id and differ in text
+                # rows may share an id and differ in text; repeated rows go on once
+                if set_hash(s) == (h1[i], h2[i]) and (ids[i], h1[i], h2[i]) not in seen:
+                    seen.add((ids[i], h1[i], h2[i]))
                     keep.append(i)
                     sets.append(s.tobytes())
             at = pa.array(keep, pa.int64())
@@ -287,7 +290,7 @@ def _links(members: DataFrame, docs: DataFrame, n: int, lower: bool, num: int, d
 
     texts = docs.withColumnsRenamed({"doc_id": "d"}).join(small_side(members, 48), F.col("d").eqNullSafe(F.col("doc_id")))
     sets = scratch.save(texts.select("d", "text", "class", "h1", "h2").mapInArrow(load, "class long, doc_id long, ngrams binary"), "sets")
-    sets = sets.dropDuplicates(["class", "doc_id"]).withColumn("size", F.octet_length("ngrams") / 8)
+    sets = sets.withColumn("size", F.octet_length("ngrams") / 8)
     sums = sets.groupBy(F.col("class").alias("c")).agg(F.sum("size").alias("size"))
     sums = sums.withColumn("blocks", F.ceil(F.col("size") / CELL_NGRAMS).cast("int"))
     sums = scratch.save(sums, "class-sizes")
@@ -302,9 +305,11 @@ def _links(members: DataFrame, docs: DataFrame, n: int, lower: bool, num: int, d
 
     def cell(table: pa.Table) -> pa.Table:
         table = table.sort_by("doc_id")
-        ids = table.column("doc_id").to_pylist()
-        sets = [np.frombuffer(x, dtype=np.uint64) for x in table.column("ngrams").to_pylist()]
-        links = search(sets, table.column("side").to_numpy(), num, den)
+        # repeated rows of other batches may meet here
+        told = dict.fromkeys(zip(*[table.column(c).to_pylist() for c in ("doc_id", "side", "ngrams")], strict=True))
+        ids = [i for i, _, _ in told]
+        sets = [np.frombuffer(x, dtype=np.uint64) for _, _, x in told]
+        links = search(sets, np.array([side for _, side, _ in told]), num, den)
         return pa.table({"a": pa.array([ids[i] for i, _ in links], pa.int64()), "b": pa.array([ids[j] for _, j in links], pa.int64())})
 
     return one.unionAll(many).groupBy("c", "i", "j").applyInArrow(cell, "a long, b long")
