@@ -3,7 +3,8 @@ r"""N-gram Jaccard join: documents whose sets of word n-grams are alike, and the
 Equal sets are first brought together by a hash of 128 bits. Then, for each size class, the space
 of n-gram hashes is cut in more parts than two linked sets can differ in, so that linked sets agree
 in a whole part; documents that share the hash of a part are candidates, and components of
-candidates are classes. Inside a class links are found by T-occurrence search as DivideSkip does
+candidates are classes. Sets too few of whose n-grams occur in any other are left out. Inside a
+class links are found by T-occurrence search as DivideSkip does
 it: the short inverted lists of a query are merged on a heap with skips, the long ones are probed
 by binary search, and documents that reach the required overlap are links.
 """
@@ -184,6 +185,82 @@ def _candidates(docs: DataFrame, n: int, lower: bool, num: int, den: int, total:
     return docs.mapInArrow(send, schema).repartition(buckets, "bucket").mapInArrow(meet, "a long, b long")
 
 
+def _within_reach(sets: DataFrame, num: int, den: int, total: int) -> DataFrame:
+    """The rows of sets(class, doc_id, ngrams) that may link: a link shares num/den of a set's n-grams at least, so
+    sets with fewer n-grams that another set has too link with nothing.
+
+    An n-gram that two sets of an Arrow batch have is settled there and goes out once, so a very common
+    one brings an entry for each batch. Rows of one doc_id are counted together, which only keeps more."""
+    buckets = max(partitions(sets.sparkSession), total // 1_500_000)
+    names, kinds = ["bucket", "grams", "docs", "counts"], (pa.int32(), pa.binary(), pa.binary(), pa.binary())
+    nobody = -1
+
+    def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Runs of rows with CELL_NGRAMS n-grams or little more."""
+        for b in batches:
+            so_far = np.cumsum([len(x.as_buffer()) // 8 for x in b.column(1)], dtype=np.int64)
+            cuts = np.flatnonzero(np.diff(so_far // CELL_NGRAMS)) + 1
+            for x, y in zip([0, *cuts.tolist()], [*cuts.tolist(), b.num_rows], strict=True):
+                if x < y:
+                    yield b.slice(x, y - x)
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in pieces(batches):
+            own = [np.frombuffer(x, dtype=np.uint64) for x in b.column(1).to_pylist()]
+            ids = b.column(0).to_numpy()
+            owner = np.repeat(np.arange(len(own)), [len(x) for x in own])
+            grams, at, times = np.unique(np.concatenate(own), return_inverse=True, return_counts=True)
+            known = np.bincount(owner[times[at] > 1], minlength=len(own))
+            rows = [(-1 - int(ids[0] % buckets), b"", ids[known > 0].tobytes(), known[known > 0].tobytes())] if known.any() else []
+            whose = np.full(len(grams), nobody, dtype=np.int64)
+            whose[at[times[at] == 1]] = owner[times[at] == 1]
+            to = (mix(grams) % np.uint64(buckets)).astype(np.int64)
+            order = np.lexsort((whose, to))
+            grams, whose, to = grams[order], whose[order], to[order]
+            cuts = np.searchsorted(to, np.arange(buckets + 1))
+            for k, (x, y) in enumerate(zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)):
+                if x < y:
+                    told, counts = np.unique(whose[x:y], return_counts=True)
+                    # ids may be any number, so the count of n-grams of nobody goes first, be it 0
+                    if told[0] == nobody:
+                        told = told[1:]
+                    else:
+                        counts = np.concatenate(([0], counts))
+                    rows.append((k, grams[x:y].tobytes(), ids[told].tobytes(), counts.astype(np.int64).tobytes()))
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names)
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        grams, docs, counts, free, out = [], [], [], [], []
+        for b in batches:
+            for k, g, d, c in zip(*[x.to_pylist() for x in b.columns], strict=True):
+                d, c = np.frombuffer(d, np.int64), np.frombuffer(c, np.int64)
+                if k < 0:
+                    out.append((d, c))
+                    continue
+                grams.append(np.frombuffer(g, np.uint64))
+                docs.append(np.repeat(d, c[1:]))
+                free.append(int(c[0]))
+        if grams:
+            _, at, times = np.unique(np.concatenate(grams), return_inverse=True, return_counts=True)
+            start = 0
+            shared = times > 1
+            for g, n in zip(grams, free, strict=True):  # what two sets of a batch have is shared in any case
+                shared[at[start : start + n]] = True
+                start += len(g)
+            start = 0
+            for g, d, n in zip(grams, docs, free, strict=True):
+                told, number = np.unique(d[shared[at[start + n : start + len(g)]]], return_counts=True)
+                out.append((told, number))
+                start += len(g)
+        for d, c in out:
+            yield pa.RecordBatch.from_arrays([pa.array(d), pa.array(c.astype(np.int64))], ["d", "shared"])
+
+    told = sets.select("doc_id", "ngrams").mapInArrow(send, "bucket int, grams binary, docs binary, counts binary")
+    told = told.repartition(buckets, "bucket").mapInArrow(meet, "d long, shared long")
+    told = told.groupBy("d").agg(F.sum("shared").alias("shared"))
+    return sets.join(told, (F.col("doc_id") == F.col("d")) & (F.col("shared") * den * 8 >= F.octet_length("ngrams") * num), "left_semi")
+
+
 def heap_merge(lists: list[list[int]], need: int) -> list[tuple[int, int]]:
     """(document, count) of the documents in at least ``need`` of the sorted lists; lists that can't matter skip ahead."""
     heap = [(x[0], k) for k, x in enumerate(lists) if x]
@@ -290,6 +367,9 @@ def _links(members: DataFrame, docs: DataFrame, n: int, lower: bool, num: int, d
 
     texts = docs.withColumnsRenamed({"doc_id": "d"}).join(small_side(members, 48), F.col("d").eqNullSafe(F.col("doc_id")))
     sets = scratch.save(texts.select("d", "text", "class", "h1", "h2").mapInArrow(load, "class long, doc_id long, ngrams binary"), "sets")
+    total = sets.agg(F.coalesce(F.sum(F.octet_length("ngrams")), F.lit(0))).first()[0] // 8
+    sets = scratch.save(_within_reach(sets, num, den, total), "reach")
+    scratch.drop("sets")
     sets = sets.withColumn("size", F.octet_length("ngrams") / 8)
     sums = sets.groupBy(F.col("class").alias("c")).agg(F.sum("size").alias("size"))
     sums = sums.withColumn("blocks", F.ceil(F.col("size") / CELL_NGRAMS).cast("int"))
@@ -339,7 +419,7 @@ def jaccard_components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 10
     members = scratch.save(members.select(F.col("first").alias("doc_id"), "h1", "h2", F.col("root").alias("class")), "members")
     scratch.drop("candidates")
     links = scratch.save(_links(members, docs, n, lower, num, den, scratch), "links")
-    scratch.drop("sets")
+    scratch.drop("reach")
     roots = components(links, scratch, "components")
     # documents alone in their group need no look-up of it
     reached = groups.filter("copies > 1").select(F.col("h1").alias("g1"), F.col("h2").alias("g2"), "first")
