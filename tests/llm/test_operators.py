@@ -123,6 +123,24 @@ def test_licences_are_named_and_ordinary_text_is_left_alone(spark):
     assert {(r.doc_id, r.paragraph, r.family) for r in got} == {(52, 1, "apache-2.0"), (53, 0, "mit")}
 
 
+def prose(n, seed):
+    rnd = random.Random(seed)
+    return " ".join(rnd.choice("the river runs to sea and old stone bridge was seen by many people in winter when water is high".split()) for _ in range(n))
+
+
+def test_licences_inside_long_and_wrapped_lines_are_found(spark):
+    """A statement in a line of any length, over a line break, and two of them far apart in one line."""
+    apache, gpl = "Licensed under the Apache License, Version 2.0.", "This work is licensed under the GNU General Public License, version 3."
+    long = [(100 + n, f"{prose(n // 2, n)} {apache} {prose(n - n // 2, n + 1)}", "a") for n in (20, 40, 80, 160, 400)]
+    wrapped = (200, f"{prose(60, 2)} This work is licensed under the GNU\nGeneral Public License, version 3. {prose(60, 3)}", "a")
+    two = (300, f"{prose(50, 4)} {apache} {prose(70, 5)} {gpl} {prose(50, 6)}", "a")
+    plain = [(i, prose(20 + 5 * i, 1000 + i), "a") for i in range(40)]
+    got = licences.scan(make_docs(spark, [*plain, *long, wrapped, two, two])).filter("family <> 'unknown'").collect()
+    want = [(r[0], 0, "apache-2.0") for r in long] + [(200, 0, "gpl")] + [(300, 0, "apache-2.0"), (300, 0, "gpl")] * 2
+    assert sorted((r.doc_id, r.paragraph, r.family) for r in got) == sorted(want)
+
+
+
 def test_mix_meets_targets(spark):
     docs = make_docs(spark, sample_texts(11))
     got = mixing.mix(docs)
