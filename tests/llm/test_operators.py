@@ -140,6 +140,16 @@ def test_licences_inside_long_and_wrapped_lines_are_found(spark):
     assert sorted((r.doc_id, r.paragraph, r.family) for r in got) == sorted(want)
 
 
+def test_unknown_licences_are_bounded_over_all_lines(spark):
+    """At most a thousandth of the lines that no template confirms are unknown, lines with licence words among them."""
+    rows = [(i, prose(12, i), "a") for i in range(2500)]
+    rows += [(5000 + i, f"Licensed under the Agency License, number {i}.", "a") for i in range(300)]
+    rows += [(9000, "Released under the MIT License.", "a")]
+    got = licences.scan(make_docs(spark, rows)).collect()
+    assert [r.doc_id for r in got if r.family != "unknown"] == [9000]
+    assert sum(r.family == "unknown" for r in got) <= 2.8
+    assert licences.edge({9: 3, 5: 2, 1: 4}, 10, 5) == 0.5 and licences.edge({9: 3, 5: 2}, 10, 2) == 1.0
+
 
 def test_mix_meets_targets(spark):
     docs = make_docs(spark, sample_texts(11))
