@@ -40,10 +40,11 @@ def keep_one_of_alike(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     Of rows equal in id and text one stays. Rows without an id stay, as no id can name them;
     empty texts link with nothing and stay.
     """
-    found = jaccard.jaccard_components(docs, n=5, num=80, den=100)
-    gone = found.filter(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("_gone")).distinct()
+    found = jaccard.jaccard_components(docs, n=5, num=80, den=100, with_text_hash=True)
+    gone = found.filter(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("_gone"), F.col("text_hash").alias("_hash")).distinct()
     gone = Scratch(spark, "alike").save(gone, "gone")
-    kept = docs.join(small_side(gone, 16), docs["doc_id"] == F.col("_gone"), "left_anti")
+    # rows may share an id and differ in text: only the text that has a like one goes
+    kept = docs.join(small_side(gone, 24), (docs["doc_id"] == F.col("_gone")) & (F.xxhash64(docs["text"].cast("string")) == F.col("_hash")), "left_anti")
     twice = docs.groupBy("doc_id", F.xxhash64("text")).count().filter(F.col("count") > 1)
     return kept.dropDuplicates(["doc_id", "text"]) if twice.head(1) else kept
 

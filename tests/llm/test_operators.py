@@ -59,6 +59,22 @@ def test_jaccard_components(spark):
     assert {(r.doc_id, r.n_shingles, r.component_id) for r in got} == {(i, len(sets[i]), root[i]) for i in sets}
 
 
+def test_jaccard_links_null_and_repeated_ids_by_their_sets(spark):
+    """A null id links two texts; the second text of an id keeps its own component, and stays in the pipeline."""
+    import corpus_pipeline
+
+    w = [f"w{i}" for i in range(100)]
+    far = " ".join(f"x{i}" for i in range(100))
+    texts = [" ".join(w), " ".join([*w[:94], *"abcdef"]), " ".join([*w[:88], *"ghijkl", *"abcdef"])]
+    rows = [(5, texts[0], "a"), (None, texts[1], "a"), (9, texts[2], "a"), (9, far, "a"), (None, far + " y", "a"), (None, None, "a"), (None, "alone here", "a")]
+    got = jaccard.jaccard_components(make_docs(spark, rows), n=5, num=80, den=100).collect()
+    key = lambda r: tuple(str(x) for x in r)
+    want = [(5, 96, 5), (None, 96, 5), (9, 96, 5), (9, 96, 9), (None, 97, 9), (None, 0, None), (None, 1, None)]
+    assert sorted(map(tuple, got), key=key) == sorted(want, key=key)
+    kept = corpus_pipeline.keep_one_of_alike(spark, make_docs(spark, rows), "").filter("doc_id IS NOT NULL").collect()
+    assert sorted((r.doc_id, r.text) for r in kept) == [(5, texts[0]), (9, far)]
+
+
 def test_heap_merge_finds_all_that_reach_the_overlap():
     rnd = random.Random(3)
     for _ in range(100):

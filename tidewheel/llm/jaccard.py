@@ -130,13 +130,15 @@ def _stars(sigs: np.ndarray, nodes: np.ndarray) -> tuple[np.ndarray, np.ndarray,
 
 
 def _sets(docs: DataFrame, n: int, lower: bool) -> DataFrame:
+    """doc_id, size and hash of the set, and a hash of the text, of each row."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows = [(len(s), *set_hash(s)) for s in ngram_sets(b.column(1), n, lower)]
             cols = zip(*rows, strict=True) if rows else [[], [], []]
-            yield pa.RecordBatch.from_arrays([b.column(0), *[pa.array(c, pa.int64()) for c in cols]], ["doc_id", "n", "h1", "h2"])
+            yield pa.RecordBatch.from_arrays([b.column(0), *[pa.array(c, pa.int64()) for c in cols], b.column(2)], ["doc_id", "n", "h1", "h2", "text_hash"])
 
-    return docs.mapInArrow(run, "doc_id long, n long, h1 long, h2 long")
+    return docs.select("doc_id", "text", F.xxhash64("text")).mapInArrow(run, "doc_id long, n long, h1 long, h2 long, text_hash long")
 
 
 def _candidates(docs: DataFrame, n: int, lower: bool, num: int, den: int, total: int) -> DataFrame:
@@ -165,7 +167,8 @@ def _candidates(docs: DataFrame, n: int, lower: bool, num: int, den: int, total:
             rows = [(k, False, pairs[cuts[k] : cuts[k + 1]].tobytes()) for k in range(buckets) if cuts[k] < cuts[k + 1]]
             if len(a):
                 rows.append((int(a[0]) % buckets, True, np.stack([a, low], axis=1).tobytes()))
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int32(), pa.bool_(), pa.binary()), strict=True)], names)
+            cols = zip(*rows, strict=True) if rows else [[], [], []]  # none if all texts are empty
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int32(), pa.bool_(), pa.binary()), strict=True)], names)
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         got: dict[bool, list[np.ndarray]] = {False: [], True: []}
@@ -186,11 +189,11 @@ def _candidates(docs: DataFrame, n: int, lower: bool, num: int, den: int, total:
 
 
 def _within_reach(sets: DataFrame, num: int, den: int, total: int) -> DataFrame:
-    """The rows of sets(class, doc_id, ngrams) that may link: a link shares num/den of a set's n-grams at least, so
+    """The rows of sets(class, node, ngrams) that may link: a link shares num/den of a set's n-grams at least, so
     sets with fewer n-grams that another set has too link with nothing.
 
     An n-gram that two sets of an Arrow batch have is settled there and goes out once, so a very common
-    one brings an entry for each batch. Rows of one doc_id are counted together, which only keeps more."""
+    one brings an entry for each batch. Rows of one node are counted together, which only keeps more."""
     buckets = max(partitions(sets.sparkSession), total // 1_500_000)
     names, kinds = ["bucket", "grams", "docs", "counts"], (pa.int32(), pa.binary(), pa.binary(), pa.binary())
     nobody = -1
@@ -255,10 +258,10 @@ def _within_reach(sets: DataFrame, num: int, den: int, total: int) -> DataFrame:
         for d, c in out:
             yield pa.RecordBatch.from_arrays([pa.array(d), pa.array(c.astype(np.int64))], ["d", "shared"])
 
-    told = sets.select("doc_id", "ngrams").mapInArrow(send, "bucket int, grams binary, docs binary, counts binary")
+    told = sets.select("node", "ngrams").mapInArrow(send, "bucket int, grams binary, docs binary, counts binary")
     told = told.repartition(buckets, "bucket").mapInArrow(meet, "d long, shared long")
     told = told.groupBy("d").agg(F.sum("shared").alias("shared"))
-    return sets.join(told, (F.col("doc_id") == F.col("d")) & (F.col("shared") * den * 8 >= F.octet_length("ngrams") * num), "left_semi")
+    return sets.join(told, (F.col("node") == F.col("d")) & (F.col("shared") * den * 8 >= F.octet_length("ngrams") * num), "left_semi")
 
 
 def heap_merge(lists: list[list[int]], need: int) -> list[tuple[int, int]]:
@@ -349,24 +352,37 @@ def search(sets: list[np.ndarray], sides: np.ndarray, num: int, den: int) -> lis
 
 
 def _links(members: DataFrame, docs: DataFrame, n: int, lower: bool, num: int, den: int, scratch: Scratch) -> DataFrame:
-    """Edges (a, b) of doc_ids that span the links inside classes. members(doc_id, h1, h2, n, class)."""
+    """Edges (a, b) of nodes that span the links inside classes. members(doc_id, node, h1, h2, class) has a row for each set."""
 
     def load(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             keep, sets, seen = [], [], set()
-            ids = b.column(0).to_pylist()
-            h1, h2 = b.column(3).to_pylist(), b.column(4).to_pylist()
+            nodes, h1, h2 = b.column(0).to_pylist(), b.column(3).to_pylist(), b.column(4).to_pylist()
             for i, s in enumerate(ngram_sets(b.column(1), n, lower)):
                 # rows may share an id and differ in text; repeated rows go on once
-                if set_hash(s) == (h1[i], h2[i]) and (ids[i], h1[i], h2[i]) not in seen:
-                    seen.add((ids[i], h1[i], h2[i]))
+                if set_hash(s) == (h1[i], h2[i]) and nodes[i] not in seen:
+                    seen.add(nodes[i])
                     keep.append(i)
                     sets.append(s.tobytes())
             at = pa.array(keep, pa.int64())
-            yield pa.RecordBatch.from_arrays([b.column(2).take(at), b.column(0).take(at), pa.array(sets, pa.binary())], ["class", "doc_id", "ngrams"])
+            yield pa.RecordBatch.from_arrays([b.column(2).take(at), b.column(0).take(at), pa.array(sets, pa.binary())], ["class", "node", "ngrams"])
 
-    texts = docs.withColumnsRenamed({"doc_id": "d"}).join(small_side(members, 48), F.col("d").eqNullSafe(F.col("doc_id")))
-    sets = scratch.save(texts.select("d", "text", "class", "h1", "h2").mapInArrow(load, "class long, doc_id long, ngrams binary"), "sets")
+    def named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            told = {set_hash(s): s.tobytes() for s in ngram_sets(b.column(0), n, lower)}
+            cols = [[h[0] for h in told], [h[1] for h in told]]
+            yield pa.RecordBatch.from_arrays([*[pa.array(c, pa.int64()) for c in cols], pa.array(told.values(), pa.binary())], ["g1", "g2", "ngrams"])
+
+    texts = docs.filter("doc_id IS NOT NULL").withColumnsRenamed({"doc_id": "d"})
+    texts = texts.join(small_side(members.filter("doc_id IS NOT NULL"), 56), F.col("d") == F.col("doc_id"))
+    sets = texts.select("node", "text", "class", "h1", "h2").mapInArrow(load, "class long, node long, ngrams binary")
+    # sets that only rows without an id have are found by their hashes
+    loose = members.filter("doc_id IS NULL")
+    if loose.head(1):
+        own = docs.filter("doc_id IS NULL").select("text").mapInArrow(named, "g1 long, g2 long, ngrams binary")
+        own = own.join(small_side(loose, 56), (F.col("g1") == F.col("h1")) & (F.col("g2") == F.col("h2")))
+        sets = sets.unionAll(own.select("class", "node", "ngrams"))
+    sets = scratch.save(sets, "sets")
     total = sets.agg(F.coalesce(F.sum(F.octet_length("ngrams")), F.lit(0))).first()[0] // 8
     sets = scratch.save(_within_reach(sets, num, den, total), "reach")
     scratch.drop("sets")
@@ -378,15 +394,15 @@ def _links(members: DataFrame, docs: DataFrame, n: int, lower: bool, num: int, d
     bins = max(partitions(docs.sparkSession), int(small) // (CELL_NGRAMS // 2) + 1)
     dealt = sets.drop("size").join(small_side(sums.drop("size"), 24), F.col("class") == F.col("c"))
     # small classes share a cell, where sets of other classes do no harm; each block of a large class meets every other
-    one = dealt.filter("blocks = 1").select(F.pmod(F.xxhash64("class"), F.lit(bins)).alias("c"), F.lit(-1).alias("i"), F.lit(-1).alias("j"), F.lit(0).alias("side"), "doc_id", "ngrams")
-    many = dealt.filter("blocks > 1").withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
+    one = dealt.filter("blocks = 1").select(F.pmod(F.xxhash64("class"), F.lit(bins)).alias("c"), F.lit(-1).alias("i"), F.lit(-1).alias("j"), F.lit(0).alias("side"), "node", "ngrams")
+    many = dealt.filter("blocks > 1").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     many = many.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    many = many.select("c", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), (F.col("block") > F.col("other")).cast("int").alias("side"), "doc_id", "ngrams")
+    many = many.select("c", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), (F.col("block") > F.col("other")).cast("int").alias("side"), "node", "ngrams")
 
     def cell(table: pa.Table) -> pa.Table:
-        table = table.sort_by("doc_id")
+        table = table.sort_by("node")
         # repeated rows of other batches may meet here
-        told = dict.fromkeys(zip(*[table.column(c).to_pylist() for c in ("doc_id", "side", "ngrams")], strict=True))
+        told = dict.fromkeys(zip(*[table.column(c).to_pylist() for c in ("node", "side", "ngrams")], strict=True))
         ids = [i for i, _, _ in told]
         sets = [np.frombuffer(x, dtype=np.uint64) for _, _, x in told]
         links = search(sets, np.array([side for _, side, _ in told]), num, den)
@@ -395,14 +411,15 @@ def _links(members: DataFrame, docs: DataFrame, n: int, lower: bool, num: int, d
     return one.unionAll(many).groupBy("c", "i", "j").applyInArrow(cell, "a long, b long")
 
 
-def jaccard_components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, lower: bool = True) -> DataFrame:
-    """doc_id, n_shingles, component_id for every row of docs(doc_id, text).
+def jaccard_components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, lower: bool = True, with_text_hash: bool = False) -> DataFrame:
+    """doc_id, n_shingles, component_id for every row of docs(doc_id, text); text_hash (xxhash64 of text) on demand.
 
     Two rows link if den * |A & B| >= num * |A | B| for their sets of word n-grams (A-Z lower-cased
     if ``lower``); fewer than n words are one n-gram. component_id is the smallest doc_id that links
     reach. A null text counts as empty; an empty set links with nothing, so its component is its own
-    id. Rows with one id and different texts each take part; a null id takes part too and is never
-    the smallest unless there is no other. An empty table gives an empty result.
+    id. Rows with one id and different texts each take part, and links are between sets, so that each
+    has the component of its own text; a null id takes part too and is never the smallest unless
+    there is no other. An empty table gives an empty result.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "jaccard")
@@ -410,23 +427,30 @@ def jaccard_components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 10
     sets = scratch.save(_sets(docs, n, lower), "hashes")
     total = sets.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     groups = sets.filter("n > 0").groupBy("h1", "h2", F.col("n").alias("size")).agg(F.min("doc_id").alias("first"), F.count("*").alias("copies"))
-    groups = scratch.save(groups, "groups")
+    # links are between groups of equal sets, which have a number each
+    groups = scratch.save(groups.withColumn("node", F.monotonically_increasing_id()), "groups")
     found = scratch.save(_candidates(docs, n, lower, num, den, total), "candidates")
     classes = components(found, scratch, "classes")
     # a class's root has no row of its own
     classes = classes.unionAll(classes.select(F.col("root").alias("node"), "root").distinct())
-    members = groups.filter(F.col("first").isNotNull()).join(classes, F.col("h1") == F.col("node"))
-    members = scratch.save(members.select(F.col("first").alias("doc_id"), "h1", "h2", F.col("root").alias("class")), "members")
+    members = groups.withColumnsRenamed({"node": "number"}).join(classes, F.col("h1") == F.col("node"))
+    members = scratch.save(members.select(F.col("first").alias("doc_id"), F.col("number").alias("node"), "h1", "h2", F.col("root").alias("class")), "members")
     scratch.drop("candidates")
     links = scratch.save(_links(members, docs, n, lower, num, den, scratch), "links")
     scratch.drop("reach")
     roots = components(links, scratch, "components")
-    # documents alone in their group need no look-up of it
-    reached = groups.filter("copies > 1").select(F.col("h1").alias("g1"), F.col("h2").alias("g2"), "first")
+    roots = roots.unionAll(roots.select(F.col("root").alias("node"), "root").distinct())
+    roots = scratch.save(roots.withColumnsRenamed({"node": "linked"}), "roots")
+    linked = groups.join(small_side(roots, 32), F.col("node") == F.col("linked"), "left")
+    low = linked.filter("root IS NOT NULL").groupBy(F.col("root").alias("of")).agg(F.min("first").alias("low"))
+    low = scratch.save(low, "lows")
+    # documents alone in their group and without links need no look-up of it
+    reached = linked.filter("copies > 1 OR root IS NOT NULL").join(small_side(low, 24), F.col("root") == F.col("of"), "left")
+    reached = reached.select(F.col("h1").alias("g1"), F.col("h2").alias("g2"), F.coalesce("low", "first").alias("component_id"))
+    reached = scratch.save(reached, "reached")
     out = sets.join(small_side(reached, 40), (F.col("h1") == F.col("g1")) & (F.col("h2") == F.col("g2")) & (F.col("n") > 0), "left")
-    out = out.withColumn("first", F.coalesce("first", "doc_id"))
-    out = out.join(small_side(roots, 32), F.col("first") == F.col("node"), "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("root", "first").alias("component_id"))
+    told = [F.col("text_hash")] * with_text_hash
+    return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), *told)
 
 
 def op1_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
