@@ -132,6 +132,19 @@ def test_nearest_recall_and_bad_vectors(spark):
     assert found >= 0.9 * 150 and len(got) == 150
 
 
+@pytest.mark.parametrize("n", [5, 12, 20])
+def test_nearest_of_small_tables_are_whole(spark, n):
+    x = np.random.default_rng(n).normal(size=(n, 64))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = crosspolytope.nearest(df, df).collect()
+    for q in range(n):
+        mine = [r.vec_id for r in sorted((r for r in got if r.query_id == q), key=lambda r: r.rank)]
+        assert len(mine) == min(10, n - 1)
+        if n <= 12:
+            d = np.sqrt(((x - x[q]) ** 2).sum(axis=1))
+            assert [d[v] for v in mine] == sorted(d[v] for v in mine)
+
+
 def test_licences_are_named_and_ordinary_text_is_left_alone(spark):
     plain = [(i, f"The river number {i} runs to the sea.\nA licensed driver stopped here {i} times.", "a") for i in range(40)]
     rows = [*plain, (50, None, "a"), (51, "", "a"), (52, "x\nLicensed under the Apache License, Version 2.0.\ny", "a"), (53, "Released under the MIT License.", "a")]

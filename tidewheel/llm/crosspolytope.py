@@ -11,7 +11,7 @@ each query an upper bound of its last distance, so that few candidates leave a t
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -164,6 +164,8 @@ def _top(found: DataFrame, k: int) -> DataFrame:
 def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, s: Settings = Settings(), vec_id: str = "vec_id", embedding: str = "embedding") -> DataFrame:
     """query_id, rank, vec_id, score (Euclidean distance) of the nearest k found of each row of queries.
 
+    A query for which hashing finds fewer than k is searched again among all vectors, exactly.
+
     Vectors that are null, zero, hold null or non-finite components or differ in length from the first
     usable one take no part, nor do null ids. A query doesn't find its own id. Ties go to the smaller
     id. Of repeated rows of an id the nearest counts once; a query id with several vectors is the
@@ -193,6 +195,14 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, s: Settings = S
             last = first.filter(F.col("rank") == k).select("query_id", "score").toArrow()
             bound[np.searchsorted(ids, last.column("query_id").to_numpy())] = last.column("score").to_numpy()
         got = scratch.save(_top(_scan(rows, spark.sparkContext.broadcast((ids, q, k, s, bound))), k), f"found-{c}")
+        full = got.filter(F.col("rank") == k).select("query_id").toArrow().column("query_id").to_numpy()
+        short = ~np.isin(ids, full)
+        if short.any():
+            # too few vectors in a query's cells: with all axes as probes, one table meets every vector
+            every = replace(s, tables=1, probes=2 * _signs(dim, s).shape[2])
+            rest = _scan(rows, spark.sparkContext.broadcast((ids[short], q[short], k, every, bound[short])))
+            rest = scratch.save(_top(rest, k), f"rest-{c}")
+            got = got.join(F.broadcast(spark.createDataFrame([(int(i),) for i in ids[short]], "short long")), F.col("query_id") == F.col("short"), "left_anti").unionAll(rest)
         found = got if found is None else found.unionAll(got)
     return found if found is not None else spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
 
