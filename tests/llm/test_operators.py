@@ -199,6 +199,34 @@ def test_pieces_are_those_of_the_library(spark):
         assert got[i] == (m.encode(t), m.decode(m.encode(t)))
 
 
+class Wrong:
+    """The library, but for one method."""
+
+    def __init__(self, library, name, answer):
+        self.library, self.name, self.answer = library, name, answer
+
+    def __getattr__(self, name):
+        return self.answer if name == self.name else getattr(self.library, name)
+
+
+def test_pieces_are_compared_with_the_library_both_ways(tmp_path):
+    import sentencepiece
+
+    texts = ["The ﬁne river  runs, and Ａ bridge é stands. ", "", "stones and rivers"]
+    sentencepiece.SentencePieceTrainer.train(sentence_iterator=iter([prose(20, i) for i in range(200)]), model_prefix=f"{tmp_path}/m", model_type="bpe", vocab_size=80, hard_vocab_limit=False, minloglevel=2)
+    for path in (sentencepieces.default_model(), f"{tmp_path}/m.model"):
+        v = sentencepieces.Vocabulary(path)
+        assert v.plain_text == (path == sentencepieces.default_model())
+        m = v.library
+        for t, (n, ids, text) in zip(texts, v.encode_batch(texts), strict=True):
+            assert [int(x) for x in ids.split(b",") if x] == m.encode(t) and text.decode() == m.decode(m.encode(t)) and n == len(m.encode(t))
+        for name, answer in (("encode", lambda x, **_: [0] if isinstance(x, str) else [[0]] * len(x)), ("decode", lambda x: "?" if x and isinstance(x[0], int) else ["?"] * len(x))):
+            v = sentencepieces.Vocabulary(path)
+            v.library = Wrong(m, name, answer)
+            with pytest.raises(ValueError, match="differ"):
+                v.encode_batch(texts)
+
+
 def test_quality_learns_and_scores_empty_texts(spark):
     rows = [(i, ("good words flow along here " if i % 2 else "@@## $$ 11 %% ") * 5, "a") for i in range(200)] + [(900, None, "a"), (901, "", "a")]
     labels = spark.createDataFrame([(i, i % 2, 0) for i in range(200)], "doc_id long, quality int, toxic int")

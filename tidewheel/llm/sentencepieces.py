@@ -4,8 +4,9 @@ A text is normalised, cut before each run of the space mark, and each segment is
 an agenda of adjacent symbol pairs, best score first and leftmost among equals, until no pair
 forms a piece. No piece has the space mark after another character (checked when the vocabulary is
 read), so no merge crosses a cut and the segments' ids joined are the text's ids. Every segment
-that is merged here is also encoded by the sentencepiece library, an Arrow batch at a time, and a
-difference is an error. Segments seen before are looked up in a cache of bounded size.
+that is merged here is also encoded and decoded by the sentencepiece library, an Arrow batch at a
+time, and a difference is an error. Segments seen before are looked up in a cache of bounded size.
+Where the normaliser changes more than spaces, whole texts are compared, each of them.
 """
 
 from __future__ import annotations
@@ -234,11 +235,25 @@ class Vocabulary:
         for (a, ids), own in zip(known, theirs, strict=True):
             if ids != own:
                 raise ValueError(f"the agenda and the sentencepiece library differ on {a[:80]!r}: {ids[:20]} and {own[:20]}")
+        for ids, theirs in zip(made, self.library.decode(made) if made else [], strict=True):
+            self._same_text(ids, self.decode(ids), theirs)
         of, told, out = self.bytes_of, self.told, {}
         for s, ids in zip(segments, made, strict=True):
             out[s] = (b",".join([told[i] for i in ids]), b"".join([of[i] for i in ids]))
         return out
 
+    @staticmethod
+    def _same_text(ids: list[int], own: str, theirs: str) -> None:
+        if own != theirs:
+            raise ValueError(f"the own decoding and the sentencepiece library's differ on ids {ids[:20]}: {own[:80]!r} and {theirs[:80]!r}")
+
+    def _compare(self, text: str, told: bytes, decoded: bytes) -> None:
+        """Checks a whole text's ids and decoding against the library."""
+        ids, theirs = [int(x) for x in told.split(b",")] if told else [], self.library.encode(text)
+        if ids != theirs:
+            raise ValueError(f"the agenda and the sentencepiece library differ on {text[:80]!r}: {ids[:20]} and {theirs[:20]}")
+        self._same_text(ids, decoded.decode("utf-8", "replace"), self.library.decode(ids))
+
     def encode_batch(self, texts: list[str]) -> list[tuple[int, bytes, bytes]]:
         """(number of ids, ids in decimal joined by commas, decoded text in UTF-8) of each text."""
         cuts = [self.cut.findall(self.normalise(t)) for t in texts]
@@ -268,6 +283,9 @@ class Vocabulary:
             if self.prefix and text[:1] == b" ":
                 text = text[1:]
             out.append((ids.count(b",") + 1 if ids else 0, ids, text))
+        if not self.plain_text:
+            for t, (_, ids, text) in zip(texts, out, strict=True):
+                self._compare(t, ids, text)
         return out
 
     def decode(self, ids: list[int]) -> str:
