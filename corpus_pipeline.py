@@ -97,7 +97,7 @@ STAGES = [
     ("source_mix", mix_sources),
     ("token_ids", encode),
 ]
-#: The classifier and the encoding are beyond SQL; tests hold each stage against a brute-force version.
+#: The classifier and the encoding are beyond SQL. No stage's rows are held against a brute-force version; README.md says what tests cover.
 ORACLE_SQL = None
 
 
