@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tidewheel.llm import crosspolytope, jaccard, licences, mixing, quality, repeats, sentencepieces
+from tidewheel.llm import crosspolytope, jaccard, licences, mixing, quality, repeats, sentencepieces, textblocks
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, spans string"
 
@@ -75,6 +75,73 @@ def test_jaccard_links_null_and_repeated_ids_by_their_sets(spark):
     assert sorted((r.doc_id, r.text) for r in kept) == [(5, texts[0]), (9, far)]
 
 
+@pytest.mark.parametrize("texts", [[None, ""], ["a b c", "a b c", "d"], [None], ["one two", None, "a b", "A B"]])
+def test_jaccard_of_short_and_missing_texts(spark, texts):
+    rows = [(i, t, "a") for i, t in enumerate(texts)]
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.jaccard_components(make_docs(spark, rows), n=3, num=90, den=100).collect()}
+    seen = {}
+    for i, t, _ in rows:
+        key = (t or "").lower()
+        assert got[i] == (int(bool(key)), seen.setdefault(key, i) if key else i)
+
+
+def test_jaccard_of_files_without_any_set(spark, tmp_path):
+    """A file of short texts beside one of ordinary texts: batches without signatures or shared n-grams."""
+    rows = [r for r in sample_texts(8, 30) if r[0] > 3]
+    make_docs(spark, rows).coalesce(1).write.parquet(f"{tmp_path}/t")
+    make_docs(spark, [(900, "one two", "a"), (901, None, "a")]).coalesce(1).write.mode("append").parquet(f"{tmp_path}/t")
+    assert jaccard.jaccard_components(spark.read.parquet(f"{tmp_path}/t")).count() == len(rows) + 2
+
+
+def brute_links(sets, num, den):
+    return {(i, j) for i in range(len(sets)) for j in range(i) if den * len(sets[i] & sets[j]) >= num * len(sets[i] | sets[j])}
+
+
+def partition(n, links):
+    root = list(range(n))
+    for i, j in links:
+        a, b = root[i], root[j]
+        root = [min(a, b) if r in (a, b) else r for r in root]
+    return root
+
+
+@pytest.mark.parametrize("num", [60, 80, 90])
+def test_search_spans_all_components(num):
+    """Near copies, chains of them and sets that share much without linking."""
+    rnd = random.Random(num)
+    sets = []
+    for _ in range(12):
+        base = rnd.sample(range(600), rnd.randrange(1, 80))
+        for _ in range(rnd.randrange(1, 9)):
+            base = list(base)
+            for _ in range(rnd.randrange(0, 1 + len(base) // 10)):
+                base[rnd.randrange(len(base))] = rnd.randrange(600)
+            sets.append(set(base))
+    arrays = [np.array(sorted(s), dtype=np.int64) for s in sets]
+    links = jaccard.search(arrays, np.array([len(s) for s in sets]), num, 100)
+    assert set((max(x), min(x)) for x in links) <= brute_links(sets, num, 100)
+    assert partition(len(sets), links) == partition(len(sets), brute_links(sets, num, 100))
+
+
+@pytest.mark.parametrize("cell", [40, 400])
+def test_jaccard_of_classes_larger_than_a_cell(spark, cell, monkeypatch):
+    monkeypatch.setattr(jaccard, "CELL_NGRAMS", cell)
+    test_jaccard_components(spark)
+
+
+def test_unequal_words_have_unequal_hashes():
+    """Words that collide under any polynomial modulo 2**64, in two seeds, and words in blocks of any size."""
+    word = "a"
+    while len(word) < 2048:
+        word += word.translate(str.maketrans("ab", "ba"))
+    data = np.frombuffer(f"{word} {word.translate(str.maketrans('ab', 'ba'))} {word}".encode(), np.uint8)
+    words = textblocks.Words(data, np.array([0, len(data)]))
+    for seed in (0, 1):
+        a, b, c = words.hashes(seed).tolist()
+        assert a == c != b
+    assert words.hashes(0)[0] != words.hashes(1)[0]
+
+
 def test_heap_merge_finds_all_that_reach_the_overlap():
     rnd = random.Random(3)
     for _ in range(100):

@@ -1,12 +1,15 @@
 r"""N-gram Jaccard join: documents whose sets of word n-grams are alike, and their components.
 
-Equal sets are first brought together by a hash of 128 bits. Then, for each size class, the space
-of n-gram hashes is cut in more parts than two linked sets can differ in, so that linked sets agree
-in a whole part; documents that share the hash of a part are candidates, and components of
-candidates are classes. Sets too few of whose n-grams occur in any other are left out. Inside a
-class links are found by T-occurrence search as DivideSkip does
-it: the short inverted lists of a query are merged on a heap with skips, the long ones are probed
-by binary search, and documents that reach the required overlap are links.
+1. Equal sets are brought together by a hash of 128 bits; from here on a set counts once.
+2. For each size class, the space of n-gram hashes is cut in more parts than two linked sets can
+   differ in, so that linked sets agree in a whole part. Sets that share no part's hash go.
+3. Of the sets left, n-grams are counted. A link shares num/den of a set's n-grams at least, so
+   sets with fewer n-grams that another one has go, and two linked sets share one of the rarest
+   few of either (the prefix). Components of sets that share such an n-gram are classes.
+4. Inside a class, links are found by T-occurrence search as DivideSkip does it: the short
+   inverted lists of a query are merged on a heap with skips, the long ones are probed by binary
+   search, and documents that reach the required overlap are links. A search goes on from the
+   documents found, among those not reached yet, so a class of near copies takes few searches.
 """
 
 from __future__ import annotations
@@ -26,7 +29,7 @@ from .components import components
 from .scratch import Scratch, partitions, read_table, small_side
 from .textblocks import Words, blocks, mix, ngrams, text_array
 
-#: Bound on the n-grams on either side of a search; larger classes are cut in blocks and searched block against block.
+#: n-grams that are searched at once, roughly; larger classes are cut in blocks and searched by pairs of blocks.
 CELL_NGRAMS = 1 << 21
 #: Weight of long lists in DivideSkip's rule for how many lists are long.
 MU = 0.0085
@@ -142,7 +145,7 @@ def _sets(docs: DataFrame, n: int, lower: bool) -> DataFrame:
 
 
 def _candidates(docs: DataFrame, n: int, lower: bool, num: int, den: int, total: int) -> DataFrame:
-    """Edges (a, b) between hashes of sets that share a signature. Signatures travel as packed arrays, one for each
+    """(a, b): hashes of sets that share a signature, each such set in one row at least. Signatures travel as packed arrays, one for each
     Arrow batch and bucket; within a batch each goes out once, so a very common one brings an entry for each batch."""
     first, _, parts, _ = size_classes(num, den)
     rate = 1.5 * parts[-1] / first[-1]  # signatures of an n-gram, roughly
@@ -188,80 +191,25 @@ def _candidates(docs: DataFrame, n: int, lower: bool, num: int, den: int, total:
     return docs.mapInArrow(send, schema).repartition(buckets, "bucket").mapInArrow(meet, "a long, b long")
 
 
-def _within_reach(sets: DataFrame, num: int, den: int, total: int) -> DataFrame:
-    """The rows of sets(class, node, ngrams) that may link: a link shares num/den of a set's n-grams at least, so
-    sets with fewer n-grams that another set has too link with nothing.
+def _rarest_first(sets: DataFrame, num: int, den: int) -> DataFrame:
+    """(node, size, shared) of the rows of sets(node, ngrams) that may link: those n-grams that other sets have too, rarest first."""
+    grams = sets.select("node", F.size("ngrams").alias("size"), F.explode("ngrams").alias("gram"))
+    counts = grams.groupBy(F.col("gram").alias("g")).agg(F.count("*").alias("sets")).filter("sets > 1")
+    grams = grams.join(counts, F.col("gram") == F.col("g"))
+    shared = F.sort_array(F.collect_list(F.struct("sets", "gram")))
+    shared = grams.groupBy("node", "size").agg(shared.alias("shared")).filter(F.size("shared") * den >= F.col("size") * num)
+    return shared.select("node", "size", F.col("shared.gram").alias("shared"))
 
-    An n-gram that two sets of an Arrow batch have is settled there and goes out once, so a very common
-    one brings an entry for each batch. Rows of one node are counted together, which only keeps more."""
-    buckets = max(partitions(sets.sparkSession), total // 1_500_000)
-    names, kinds = ["bucket", "grams", "docs", "counts"], (pa.int32(), pa.binary(), pa.binary(), pa.binary())
-    nobody = -1
 
-    def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Runs of rows with CELL_NGRAMS n-grams or little more."""
-        for b in batches:
-            so_far = np.cumsum([len(x.as_buffer()) // 8 for x in b.column(1)], dtype=np.int64)
-            cuts = np.flatnonzero(np.diff(so_far // CELL_NGRAMS)) + 1
-            for x, y in zip([0, *cuts.tolist()], [*cuts.tolist(), b.num_rows], strict=True):
-                if x < y:
-                    yield b.slice(x, y - x)
-
-    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in pieces(batches):
-            own = [np.frombuffer(x, dtype=np.uint64) for x in b.column(1).to_pylist()]
-            ids = b.column(0).to_numpy()
-            owner = np.repeat(np.arange(len(own)), [len(x) for x in own])
-            grams, at, times = np.unique(np.concatenate(own), return_inverse=True, return_counts=True)
-            known = np.bincount(owner[times[at] > 1], minlength=len(own))
-            rows = [(-1 - int(ids[0] % buckets), b"", ids[known > 0].tobytes(), known[known > 0].tobytes())] if known.any() else []
-            whose = np.full(len(grams), nobody, dtype=np.int64)
-            whose[at[times[at] == 1]] = owner[times[at] == 1]
-            to = (mix(grams) % np.uint64(buckets)).astype(np.int64)
-            order = np.lexsort((whose, to))
-            grams, whose, to = grams[order], whose[order], to[order]
-            cuts = np.searchsorted(to, np.arange(buckets + 1))
-            for k, (x, y) in enumerate(zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)):
-                if x < y:
-                    told, counts = np.unique(whose[x:y], return_counts=True)
-                    # ids may be any number, so the count of n-grams of nobody goes first, be it 0
-                    if told[0] == nobody:
-                        told = told[1:]
-                    else:
-                        counts = np.concatenate(([0], counts))
-                    rows.append((k, grams[x:y].tobytes(), ids[told].tobytes(), counts.astype(np.int64).tobytes()))
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names)
-
-    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        grams, docs, counts, free, out = [], [], [], [], []
-        for b in batches:
-            for k, g, d, c in zip(*[x.to_pylist() for x in b.columns], strict=True):
-                d, c = np.frombuffer(d, np.int64), np.frombuffer(c, np.int64)
-                if k < 0:
-                    out.append((d, c))
-                    continue
-                grams.append(np.frombuffer(g, np.uint64))
-                docs.append(np.repeat(d, c[1:]))
-                free.append(int(c[0]))
-        if grams:
-            _, at, times = np.unique(np.concatenate(grams), return_inverse=True, return_counts=True)
-            start = 0
-            shared = times > 1
-            for g, n in zip(grams, free, strict=True):  # what two sets of a batch have is shared in any case
-                shared[at[start : start + n]] = True
-                start += len(g)
-            start = 0
-            for g, d, n in zip(grams, docs, free, strict=True):
-                told, number = np.unique(d[shared[at[start + n : start + len(g)]]], return_counts=True)
-                out.append((told, number))
-                start += len(g)
-        for d, c in out:
-            yield pa.RecordBatch.from_arrays([pa.array(d), pa.array(c.astype(np.int64))], ["d", "shared"])
-
-    told = sets.select("node", "ngrams").mapInArrow(send, "bucket int, grams binary, docs binary, counts binary")
-    told = told.repartition(buckets, "bucket").mapInArrow(meet, "d long, shared long")
-    told = told.groupBy("d").agg(F.sum("shared").alias("shared"))
-    return sets.join(told, (F.col("node") == F.col("d")) & (F.col("shared") * den * 8 >= F.octet_length("ngrams") * num), "left_semi")
+def _classes(reach: DataFrame, num: int, den: int, scratch: Scratch) -> DataFrame:
+    """(node, root): components of the rows of reach(node, size, shared) that share an n-gram of their prefixes."""
+    # at most size - ceil(size * num / den) n-grams aren't in a linked set; those of no other set come first of all
+    spare = F.col("size") - F.ceil(F.col("size") * num / den) - (F.col("size") - F.size("shared")) + 1
+    prefix = reach.select("node", F.explode(F.slice("shared", F.lit(1), spare.cast("int"))).alias("gram"))
+    first = prefix.groupBy(F.col("gram").alias("g")).agg(F.min("node").alias("low"), F.max("node").alias("high")).filter("low < high").drop("high")
+    edges = prefix.join(first, F.col("gram") == F.col("g")).select(F.col("node").alias("a"), F.col("low").alias("b"))
+    found = components(edges, scratch, "classes")
+    return found.unionAll(found.select(F.col("root").alias("node"), "root").distinct())
 
 
 def heap_merge(lists: list[list[int]], need: int) -> list[tuple[int, int]]:
@@ -293,119 +241,141 @@ def heap_merge(lists: list[list[int]], need: int) -> list[tuple[int, int]]:
     return out
 
 
-def search(sets: list[np.ndarray], sides: np.ndarray, num: int, den: int) -> list[tuple[int, int]]:
-    """Links (i, j) that span the components of sets, or of links across sides where there are two.
+class Lists:
+    """Inverted lists of the sets that are alive: for each n-gram, its sets in order."""
+
+    def __init__(self, token: np.ndarray, owner: np.ndarray, n_tokens: int, n_sets: int):
+        self.n_sets = n_sets
+        self.flat = np.sort(token * n_sets + owner)
+        self.bound = np.searchsorted(self.flat, np.arange(n_tokens + 1) * n_sets)
+        self.lengths = np.diff(self.bound)
+
+    def list_of(self, token: int) -> np.ndarray:
+        return self.flat[self.bound[token] : self.bound[token + 1]] - token * self.n_sets
 
-    Pairs that are joined already are left out; every other pair that reaches the threshold is in.
+    def holds(self, tokens: np.ndarray, docs: np.ndarray) -> np.ndarray:
+        """In how many of the lists each document is, by binary search."""
+        keys = tokens[:, None] * self.n_sets + docs[None, :]
+        spot = np.minimum(np.searchsorted(self.flat, keys), len(self.flat) - 1)
+        return (self.flat[spot] == keys).sum(axis=0)
+
+
+def search(sets: list[np.ndarray], sizes: np.ndarray, num: int, den: int) -> list[tuple[int, int]]:
+    """Links (i, j) that span the components of sets(i); sizes may count n-grams that are in no other set and aren't listed.
+
+    Each set is the query of one search among the sets that no search has reached yet; those that it
+    links with are reached, and asked next. So every component is spanned, and no pair is asked twice.
     """
     n_sets = len(sets)
-    sizes = np.array([len(s) for s in sets], dtype=np.int64)
-    owner = np.repeat(np.arange(n_sets, dtype=np.int64), sizes)
-    _, token, df = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    owner = np.repeat(np.arange(n_sets, dtype=np.int64), [len(s) for s in sets])
+    _, token, df = np.unique(np.concatenate(sets) if sets else np.zeros(0, np.int64), return_inverse=True, return_counts=True)
     shared = df[token] > 1  # an n-gram of one set only is in no overlap
     token, owner = token[shared].astype(np.int64), owner[shared]
-    two = len(np.unique(sides)) > 1
     mine = np.split(token, np.searchsorted(owner, np.arange(1, n_sets)))
-    kept = sides[owner] == 1 if two else np.ones(len(owner), dtype=bool)
-    post = np.sort(token[kept] * n_sets + owner[kept])  # inverted lists end to end, each sorted by document
-    bound = np.searchsorted(post, np.arange(len(df) + 1) * n_sets)
-    lengths = np.diff(bound)
-    root = list(range(n_sets))
-
-    def find(i: int) -> int:
-        while root[i] != i:
-            root[i] = root[root[i]]
-            i = root[i]
-        return i
-
+    alive = np.ones(n_sets, dtype=bool)
+    lists, listed, left = Lists(token, owner, len(df), n_sets), n_sets, n_sets
     links = []
-    for q in range(n_sets):
-        if two and sides[q] == 1:
+    for seed in range(n_sets):
+        if not alive[seed]:
             continue
-        n = int(sizes[q])
-        least = -(-n * num // den)
-        t = -(-num * (n + least) // (num + den))
-        tokens = mine[q][lengths[mine[q]] > 0]
-        if len(tokens) < t or n == 0:
-            continue
-        tokens = tokens[np.argsort(lengths[tokens], kind="stable")]
-        longest = int(lengths[tokens[-1]])
-        n_long = min(t - 1, int(t / (MU * math.log2(longest + 1) + 1)))
-        short, long = tokens[: len(tokens) - n_long], tokens[len(tokens) - n_long :]
-        lists = [(post[bound[x] : bound[x + 1]] - x * n_sets).tolist() for x in short.tolist()]
-        me = find(q)
-        found = [(d, c) for d, c in heap_merge(lists, t - n_long) if (two or d > q) and least <= sizes[d] and sizes[d] * num <= n * den and find(d) != me]
-        if not found:
-            continue
-        docs = np.array([d for d, _ in found], dtype=np.int64)
-        overlap = np.array([c for _, c in found], dtype=np.int64)
-        if len(long):
-            keys = long[:, None] * n_sets + docs[None, :]
-            spot = np.minimum(np.searchsorted(post, keys), len(post) - 1)
-            overlap = overlap + (post[spot] == keys).sum(axis=0)
-        for d in docs[(den + num) * overlap >= num * (n + sizes[docs])].tolist():
-            a, b = find(q), find(d)
-            if a != b:
-                root[max(a, b)] = min(a, b)
-                links.append((q, d))
+        alive[seed] = False
+        left -= 1
+        ask = [seed]
+        while ask and left:
+            q = ask.pop()
+            if 2 * left < listed:  # fewer than half of the sets in the lists are alive: new lists
+                some = alive[owner]
+                lists, listed = Lists(token[some], owner[some], len(df), n_sets), left
+            found = _linked(q, mine[q], int(sizes[q]), sizes, alive, lists, num, den)
+            alive[found] = False
+            left -= len(found)
+            links += [(q, d) for d in found]
+            ask += found
     return links
 
 
-def _links(members: DataFrame, docs: DataFrame, n: int, lower: bool, num: int, den: int, scratch: Scratch) -> DataFrame:
-    """Edges (a, b) of nodes that span the links inside classes. members(doc_id, node, h1, h2, class) has a row for each set."""
+def _linked(q: int, tokens: np.ndarray, n: int, sizes: np.ndarray, alive: np.ndarray, lists: Lists, num: int, den: int) -> list[int]:
+    """The sets alive that link with set q of n n-grams, by DivideSkip."""
+    least = -(-n * num // den)
+    t = -(-num * (n + least) // (num + den))  # a link with the smallest partner shares so many
+    tokens = tokens[lists.lengths[tokens] > 0]
+    if n == 0 or len(tokens) < t:
+        return []
+    tokens = tokens[np.argsort(lists.lengths[tokens], kind="stable")]
+    n_long = min(t - 1, int(t / (MU * math.log2(int(lists.lengths[tokens[-1]]) + 1) + 1)))
+    short, long = tokens[: len(tokens) - n_long], tokens[len(tokens) - n_long :]
+    merged = []
+    for x in short.tolist():
+        own = lists.list_of(x)
+        merged.append(own[alive[own] & (least <= sizes[own]) & (sizes[own] * num <= n * den)].tolist())
+    found = heap_merge(merged, t - n_long)
+    if not found:
+        return []
+    docs, overlap = (np.array(x, dtype=np.int64) for x in zip(*found, strict=True))
+    if len(long):
+        overlap = overlap + lists.holds(long, docs)
+    return docs[(den + num) * overlap >= num * (n + sizes[docs])].tolist()
+
+
+def _load(members: DataFrame, docs: DataFrame, n: int, lower: bool) -> DataFrame:
+    """(node, ngrams) of members(doc_id, node, h1, h2), read again from the text of one document of each."""
+    h = "h1 long, h2 long, "
 
     def load(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            keep, sets, seen = [], [], set()
-            nodes, h1, h2 = b.column(0).to_pylist(), b.column(3).to_pylist(), b.column(4).to_pylist()
-            for i, s in enumerate(ngram_sets(b.column(1), n, lower)):
-                # rows may share an id and differ in text; repeated rows go on once
-                if set_hash(s) == (h1[i], h2[i]) and nodes[i] not in seen:
-                    seen.add(nodes[i])
-                    keep.append(i)
-                    sets.append(s.tobytes())
-            at = pa.array(keep, pa.int64())
-            yield pa.RecordBatch.from_arrays([b.column(2).take(at), b.column(0).take(at), pa.array(sets, pa.binary())], ["class", "node", "ngrams"])
-
-    def named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            told = {set_hash(s): s.tobytes() for s in ngram_sets(b.column(0), n, lower)}
-            cols = [[h[0] for h in told], [h[1] for h in told]]
-            yield pa.RecordBatch.from_arrays([*[pa.array(c, pa.int64()) for c in cols], pa.array(told.values(), pa.binary())], ["g1", "g2", "ngrams"])
-
-    texts = docs.filter("doc_id IS NOT NULL").withColumnsRenamed({"doc_id": "d"})
-    texts = texts.join(small_side(members.filter("doc_id IS NOT NULL"), 56), F.col("d") == F.col("doc_id"))
-    sets = texts.select("node", "text", "class", "h1", "h2").mapInArrow(load, "class long, node long, ngrams binary")
-    # sets that only rows without an id have are found by their hashes
+            told = {}
+            for h1, h2, s in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), ngram_sets(b.column(0), n, lower), strict=True):
+                # rows may share an id and differ in text; without an id, a row asks for its own set
+                own = set_hash(s)
+                if h1 is None or own == (h1, h2):
+                    told[own] = s.view(np.int64)
+                if sum(map(len, told.values())) > CELL_NGRAMS:
+                    yield pack(told)
+                    told = {}
+            yield pack(told)
+
+    def pack(told: dict) -> pa.RecordBatch:
+        offsets = np.cumsum([0, *map(len, told.values())], dtype=np.int32)
+        lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([np.zeros(0, np.int64), *told.values()])))
+        cols = [pa.array([k[i] for k in told], pa.int64()) for i in (0, 1)]
+        return pa.RecordBatch.from_arrays([*cols, lists], ["g1", "g2", "ngrams"])
+
+    known = members.filter("doc_id IS NOT NULL").select(F.col("doc_id").alias("d"), "h1", "h2")
+    texts = docs.filter("doc_id IS NOT NULL").join(small_side(known, 40), F.col("doc_id") == F.col("d")).select("text", "h1", "h2")
     loose = members.filter("doc_id IS NULL")
-    if loose.head(1):
-        own = docs.filter("doc_id IS NULL").select("text").mapInArrow(named, "g1 long, g2 long, ngrams binary")
-        own = own.join(small_side(loose, 56), (F.col("g1") == F.col("h1")) & (F.col("g2") == F.col("h2")))
-        sets = sets.unionAll(own.select("class", "node", "ngrams"))
-    sets = scratch.save(sets, "sets")
-    total = sets.agg(F.coalesce(F.sum(F.octet_length("ngrams")), F.lit(0))).first()[0] // 8
-    sets = scratch.save(_within_reach(sets, num, den, total), "reach")
-    scratch.drop("sets")
-    sets = sets.withColumn("size", F.octet_length("ngrams") / 8)
-    sums = sets.groupBy(F.col("class").alias("c")).agg(F.sum("size").alias("size"))
-    sums = sums.withColumn("blocks", F.ceil(F.col("size") / CELL_NGRAMS).cast("int"))
-    sums = scratch.save(sums, "class-sizes")
-    small = sums.filter("blocks = 1").agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
-    bins = max(partitions(docs.sparkSession), int(small) // (CELL_NGRAMS // 2) + 1)
-    dealt = sets.drop("size").join(small_side(sums.drop("size"), 24), F.col("class") == F.col("c"))
+    if loose.head(1):  # sets that only rows without an id have
+        nothing = F.lit(None).cast("long")
+        texts = texts.unionAll(docs.filter("doc_id IS NULL").select("text", nothing, nothing))
+    sets = texts.mapInArrow(load, h.replace("h", "g") + "ngrams array<long>")
+    # equal sets of several rows or batches meet in one
+    sets = sets.join(small_side(members.select("node", "h1", "h2"), 40), (F.col("g1") == F.col("h1")) & (F.col("g2") == F.col("h2")))
+    return sets.select("node", "ngrams")
+
+
+def _links(reach: DataFrame, classes: DataFrame, num: int, den: int, scratch: Scratch) -> DataFrame:
+    """Edges (a, b) of nodes that span the links of reach(node, size, shared) inside classes(node, root)."""
+    classes = scratch.save(classes.withColumnsRenamed({"node": "of", "root": "class"}), "classes")
+    sets = scratch.save(reach.join(small_side(classes, 24), F.col("node") == F.col("of")).drop("of"), "cells")
+    sums = sets.groupBy(F.col("class").alias("c")).agg(F.sum(F.size("shared")).alias("grams"))
+    sums = scratch.save(sums.withColumn("blocks", F.ceil(F.col("grams") / CELL_NGRAMS).cast("int")), "class-sizes")
+    small = sums.filter("blocks = 1").agg(F.coalesce(F.sum("grams"), F.lit(0))).first()[0]
+    bins = max(partitions(reach.sparkSession), int(small) // (CELL_NGRAMS // 4) + 1)
+    dealt = sets.join(small_side(sums.drop("grams"), 24), F.col("class") == F.col("c"))
     # small classes share a cell, where sets of other classes do no harm; each block of a large class meets every other
-    one = dealt.filter("blocks = 1").select(F.pmod(F.xxhash64("class"), F.lit(bins)).alias("c"), F.lit(-1).alias("i"), F.lit(-1).alias("j"), F.lit(0).alias("side"), "node", "ngrams")
+    one = dealt.filter("blocks = 1").select(F.pmod(F.xxhash64("class"), F.lit(bins)).alias("c"), F.lit(-1).alias("i"), F.lit(-1).alias("j"), "node", "size", "shared")
     many = dealt.filter("blocks > 1").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    many = many.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    many = many.select("c", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), (F.col("block") > F.col("other")).cast("int").alias("side"), "node", "ngrams")
+    others = F.filter(F.sequence(F.lit(0), F.col("blocks") - 1), lambda b: b != F.col("block"))
+    many = many.withColumn("other", F.explode(others))
+    many = many.select("c", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "node", "size", "shared")
 
     def cell(table: pa.Table) -> pa.Table:
-        table = table.sort_by("node")
-        # repeated rows of other batches may meet here
-        told = dict.fromkeys(zip(*[table.column(c).to_pylist() for c in ("node", "side", "ngrams")], strict=True))
-        ids = [i for i, _, _ in told]
-        sets = [np.frombuffer(x, dtype=np.uint64) for _, _, x in told]
-        links = search(sets, np.array([side for _, side, _ in told]), num, den)
+        ids = table.column("node").to_numpy()
+        order = np.argsort(ids, kind="stable")
+        shared = table.column("shared").combine_chunks()
+        ends, flat = shared.offsets.to_numpy(), shared.values.to_numpy()
+        sizes = table.column("size").to_numpy().astype(np.int64)
+        links = search([flat[ends[i] : ends[i + 1]] for i in order.tolist()], sizes[order], num, den)
+        ids = ids[order]
         return pa.table({"a": pa.array([ids[i] for i, _ in links], pa.int64()), "b": pa.array([ids[j] for _, j in links], pa.int64())})
 
     return one.unionAll(many).groupBy("c", "i", "j").applyInArrow(cell, "a long, b long")
@@ -419,7 +389,9 @@ def jaccard_components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 10
     reach. A null text counts as empty; an empty set links with nothing, so its component is its own
     id. Rows with one id and different texts each take part, and links are between sets, so that each
     has the component of its own text; a null id takes part too and is never the smallest unless
-    there is no other. An empty table gives an empty result.
+    there is no other. Ties can't occur: the smallest id is one. Of a column name that an input has
+    besides, nothing is read. A text of any length is hashed in blocks; its set of distinct n-grams
+    has to fit in a task. An empty table gives an empty result.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "jaccard")
@@ -429,15 +401,19 @@ def jaccard_components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 10
     groups = sets.filter("n > 0").groupBy("h1", "h2", F.col("n").alias("size")).agg(F.min("doc_id").alias("first"), F.count("*").alias("copies"))
     # links are between groups of equal sets, which have a number each
     groups = scratch.save(groups.withColumn("node", F.monotonically_increasing_id()), "groups")
-    found = scratch.save(_candidates(docs, n, lower, num, den, total), "candidates")
-    classes = components(found, scratch, "classes")
-    # a class's root has no row of its own
-    classes = classes.unionAll(classes.select(F.col("root").alias("node"), "root").distinct())
-    members = groups.withColumnsRenamed({"node": "number"}).join(classes, F.col("h1") == F.col("node"))
-    members = scratch.save(members.select(F.col("first").alias("doc_id"), F.col("number").alias("node"), "h1", "h2", F.col("root").alias("class")), "members")
-    scratch.drop("candidates")
-    links = scratch.save(_links(members, docs, n, lower, num, den, scratch), "links")
+    found = _candidates(docs, n, lower, num, den, total)
+    found = scratch.save(found.select(F.explode(F.array("a", "b")).alias("h")).distinct(), "candidates")
+    members = groups.join(small_side(found, 16), F.col("h1") == F.col("h")).select(F.col("first").alias("doc_id"), "node", "h1", "h2")
+    members = scratch.save(members, "members")
+    loaded = scratch.save(_load(members, docs, n, lower), "sets")
+    if loaded.count() > members.count():  # repeated rows
+        loaded = scratch.save(loaded.dropDuplicates(["node"]), "sets-once")
+    reach = scratch.save(_rarest_first(loaded, num, den), "reach")
+    for name in ("candidates", "members", "sets", "sets-once"):
+        scratch.drop(name)
+    links = scratch.save(_links(reach, _classes(reach, num, den, scratch), num, den, scratch), "links")
     scratch.drop("reach")
+    scratch.drop("cells")
     roots = components(links, scratch, "components")
     roots = roots.unionAll(roots.select(F.col("root").alias("node"), "root").distinct())
     roots = scratch.save(roots.withColumnsRenamed({"node": "linked"}), "roots")

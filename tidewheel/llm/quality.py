@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .scratch import read_table
-from .textblocks import _BYTE_KEYS, _LOWER, _SPACE, _powers, blocks, mix, ngrams, text_array
+from .textblocks import _LOWER, _SPACE, blocks, mix, ngrams, run_hashes, text_array
 
 _KIND = np.full(256, 3, dtype=np.int8)  # 0 space, 1 letter or part of a longer character, 2 digit, 3 other
 _KIND[_SPACE] = 0
@@ -51,10 +51,7 @@ def features(data: np.ndarray, offsets: np.ndarray, bits: int) -> tuple[np.ndarr
     told = kind[start] > 0 if len(start) else np.zeros(0, dtype=bool)
     start, end = start[told], end[told]
     first = np.searchsorted(start, offsets)
-    power, inverse = _powers(1 << max(20, int(len(data)).bit_length()))
-    total = np.zeros(len(data) + 1, dtype=np.uint64)
-    np.cumsum(_BYTE_KEYS[_LOWER[data]] * power[: len(data)], out=total[1:])
-    token = mix((total[end] - total[start]) * inverse[start])
+    token = run_hashes(_LOWER[data], start, end)
     upper = np.zeros(len(data) + 1, dtype=np.int64)
     np.cumsum(_UPPER[data], out=upper[1:])
     kinds, size = kind[start].astype(np.int64), end - start

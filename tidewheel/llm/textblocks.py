@@ -14,26 +14,15 @@ import numpy as np
 import pyarrow as pa
 
 BLOCK_BYTES = 1 << 19
+#: Bytes of words that are hashed at once: arrays of this size stay in a core's cache.
+RUN_BYTES = 1 << 16
 WORD = r"[^\x20\x09-\x0D]+"
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _SEEDED = np.random.Generator(np.random.PCG64(20240607))
-_BYTE_KEYS = _SEEDED.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _PLACE_KEYS = _SEEDED.integers(1, 2**63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_BASE = 0x9E3779B97F4A7C15
-_INVERSE = pow(_BASE, -1, 2**64)
-
-
-@lru_cache(maxsize=2)
-def _powers(size: int) -> tuple[np.ndarray, np.ndarray]:
-    out = []
-    for base in (_BASE, _INVERSE):
-        p = np.full(size, base, dtype=np.uint64)
-        p[0] = 1
-        out.append(np.cumprod(p, dtype=np.uint64))
-    return out[0], out[1]
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -46,6 +35,39 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h
 
 
+def run_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray, seed: int = 0) -> np.ndarray:
+    """Hash of each run of bytes data[start:end]; runs are in order and don't overlap.
+
+    A sum of a pseudorandom value for each pair of byte and place in the run. Unlike a polynomial
+    modulo 2**64, it has no structure that makes long unequal runs collide. Runs are taken a block at a
+    time, so that temporary arrays stay small for a text of any length.
+    """
+    out = np.zeros(len(start), dtype=np.uint64)
+    size = end - start
+    upto = np.cumsum(size)
+    values = _byte_values(seed)
+    i = 0
+    while i < len(start):
+        before = upto[i] - size[i]
+        j = max(i + 1, int(np.searchsorted(upto, before + RUN_BYTES, side="right")))
+        n, first = size[i:j], upto[i:j] - size[i:j] - before
+        every = np.arange(int(upto[j - 1] - before), dtype=np.int32)
+        place = every - np.repeat(first.astype(np.int32), n)
+        own = data[every + np.repeat((start[i:j] - first).astype(np.int64), n)]
+        value = values[(place & 63) << 8 | own]
+        if n.max() > 64:  # the table has 64 places: later ones get another key for each 64
+            value *= mix((place >> 6).astype(np.uint64)) | np.uint64(1)
+        out[i:j] = np.add.reduceat(value, first)
+        i = j
+    return mix(out + size.astype(np.uint64))
+
+
+@lru_cache(maxsize=4)
+def _byte_values(seed: int) -> np.ndarray:
+    """A value for each place in 64 and byte."""
+    return mix(np.arange(64 * 256, dtype=np.uint64) + np.uint64((2 * seed + 1) * 0x9E3779B97F4A7C15 % 2**64))
+
+
 def text_array(column: pa.Array) -> pa.LargeStringArray:
     """The column with null as the empty text."""
     import pyarrow.compute as pc
@@ -83,11 +105,9 @@ class Words:
         self.end = np.flatnonzero(inside & (~after | edge[1:])) + 1
         self.first = np.searchsorted(self.start, offsets)
 
-    def hashes(self) -> np.ndarray:
-        power, inverse = _powers(1 << max(20, int(len(self.data)).bit_length()))
-        total = np.zeros(len(self.data) + 1, dtype=np.uint64)
-        np.cumsum(_BYTE_KEYS[self.data] * power[: len(self.data)], out=total[1:])
-        return mix((total[self.end] - total[self.start]) * inverse[self.start])
+    def hashes(self, seed: int = 0) -> np.ndarray:
+        """A hash of each word; those of two seeds are independent of each other."""
+        return run_hashes(self.data, self.start, self.end, seed)
 
 
 def ngrams(words: np.ndarray, n: int, salt: int = 0) -> np.ndarray:
