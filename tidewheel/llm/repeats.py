@@ -1,49 +1,69 @@
 r"""Substring dedup: words in long spans that also occur in a document with a smaller id.
 
 Windows of k words are the edges of a de Bruijn graph, from their first to their last k - 1 words.
-Edges that occur in one document only are ruled out first: equal windows share the least hash of
-the m-grams in them, so only the few distinct least hashes of a document are shuffled. What is left
-are edges with source coordinates. In each Arrow batch an edge is settled against the smallest
-document there, so that a very common edge brings an entry for each batch only; a join on two
-independent hashes settles the rest against the smallest document of all. Edges that follow one
-another in a document and in their source, without a branch between, compact to one path, kept as
-a span of coordinates.
+Each edge belongs to the bucket of its minimizer, the least hash of the m-grams in it, which equal
+edges share. Runs of edges with one minimizer travel together, as the words of the run:
+
+1. Equal texts are one node: the smallest document with a text stands for it, all words of the
+   others go. Minimizers that occur in one text only are ruled out, and the edges under them.
+2. In each unit of some megabytes of text, edges are settled against the smallest document there, so
+   that a very common passage brings an entry for each unit only. The rest goes to its buckets,
+   where edges are settled against the smallest document of all, the source.
+3. Edges that follow one another in a document and in its source compact to one path: inside a
+   bucket at once, across buckets by joining pieces along their coordinates. A path ends where the
+   document leaves its source; third documents that branch off inside don't cut it, as that
+   changes no word that goes.
+4. Hashes only propose. Each piece's words are compared, byte by byte, with those at its source's
+   coordinates, before anything is cut.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .scratch import Scratch, partitions, read_table, small_side
+from .scratch import Scratch, partitions, read_table
 from .textblocks import Words, blocks, mix, ngrams, text_array
 
-#: Rows whose edges are settled against one another before anything is shuffled.
-BATCH_ROWS = 2048
+#: Bytes of text whose edges are settled against one another before anything is shuffled (or one text, if that is longer).
+UNIT_BYTES = 4 << 20
+#: Bytes of text for each bucket, roughly, and the most partitions they are dealt to; a task takes one bucket at a time.
+BUCKET_BYTES, MOST_PARTITIONS = 8 << 20, 20_000
+#: Words of runs that are gathered at once.
+RUN_WORDS = 1 << 17
 LAST = 2**63 - 1
 
 
-def windows(data: np.ndarray, offsets: np.ndarray, k: int, m: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
-    """(row, edge, check, least hash of m-grams) of the windows of each row that has any."""
-    words = Words(data, offsets)
-    h, first = words.hashes(), words.first
-    if len(h) < k:
-        return
-    edge, check, grams = ngrams(h, k), ngrams(h, k, salt=2), ngrams(h, m, salt=1)
-    least = grams[: len(edge)].copy()
-    for j in range(1, k - m + 1):
-        np.minimum(least, grams[j : len(edge) + j], out=least)
-    for row, (a, b) in enumerate(zip(first[:-1].tolist(), first[1:].tolist(), strict=True)):
-        if b - a >= k:
-            yield row, edge[a : b - k + 1], check[a : b - k + 1], least[a : b - k + 1]
+class Edges:
+    """The edges of some rows of words: edge i begins at word i; ``valid`` tells those that end in the same row."""
+
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, k: int, m: int = 0):
+        self.words = w = Words(data, offsets)
+        self.k = k
+        n = max(0, len(w.start) - k + 1)
+        self.row = np.repeat(np.arange(len(offsets) - 1), np.diff(w.first))[: len(w.start)]
+        self.valid = np.flatnonzero(self.row[:n] == self.row[k - 1 : k - 1 + n])
+        h = w.hashes()
+        self.edge = ngrams(h, k)
+        self.least = None
+        if m:
+            grams = ngrams(h, m, salt=1)
+            self.least = grams[:n].copy()
+            for j in range(1, k - m + 1):
+                np.minimum(self.least, grams[j : n + j], out=self.least)
+
+    def check(self) -> np.ndarray:
+        """A second hash of each edge, from other hashes of its words."""
+        return ngrams(self.words.hashes(1), self.k, salt=2)
 
 
 def _heads(*keys: np.ndarray) -> np.ndarray:
-    """Where a run of equal sorted keys begins."""
+    """Where a run of equal keys begins."""
     new = np.ones(len(keys[0]), dtype=bool)
     new[1:] = False
     for x in keys:
@@ -51,6 +71,70 @@ def _heads(*keys: np.ndarray) -> np.ndarray:
     return new
 
 
+def _spread(start: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """The numbers start, start + 1, ... n of them, of each pair."""
+    before = np.cumsum(n) - n
+    return np.arange(int(n.sum())) + np.repeat(start - before, n)
+
+
+def _parts(n: np.ndarray) -> Iterator[slice]:
+    """Slices of runs of n words, of RUN_WORDS words or little more each."""
+    cuts = np.flatnonzero(np.diff(np.cumsum(n) // RUN_WORDS)) + 1
+    for x, y in zip([0, *cuts.tolist()], [*cuts.tolist(), len(n)], strict=True):
+        if x < y:
+            yield slice(x, y)
+
+
+def _run_bytes(w: Words, start: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of runs of n words from word start on, each word with a space after it; and the runs' sizes in bytes."""
+    out, sizes = [np.zeros(0, dtype=np.uint8)], [np.zeros(0, dtype=np.int64)]
+    for z in _parts(n):
+        words = _spread(start[z], n[z])
+        size = w.end[words] - w.start[words]
+        told = np.full(int(size.sum()) + len(words), 32, dtype=np.uint8)
+        told[_spread(np.cumsum(size + 1) - size - 1, size)] = w.data[_spread(w.start[words], size)]
+        out.append(told)
+        sizes.append(np.add.reduceat(size + 1, np.cumsum(n[z]) - n[z]))
+    return np.concatenate(out), np.concatenate(sizes)
+
+
+@dataclass
+class Pieces:
+    """Runs of edges that a smaller document has too: first edge and number, and the source's first edge."""
+
+    start: np.ndarray
+    n: np.ndarray
+    source: np.ndarray
+
+
+def settle(e: Edges, some: np.ndarray, doc: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, Pieces]:
+    """Of the edges ``some`` (in order): which occur in no smaller document, and pieces of those that do.
+
+    doc and place tell each row's document and the place of its first word there. The source of an
+    edge is its first place in the smallest document.
+    """
+    row = e.row[some]
+    own, at = doc[row], place[row] + some - e.words.first[row]
+    edge, check = e.edge[some], e.check()[some]
+    order = np.lexsort((at, own, check, edge))
+    head = np.flatnonzero(_heads(edge[order], check[order])) if len(order) else np.zeros(0, dtype=np.int64)
+    source = np.empty(len(some), dtype=np.int64)
+    source[order] = np.repeat(order[head], np.diff(np.append(head, len(order))))
+    late = own > own[source]
+    i, s = some[late], some[source[late]]
+    if not len(i):
+        return ~late, Pieces(i, i, i)
+    new = _heads(row[late])
+    new[1:] |= (i[1:] != i[:-1] + 1) | (s[1:] != s[:-1] + 1)
+    first = np.flatnonzero(new)
+    out = Pieces(i[first], np.diff(np.append(first, len(i))), s[first])
+    for z in _parts(out.n + e.k - 1):
+        a, b = (_run_bytes(e.words, c[z], out.n[z] + e.k - 1) for c in (out.start, out.source))
+        if not (np.array_equal(a[1], b[1]) and np.array_equal(a[0], b[0])):
+            raise ValueError("edges of unequal words have equal hashes")
+    return ~late, out
+
+
 def _rank(sigs: np.ndarray, docs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Distinct (sig, doc) sorted, with the place of each among its sig's documents and their number."""
     order = np.lexsort((docs, sigs))
@@ -62,168 +146,209 @@ def _rank(sigs: np.ndarray, docs: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
     return sigs, docs, np.arange(len(sigs)) - np.repeat(head, count), np.repeat(count, count)
 
 
-def _shared(docs: DataFrame, k: int, m: int, size: int) -> DataFrame:
-    """(doc, sig): least hashes that occur in two documents or more, for each document that has them.
+def _shared(docs: DataFrame, k: int, m: int, buckets: int, unit: int) -> DataFrame:
+    """(told, sig): minimizers that occur in two texts or more, for each text (by its hash ``told``) that has them.
 
-    A batch sends the first two documents of a hash; those after them have their answer already."""
-    buckets = max(partitions(docs.sparkSession), size // (32 << 20))
+    A unit sends the first two texts of a minimizer; those after them have their answer already."""
+    names = ["bucket", "sigs", "docs"]
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for at in range(0, whole.num_rows, BATCH_ROWS):
-                b = whole.slice(at, BATCH_ROWS)
-                ids, sigs, own = b.column(0).to_numpy(), [], []
-                for start, _, data, offsets in blocks(text_array(b.column(1))):
-                    for row, _, _, least in windows(data, offsets, k, m):
-                        few = least[_heads(least)]
-                        sigs.append(few)
-                        own.append(np.full(len(few), ids[start + row], dtype=np.int64))
-                if not sigs:
+        for b in batches:
+            ids = b.column(0).to_numpy()
+            for start, _, data, offsets in blocks(text_array(b.column(1)), unit):
+                e = Edges(data, offsets, k, m)
+                if not len(e.valid):
                     continue
-                sig, doc, place, _ = _rank(np.concatenate(sigs), np.concatenate(own))
+                row, least = e.row[e.valid], e.least[e.valid]
+                few = _heads(row, least)
+                sig, doc, place, _ = _rank(least[few], ids[start + row[few]])
                 known, ask = place > 1, place <= 1
                 rows = [(-1 - int(doc[known][0] % buckets), sig[known].tobytes(), doc[known].tobytes())] if known.any() else []
                 sig, doc = sig[ask], doc[ask]
                 to = (mix(sig) % np.uint64(buckets)).astype(np.int64)
                 order = np.lexsort((doc, to))
-                sig, doc, cuts = sig[order], doc[order], np.searchsorted(to[order], np.arange(buckets + 1))
-                rows += [(i, sig[x:y].tobytes(), doc[x:y].tobytes()) for i, (x, y) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if x < y]
+                sig, doc, to = sig[order], doc[order], to[order]
+                cuts = [*np.flatnonzero(_heads(to)).tolist(), len(to)]
+                rows += [(int(to[x]), sig[x:y].tobytes(), doc[x:y].tobytes()) for x, y in zip(cuts, cuts[1:], strict=False)]
                 cols = zip(zip(*rows, strict=True), (pa.int32(), pa.binary(), pa.binary()), strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in cols], ["bucket", "sigs", "docs"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in cols], names)
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        asked, out = [], []
-        for b in batches:
-            for i, s, d in zip(*[c.to_pylist() for c in b.columns], strict=True):
-                (out if i < 0 else asked).append((np.frombuffer(s, np.uint64), np.frombuffer(d, np.int64)))
-        if asked:
-            sig, doc, _, count = _rank(*[np.concatenate(x) for x in zip(*asked, strict=True)])
-            out.append((sig[count > 1], doc[count > 1]))
-        for sig, doc in out:
+        for bucket, sigs, own in _buckets(batches):
+            sig, doc = np.frombuffer(sigs, np.uint64), np.frombuffer(own, np.int64)
+            if bucket >= 0:
+                sig, doc, _, count = _rank(sig, doc)
+                sig, doc = sig[count > 1], doc[count > 1]
             for i in range(0, len(sig), 1 << 16):
-                yield pa.RecordBatch.from_arrays([pa.array(doc[i : i + (1 << 16)]), pa.array(sig[i : i + (1 << 16)].view(np.int64))], ["doc", "sig"])
-
-    return docs.select("doc", "text").mapInArrow(send, "bucket int, sigs binary, docs binary").repartition(buckets, "bucket").mapInArrow(meet, "doc long, sig long")
-
-
-def _edges(docs: DataFrame, k: int, m: int) -> DataFrame:
-    """Edges of docs(doc, told, text, sigs). With an owner: a span whose edges all occur in the smaller document
-    ``owner`` of the same batch. Without: one edge at ``start`` that no document of the batch before it has."""
-    names = ["edge", "check", "doc", "told", "start", "end", "owner"]
-    kinds = [pa.int64()] * 4 + [pa.int32()] * 2 + [pa.int64()]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for at in range(0, whole.num_rows, BATCH_ROWS):
-                b = whole.slice(at, BATCH_ROWS)
-                ids, told = b.column(0).to_numpy(), b.column(1).to_numpy()
-                got: list[tuple] = []
-                for first, _, data, offsets in blocks(text_array(b.column(2))):
-                    for row, edge, check, least in windows(data, offsets, k, m):
-                        sigs = b.column(3)[first + row].values.to_numpy().view(np.uint64)
-                        pos = np.flatnonzero(np.isin(least, sigs))
-                        n = len(pos)
-                        got.append((edge[pos], check[pos], np.full(n, ids[first + row]), np.full(n, told[first + row]), pos))
-                if not got:
-                    continue
-                edge, check, doc, text, pos = (np.concatenate(x) for x in zip(*got, strict=True))
-                order = np.lexsort((pos, doc, check, edge))
-                edge, check, doc, text, pos = (x[order] for x in (edge, check, doc, text, pos))
-                head = np.flatnonzero(_heads(edge, check)) if len(edge) else np.zeros(0, dtype=np.int64)
-                source = np.repeat(head, np.diff(np.append(head, len(edge))))
-                owner, owner_pos = doc[source], pos[source]
-                ask = doc == owner
-                none = np.zeros(0, dtype=np.int64)
-                parts = [(edge[ask], check[ask], doc[ask], text[ask], pos[ask], pos[ask], None)]
-                done = np.flatnonzero(~ask)
-                done = done[np.lexsort((pos[done], owner_pos[done] - pos[done], owner[done], text[done], doc[done]))]
-                if len(done):
-                    d, t, o, p, shift = doc[done], text[done], owner[done], pos[done], owner_pos[done] - pos[done]
-                    new = _heads(d, t, o, shift)
-                    new[1:] |= p[1:] > p[:-1] + 1
-                    x = np.flatnonzero(new)
-                    y = np.append(x[1:], len(p)) - 1
-                    parts.append((none, none, d[x], t[x], p[x], p[y], o[x]))
-                for e, c, d, t, x, y, o in parts:
-                    n = len(d)
-                    for i in range(0, n, 1 << 16):
-                        z = slice(i, min(n, i + (1 << 16)))
-                        blank = pa.nulls(z.stop - z.start, pa.int64())
-                        cols = [
-                            pa.array(e.view(np.int64)[z]) if o is None else blank,
-                            pa.array(c.view(np.int64)[z]) if o is None else blank,
-                            *[pa.array(v[z].astype(np.int64)) for v in (d, t)],
-                            *[pa.array(v[z].astype(np.int32)) for v in (x, y)],
-                            blank if o is None else pa.array(o[z]),
-                        ]
-                        yield pa.RecordBatch.from_arrays([c.cast(t) for c, t in zip(cols, kinds, strict=True)], names)
-
-    return docs.select("doc", "told", "text", "sigs").mapInArrow(run, "edge long, check long, doc long, told long, start int, end int, owner long")
-
-
-def repeated_spans(docs: DataFrame, scratch: Scratch, k: int = 13, m: int = 8) -> DataFrame:
-    """(doc, told, spans array<struct<start, end>>): first positions of windows that a smaller document has too."""
+                yield pa.RecordBatch.from_arrays([pa.array(doc[i : i + (1 << 16)]), pa.array(sig[i : i + (1 << 16)].view(np.int64))], ["told", "sig"])
+
+    told = docs.select("told", "text").mapInArrow(send, "bucket int, sigs binary, docs binary")
+    return _dealt(told, buckets).mapInArrow(meet, "told long, sig long")
+
+
+def _dealt(rows: DataFrame, buckets: int) -> DataFrame:
+    return rows.repartition(min(buckets, MOST_PARTITIONS), "bucket").sortWithinPartitions("bucket")
+
+
+def _buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, bytes, bytes]]:
+    """(bucket, its first column joined, its second) of rows sorted by bucket."""
+    now, one, two = None, [], []
+    for b in batches:
+        for bucket, x, y in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            if bucket != now and one:
+                yield now, b"".join(one), b"".join(two)
+                one, two = [], []
+            now = bucket
+            one.append(x)
+            two.append(y)
+    if one:
+        yield now, b"".join(one), b"".join(two)
+
+
+_PIECE = "doc long, told long, start int, end int, owner long, shift int"
+
+
+def _told(doc: np.ndarray, told: np.ndarray, start: np.ndarray, n: np.ndarray, owner: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Pieces as rows of _PIECE."""
+    return np.stack([doc, told, start, start + n - 1, owner, at - start], axis=1)
+
+
+def _pieces(docs: DataFrame, k: int, m: int, buckets: int, unit: int) -> DataFrame:
+    """Pieces of paths of docs(doc, told, text, sigs), as in _PIECE: places of a document's edges, and how far on they are in the owner."""
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            ids, hashes, sigs = b.column(0).to_numpy(), b.column(1).to_numpy(), b.column(3)
+            for start, end, data, offsets in blocks(text_array(b.column(2)), unit):
+                e = Edges(data, offsets, k, m)
+                doc, told, w = ids[start:end], hashes[start:end], e.words
+                row = e.row[e.valid]
+                cuts = np.searchsorted(row, np.arange(end - start + 1))
+                keep = [x + np.flatnonzero(np.isin(e.least[e.valid[x:y]], sigs[start + r].values.to_numpy().view(np.uint64))) for r, (x, y) in enumerate(zip(cuts[:-1], cuts[1:], strict=True))]
+                some = e.valid[np.concatenate([np.zeros(0, np.int64), *keep])]
+                ask, done = settle(e, some, doc, np.zeros(end - start, dtype=np.int64))
+                rows = []
+                if len(done.n):
+                    own, of = e.row[done.start], e.row[done.source]
+                    found = _told(doc[own], told[own], done.start - w.first[own], done.n, doc[of], done.source - w.first[of])
+                    rows.append((-1 - int(doc[0] % buckets), found.tobytes(), b""))
+                i = some[ask]
+                if len(i):
+                    new = _heads(e.row[i], e.least[i])
+                    new[1:] |= i[1:] != i[:-1] + 1
+                    first = np.flatnonzero(new)
+                    n, i = np.diff(np.append(first, len(i))), i[first]
+                    to = (mix(e.least[i]) % np.uint64(buckets)).astype(np.int64)
+                    order = np.argsort(to, kind="stable")
+                    i, n, to = i[order], n[order], to[order]
+                    own = e.row[i]
+                    text, size = _run_bytes(w, i, n + k - 1)
+                    heads = np.stack([doc[own], told[own], i - w.first[own], size], axis=1)
+                    ends, cuts = np.cumsum(size), [*np.flatnonzero(_heads(to)).tolist(), len(to)]
+                    for x, y in zip(cuts, cuts[1:], strict=False):
+                        rows.append((int(to[x]), heads[x:y].tobytes(), text[ends[x] - size[x] : ends[y - 1]].tobytes()))
+                if rows:
+                    cols = zip(zip(*rows, strict=True), (pa.int32(), pa.binary(), pa.binary()), strict=True)
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in cols], ["bucket", "heads", "text"])
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for bucket, heads, text in _buckets(batches):
+            if bucket < 0:
+                yield from out(np.frombuffer(heads, np.int64).reshape(-1, 6))
+                continue
+            doc, told, place, size = np.frombuffer(heads, np.int64).reshape(-1, 4).T
+            e = Edges(np.frombuffer(text, np.uint8), np.concatenate(([0], np.cumsum(size))), k)
+            _, late = settle(e, e.valid, doc, place)
+            own, of = e.row[late.start], e.row[late.source]
+            start, source = place[own] + late.start - e.words.first[own], place[of] + late.source - e.words.first[of]
+            yield from out(_told(doc[own], told[own], start, late.n, doc[of], source))
+
+    def out(rows: np.ndarray) -> Iterator[pa.RecordBatch]:
+        kinds = (np.int64, np.int64, np.int32, np.int32, np.int64, np.int32)
+        for i in range(0, len(rows), 1 << 16):
+            cols = [pa.array(np.ascontiguousarray(rows[i : i + (1 << 16), j]).astype(t)) for j, t in enumerate(kinds)]
+            yield pa.RecordBatch.from_arrays(cols, [x.split()[0] for x in _PIECE.split(", ")])
+
+    told = docs.select("doc", "told", "text", "sigs").mapInArrow(send, "bucket int, heads binary, text binary")
+    return _dealt(told, buckets).mapInArrow(meet, _PIECE)
+
+
+def _texts(docs: DataFrame) -> DataFrame:
+    """(told, other, first, copies) of each text of docs(doc, told, other): two hashes, its smallest document and whether larger ones have it too."""
+    found = docs.groupBy("told", "other").agg(F.min("doc").alias("first"), F.max("doc").alias("last"))
+    return found.select("told", "other", "first", (F.col("first") < F.col("last")).alias("copies"))
+
+
+def repeated_paths(docs: DataFrame, texts: DataFrame, scratch: Scratch, k: int = 13, m: int = 8, unit: int = UNIT_BYTES) -> DataFrame:
+    """(doc, told, start, end, owner, shift): paths of edges start..end of a document that ``owner``, a smaller one, has at start + shift.
+
+    docs has doc, told, other and text, and each of texts is looked at in its first document only."""
     size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    sigs = _shared(docs, k, m, size).groupBy(F.col("doc").alias("d")).agg(F.collect_set("sig").alias("sigs"))
-    found = docs.join(sigs, F.col("doc") == F.col("d"))
-    edges = scratch.save(_edges(found, k, m), "edges")
-    asked = edges.filter(F.col("owner").isNull())
-    first = F.min(F.struct("doc", "start")).over(Window.partitionBy("edge", "check"))
-    late = asked.withColumn("source", first).filter(F.col("source.doc") < F.col("doc"))
-    # edges that follow one another in the document and in its source are one path
-    late = late.select("doc", "told", "start", F.col("source.doc").alias("owner"), (F.col("source.start") - F.col("start")).alias("shift"))
-    along = Window.partitionBy("doc", "told", "owner", "shift").orderBy("start")
-    late = late.withColumn("path", F.col("start") - F.dense_rank().over(along))
-    paths = late.groupBy("doc", "told", "owner", "shift", "path").agg(F.min("start").alias("start"), F.max("start").alias("end"))
-    spans = edges.filter(F.col("owner").isNotNull()).select("doc", "told", "start", "end").unionAll(paths.select("doc", "told", "start", "end"))
-    return scratch.save(spans.groupBy("doc", "told").agg(F.collect_set(F.struct("start", "end")).alias("spans")), "spans")
-
-
-def substring_dedup(docs: DataFrame, k: int = 13, m: int = 8, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    buckets = max(partitions(docs.sparkSession), size // BUCKET_BYTES)
+    sigs = _shared(docs, k, m, buckets, unit).groupBy(F.col("told").alias("t")).agg(F.collect_set("sig").alias("sigs"))
+    some = texts.join(sigs, F.col("told") == F.col("t")).select("t", F.col("other").alias("o"), "first", "sigs")
+    some = docs.join(some, (F.col("told") == F.col("t")) & (F.col("other") == F.col("o")) & (F.col("doc") == F.col("first")))
+    pieces = scratch.save(_pieces(some, k, m, buckets, unit), "pieces")
+    # pieces that touch along a document and its source are one path
+    along = Window.partitionBy("doc", "told", "owner", "shift").orderBy("start", "end")
+    before = F.max("end").over(along.rowsBetween(Window.unboundedPreceding, -1))
+    path = F.sum(F.when(F.col("start") <= F.col("before") + 1, 0).otherwise(1)).over(along)
+    paths = pieces.withColumn("before", before).withColumn("path", path)
+    return paths.groupBy("doc", "told", "owner", "shift", "path").agg(F.min("start").alias("start"), F.max("end").alias("end")).drop("path")
+
+
+def _cut(k: int):
+    """A function of (text, whether all its edges go, first edges, last edges of its paths) to (n_words, n_removed, kept)."""
+
+    def run(texts: pa.Array, copies: pa.Array, starts: pa.Array, ends: pa.Array) -> pa.Array:
+        n, gone, kept = [], [], []
+        for first, _, data, offsets in blocks(text_array(texts)):
+            w = Words(data, offsets)
+            for row, (x, y) in enumerate(zip(w.first[:-1].tolist(), w.first[1:].tolist(), strict=True)):
+                n.append(y - x)
+                left = np.arange(x, y)
+                if copies[first + row].as_py() and y - x >= k:
+                    left = left[:0]
+                elif starts[first + row].is_valid and not copies[first + row].as_py():
+                    step = np.zeros(y - x + 1, dtype=np.int64)
+                    np.add.at(step, starts[first + row].values.to_numpy(), 1)
+                    np.add.at(step, ends[first + row].values.to_numpy() + k, -1)
+                    left = x + np.flatnonzero(np.cumsum(step[:-1]) == 0)
+                gone.append(y - x - len(left))
+                new = np.flatnonzero(_heads(left - np.arange(len(left)))) if len(left) else left
+                text, _ = _run_bytes(w, left[new], np.diff(np.append(new, len(left))))
+                kept.append(text[:-1].tobytes().decode())
+        cols = [pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(kept, pa.string())]
+        return pa.StructArray.from_arrays(cols, ["n_words", "n_removed", "kept"])
+
+    return F.arrow_udf(run, "n_words long, n_removed long, kept string")
+
+
+def substring_dedup(docs: DataFrame, k: int = 13, m: int = 8, keep: tuple[str, ...] = ("doc_id",), unit: int = UNIT_BYTES) -> DataFrame:
     """The columns ``keep`` of docs(doc_id, text, ...), n_words, n_removed and kept (the words left, joined by a space).
 
     A word goes if a window of k words over it also starts in a document with a smaller doc_id;
     windows are those of the input. A null text has no words. A null doc_id comes after every
     other; rows with one id are one document to each other, so they take nothing from each other,
-    whatever their texts. Repeated rows give repeated rows, an empty table gives none.
+    whatever their texts. Repeated rows give repeated rows, an empty table gives none. Other columns
+    aren't read, whatever their names, but ``keep`` may not hold n_words, n_removed or kept. A text
+    longer than a unit is a unit of its own, and has to fit in a task with some 30 bytes for each of its own.
     """
     scratch = Scratch(docs.sparkSession, "repeats")
     doc, text = F.coalesce(docs["doc_id"].cast("long"), F.lit(LAST)), F.coalesce(docs["text"].cast("string"), F.lit(""))
-    plain = docs.select(doc.alias("doc"), F.xxhash64(text).alias("told"), text.alias("text"))
-    spans = repeated_spans(plain, scratch, k, m)
-    rows = docs.select(*[docs[c].alias(f"k{i}") for i, c in enumerate(keep)], doc.alias("_d"), F.xxhash64(text).alias("_t"), text.alias("_text"))
-    # a span takes 8 bytes and stands for k words at least, which bounds a row by its text
-    weight = spans.agg(F.coalesce(F.max(F.size("spans")), F.lit(0))).first()[0]
-    rows = rows.join(small_side(spans, 48 + 16 * weight), (F.col("_d") == F.col("doc")) & (F.col("_t") == F.col("told")), "left")
-    rows = rows.select(*[f"k{i}" for i in range(len(keep))], F.col("spans.start").alias("_from"), F.col("spans.end").alias("_to"), "_text")
-    out = docs.select(*[docs[c] for c in keep]).schema.add("n_words", "long").add("n_removed", "long").add("kept", "string")
-    names = [*keep, "n_words", "n_removed", "kept"]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for at in range(0, whole.num_rows, 256):
-                b = whole.slice(at, 256)
-                n, gone, kept = [], [], []
-                for first, _, data, offsets in blocks(text_array(b.column(len(keep) + 2))):
-                    w = Words(data, offsets)
-                    for row, (x, y) in enumerate(zip(w.first[:-1].tolist(), w.first[1:].tolist(), strict=True)):
-                        stays = np.ones(y - x, dtype=bool)
-                        starts, ends = b.column(len(keep))[first + row], b.column(len(keep) + 1)[first + row]
-                        if starts.is_valid:
-                            step = np.zeros(y - x + 1, dtype=np.int64)
-                            np.add.at(step, starts.values.to_numpy(), 1)
-                            np.add.at(step, ends.values.to_numpy() + k, -1)
-                            stays = np.cumsum(step[:-1]) == 0
-                        left = x + np.flatnonzero(stays)
-                        raw = data.tobytes() if len(offsets) == 2 else data[offsets[row] : offsets[row + 1]].tobytes()
-                        base = int(offsets[row])
-                        kept.append(b" ".join([raw[s - base : e - base] for s, e in zip(w.start[left].tolist(), w.end[left].tolist(), strict=True)]).decode())
-                        n.append(y - x)
-                        gone.append(y - x - len(left))
-                cols = [*b.columns[: len(keep)], pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(kept, pa.string())]
-                yield pa.RecordBatch.from_arrays(cols, names)
-
-    return rows.mapInArrow(run, out)
+    hashes = [F.xxhash64(text), F.xxhash64(F.lit(1), text)]
+    plain = docs.select(doc.alias("doc"), hashes[0].alias("told"), hashes[1].alias("other"), text.alias("text"))
+    texts = scratch.save(_texts(plain), "texts")
+    spans = repeated_paths(plain, texts, scratch, k, m, unit).groupBy(F.col("doc").alias("d"), F.col("told").alias("t")).agg(F.collect_set(F.struct("start", "end")).alias("spans"))
+    # what is to be done with a text: all of it goes but in its first document, and there the spans do
+    told = texts.join(spans, (F.col("first") == F.col("d")) & (F.col("told") == F.col("t")), "left").filter("copies OR spans IS NOT NULL")
+    told = scratch.save(told.select("told", "other", "first", "spans"), "told")
+    scratch.drop("pieces")
+    rows = docs.select(*[docs[c].alias(f"k{i}") for i, c in enumerate(keep)], doc.alias("_d"), hashes[0].alias("_t"), hashes[1].alias("_o"), text.alias("_text"))
+    rows = rows.join(told, (F.col("_t") == F.col("told")) & (F.col("_o") == F.col("other")), "left")
+    copy = F.coalesce(F.col("_d") > F.col("first"), F.lit(False))
+    rows = rows.withColumn("_new", _cut(k)("_text", copy, F.col("spans.start"), F.col("spans.end")))
+    return rows.select(*[F.col(f"k{i}").alias(c) for i, c in enumerate(keep)], "_new.n_words", "_new.n_removed", "_new.kept")
 
 
 def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

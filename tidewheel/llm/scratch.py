@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import atexit
+import re
+import shutil
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: A side of a join is broadcast only if a count of its rows shows at most this many bytes.
@@ -13,10 +16,14 @@ BROADCAST_BYTES = 48 << 20
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The cluster's ``spark.checkpoint.dir``; a temporary folder only where that is unset, as in tests."""
+    """The cluster's ``spark.checkpoint.dir``; a folder of this process only where that is unset and all tasks run in this process, as in tests."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder is None:
-        folder = "file://" + tempfile.mkdtemp(prefix="tidewheel-")
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
+        own = tempfile.mkdtemp(prefix="tidewheel-")
+        atexit.register(shutil.rmtree, own, ignore_errors=True)
+        folder = f"file://{own}"
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
 
@@ -39,9 +46,14 @@ class Scratch:
         path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def small_side(df: DataFrame, row_bytes: int) -> DataFrame:
-    """``df`` with a broadcast hint if its counted rows fit in BROADCAST_BYTES, else as it is (a shuffled join)."""
-    return F.broadcast(df) if df.count() * row_bytes <= BROADCAST_BYTES else df
+def small_side(df: DataFrame, row_bytes: int, *more: Column) -> DataFrame:
+    """``df`` with a broadcast hint if its rows are counted to fit in BROADCAST_BYTES, else as it is (a shuffled join).
+
+    ``row_bytes`` is for the columns of fixed size; ``more`` are columns with the bytes of the others.
+    """
+    each = sum((F.coalesce(c.cast("long"), F.lit(0)) for c in more), F.lit(row_bytes).cast("long"))
+    size = df.agg(F.coalesce(F.sum(each), F.lit(0))).first()[0]
+    return F.broadcast(df) if size <= BROADCAST_BYTES else df
 
 
 def partitions(spark: SparkSession) -> int:
