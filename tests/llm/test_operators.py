@@ -169,12 +169,18 @@ def brute_dedup(rows, k=13):
     return out
 
 
-@pytest.mark.parametrize("batch", [3, 2048])
-def test_substring_dedup(spark, batch, monkeypatch):
+@pytest.mark.parametrize("unit", [2000, 8 << 20])
+def test_substring_dedup(spark, unit):
     rows = sample_texts(9)
     rows += [(None, rows[20][1], "a"), (30, rows[21][1], "a"), (99, ("r s t " * 3000).strip(), "a"), (100, ("r s t " * 50).strip(), "a")]
-    monkeypatch.setattr(repeats, "BATCH_ROWS", batch)
-    got = repeats.substring_dedup(make_docs(spark, rows).repartition(3))
+    long = " ".join(f"x{i % 70000}" for i in range(200_000))  # over a block, and it repeats itself
+    word = "a"
+    while len(word) < 2048:
+        word += word.translate(str.maketrans("ab", "ba"))
+    rows += [(200, long, "a"), (201, f"{long[:300_000]} {prose(20, 1)} {long[500_000:900_000]}", "a")]
+    # words that collide under a polynomial hash
+    rows += [(202 + i, " ".join(f"y{j}" for j in range(6)) + f" {w} " + " ".join(f"z{j}" for j in range(6)), "a") for i, w in enumerate((word, word.translate(str.maketrans("ab", "ba"))))]
+    got = repeats.substring_dedup(make_docs(spark, rows).repartition(3), unit=unit)
     key = lambda r: tuple(str(x) for x in r)
     assert sorted(map(tuple, got.collect()), key=key) == sorted(brute_dedup(rows), key=key)
 
@@ -247,6 +253,41 @@ def test_unknown_licences_are_bounded_over_all_lines(spark):
     assert licences.edge({9: 3, 5: 2, 1: 4}, 10, 5) == 0.5 and licences.edge({9: 3, 5: 2}, 10, 2) == 1.0
 
 
+def test_mix_takes_smallest_keys_first(spark):
+    """Rows against a brute-force version: whole epochs, then keys in order, with weights far apart and one source of most rows."""
+    import hashlib
+    import math
+
+    rnd = random.Random(2)
+    rows = [(i, " ".join("x#$|"[rnd.random() < 0.5 :][:1] * 4 for _ in range(rnd.randrange(0, 30))) or None, rnd.choice([*"aaaaaab", None])) for i in range(400)]
+    size = {i: len(words_of(t)) for i, t, _ in rows}
+    names = sorted({s for _, _, s in rows if s}) + [None]
+    weight = {s: (3, 1, 2)[k % 3] for k, s in enumerate(names)}
+    own = {s: sum(size[i] for i, _, x in rows if x == s) for s in names}
+    left, open_, target = 1.5 * sum(own.values()), set(names), {}
+    while open_:
+        level = left / sum(weight[s] for s in open_)
+        over = {s for s in open_ if level * weight[s] > 2 * own[s]}
+        for s in over or open_:
+            target[s] = 2.0 * own[s] if over else level * weight[s]
+            left -= target[s] if over else 0
+        open_ = open_ - over if over else set()
+
+    def key(i, t):
+        u = (int(hashlib.md5(f"17:{i}".encode()).hexdigest()[:12], 16) + 0.5) / 2**48
+        return -math.log(u) / (max(0.05, sum(c not in mixing.SYMBOLS for c in t) / len(t)) if t else 0.05)
+
+    want = {}
+    for s in names:
+        epochs, rest = divmod(math.floor(target[s] + 0.5), own[s])
+        for i, t, _ in sorted((r for r in rows if r[2] == s), key=lambda r: (key(r[0], r[1]), r[0])):
+            part = min(size[i], rest)
+            rest -= part
+            want[i] = epochs * size[i] + part
+    got = mixing.mix(make_docs(spark, rows), bucket_rows=9)
+    assert {r.doc_id: r.taken for r in got.collect()} == want
+
+
 def test_mix_meets_targets(spark):
     docs = make_docs(spark, sample_texts(11))
     got = mixing.mix(docs)
@@ -302,6 +343,25 @@ def test_quality_learns_and_scores_empty_texts(spark):
     assert all((got[i] > 0.5) == (i % 2 == 1) for i in range(200)) and got[900] == got[901] and len(got) == 202
 
 
+def test_quality_doesnt_depend_on_order_or_repeats(spark):
+    """Repeated rows, several texts of an id and labels without a document leave the weights as they are."""
+    rows = [(i % 50, f"{'good' if i % 2 else '## $$'} {prose(8, i)}", "a") for i in range(200)]
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(400)], "doc_id long, quality int, toxic int")
+    some = quality.Settings(max_rows=30, bits=12)
+    one = quality.train(make_docs(spark, rows), labels, some)
+    two = quality.train(make_docs(spark, [*rows[::-1], *rows]).repartition(5), labels.repartition(3), some)
+    assert np.array_equal(one, two) and np.abs(one).sum() > 0
+
+
+def test_quality_of_held_out_labels(spark):
+    """The labels that no learning saw are told right."""
+    folder = "/root/testdata/sf0.01"
+    docs, labels = (spark.read.parquet(f"{folder}/{t}.parquet") for t in ("documents", "labels"))
+    got = quality.op10_quality(spark, folder).join(labels, "doc_id").filter("held_out").select("score", "predicted", "quality").collect()
+    assert len(got) > 50 and sum((r.score >= 0.5) == r.quality for r in got) >= 0.97 * len(got) and sum(r.predicted == r.quality for r in got) >= 0.95 * len(got)
+    assert docs.count() == quality.op10_quality(spark, folder).count()
+
+
 def test_empty_tables(spark):
     docs = make_docs(spark, [])
     assert jaccard.jaccard_components(docs).count() == 0

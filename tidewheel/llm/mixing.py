@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 
 from .scratch import Scratch, read_table, small_side
 
+#: Quantiles of keys, from which each source's buckets are laid out.
+CUTS = 32
 SYMBOLS = "|#$%&*!<>{}[]\\/@~^=+_"
 
 
@@ -58,7 +60,7 @@ def mix(
     cycle: tuple[float, ...] = (3.0, 1.0, 2.0),
     most: float = 2.0,
     seed: int = 17,
-    bucket_rows: int = 20_000,
+    bucket_rows: int = 10_000,
     quality_weight: Column | None = None,
 ) -> DataFrame:
     """doc_id, size, source_size, target, taken, source for every row of docs(doc_id, text, source).
@@ -66,28 +68,40 @@ def mix(
     Nulls: a null text has size 0 and takes nothing, a null source is one source and comes last, a
     null doc_id is an id like any other. Rows with equal keys go by doc_id, then size; rows equal
     in both may swap, which leaves the same result. An empty table gives an empty result.
-    Only ids and sizes are sorted. Within a source, keys are dealt to buckets by a monotone map,
-    so a source with most of the rows is sorted in many tasks and sums of buckets give the offsets.
+    Other columns aren't read, whatever their names; a text of any length gives its size only. Only
+    ids and sizes are sorted. Within a source, keys are dealt to buckets by a monotone map that
+    follows their quantiles, so a source with most of the rows is sorted in many tasks whatever its
+    weights, and sums of buckets give the offsets.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "mix")
     weight = quality(F.col("text")) if quality_weight is None else quality_weight
     meta = docs.select("doc_id", "source", n_words(F.col("text")).alias("size"), (-F.log(uniform(F.col("doc_id"), seed)) / weight).alias("key"))
     meta = scratch.save(meta, "meta")
-    sizes = meta.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("rows"))
-    targets = scratch.save(source_targets(sizes, budget_share, cycle, most), "targets")
+    spread = F.col("key") / (1 + F.col("key"))
+    cuts = F.percentile_approx(spread, [i / CUTS for i in range(CUTS + 1)], 10 * CUTS).alias("cuts")
+    sizes = meta.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("rows"), cuts)
+    sizes = scratch.save(sizes, "sizes")
+    targets = source_targets(sizes.drop("cuts"), budget_share, cycle, most)
+    targets = targets.join(sizes.select(F.col("source").alias("_source"), "cuts"), F.col("s").eqNullSafe(F.col("_source"))).drop("_source")
+    targets = scratch.save(targets, "targets")
     budget = F.floor(F.col("target") + 0.5).cast("long")
     targets = targets.withColumn("epochs", F.when(F.col("source_size") > 0, F.floor(budget / F.col("source_size"))).otherwise(0).cast("long"))
     targets = targets.withColumn("rest", budget - F.col("epochs") * F.col("source_size"))
-    dealt = meta.join(small_side(targets, 200), F.col("source").eqNullSafe(F.col("s"))).drop("s")
-    dealt = dealt.withColumn("bucket", F.floor((1 - F.exp(-F.col("key"))) * F.ceil(F.col("rows") / bucket_rows)).cast("long"))
+    dealt = meta.join(small_side(targets, 80 + 8 * CUTS, F.octet_length("s")), F.col("source").eqNullSafe(F.col("s"))).drop("s")
+    # the quantile below the key, and how far it is from there to the next: rows of a source come in equal parts, nearly
+    low = F.greatest(F.size(F.filter("cuts", lambda c: c <= spread)), F.lit(1))
+    near = lambda i: F.get("cuts", F.least(i, F.lit(CUTS)))
+    part = (spread - near(low - 1)) / F.when(near(low) > near(low - 1), near(low) - near(low - 1))
+    share = (low - 1 + F.greatest(F.lit(0.0), F.least(F.lit(0.999), F.coalesce(part, F.lit(0.0))))) / (CUTS + 1)
+    dealt = dealt.withColumn("bucket", F.floor(share * F.ceil(F.col("rows") / bucket_rows)).cast("long")).drop("cuts")
     sums = dealt.groupBy("source", "bucket").agg(F.sum("size").alias("words"))
     order = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     sums = sums.select(F.col("source").alias("s"), F.col("bucket").alias("b"), F.coalesce(F.sum("words").over(order), F.lit(0)).alias("offset"))
     sums = scratch.save(sums, "offsets")
     inside = Window.partitionBy("source", "bucket").orderBy("key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
     ranked = dealt.withColumn("prefix", F.coalesce(F.sum("size").over(inside), F.lit(0)))
-    ranked = ranked.join(small_side(sums, 100), F.col("source").eqNullSafe(F.col("s")) & (F.col("bucket") == F.col("b")))
+    ranked = ranked.join(small_side(sums, 40, F.octet_length("s")), F.col("source").eqNullSafe(F.col("s")) & (F.col("bucket") == F.col("b")))
     part = F.greatest(F.lit(0).cast("long"), F.least(F.col("size"), F.col("rest") - F.col("offset") - F.col("prefix")))
     return ranked.select("doc_id", "size", "source_size", "target", (F.col("epochs") * F.col("size") + part).alias("taken"), "source")
 

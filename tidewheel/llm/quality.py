@@ -124,22 +124,24 @@ def held_out(doc_id: Column) -> Column:
 def train(docs: DataFrame, labels: DataFrame, s: Settings = Settings()) -> np.ndarray:
     """Weights from docs(doc_id, text) with labels(doc_id, quality) that aren't held out.
 
-    At most ``max_rows`` labels are used, so they can be broadcast and one task can learn from them.
-    Of several labels of an id the smallest counts; null ids and labels are left out. Without any
-    row the weights are 0 and every score is 0.5.
+    At most ``max_rows`` documents with a label are used, so that their ids can be broadcast and one
+    task can learn from them. Of several labels of an id the smallest counts, of several texts of an
+    id the one with the smallest hash; null ids and labels are left out. Without any row the weights
+    are 0 and every score is 0.5. The order of the input doesn't matter.
     """
     known = labels.filter(F.col("quality").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
     known = known.groupBy("doc_id").agg(F.min("quality").cast("int").alias("label"))
-    known = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(s.max_rows)
-    some = docs.select("doc_id", "text").join(F.broadcast(known), "doc_id")
+    known = known.join(docs.select("doc_id"), "doc_id", "left_semi").orderBy(F.xxhash64("doc_id"), "doc_id").limit(s.max_rows)
+    texts = docs.select("doc_id", docs["text"].cast("string").alias("text")).join(F.broadcast(known), "doc_id")
+    some = texts.groupBy("doc_id", "label").agg(F.min(F.struct(F.xxhash64("text").alias("h"), "text")).alias("t"))
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for start in range(0, b.num_rows, 128):
                 part = b.slice(start, 128)
-                own = list(examples(part.column(1), s))
+                own = list(examples(part.column(2), s))
                 at, x = (pa.array([e[k].tobytes() for e in own], pa.binary()) for k in (0, 1))
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), at, x], ["doc_id", "label", "at", "x"])
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), at, x], ["doc_id", "label", "at", "x"])
 
     def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = []
@@ -148,26 +150,30 @@ def train(docs: DataFrame, labels: DataFrame, s: Settings = Settings()) -> np.nd
                 rows.append((np.frombuffer(at, np.int32), np.frombuffer(x, np.float32), y))
         yield pa.RecordBatch.from_arrays([pa.array([learn(rows, s).tobytes()], pa.binary())], ["weights"])
 
-    seen = some.mapInArrow(extract, "doc_id long, label int, at binary, x binary")
-    # one task by contract of max_rows; repeated ids are repeated rows, whose order doesn't matter
+    seen = some.select(F.col("doc_id").cast("long"), "label", "t.text").mapInArrow(extract, "doc_id long, label int, at binary, x binary")
+    # one task by contract of max_rows: a row for each id
     one = seen.repartition(1).sortWithinPartitions(F.xxhash64("doc_id"), "doc_id")
     got = one.mapInArrow(fit, "weights binary").collect()
     return np.frombuffer(bytes(got[0][0]), np.float32) if got else np.zeros((1 << s.bits) + 1, np.float32)
 
 
-def score(docs: DataFrame, weights: np.ndarray, s: Settings = Settings(), keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """The columns ``keep`` of docs and ``score``, from the text alone; a null text counts as empty and gets the bias."""
-    shared = docs.sparkSession.sparkContext.broadcast(weights)
-    cols = [docs[c] for c in keep]
-    schema = docs.select(*cols, docs["text"].cast("string").alias("_text")).schema
-    out = docs.select(*cols).schema.add("score", "double")
+def scorer(spark: SparkSession, weights: np.ndarray, s: Settings = Settings()):
+    """A function of a text column to its score: only the text goes to Python, other columns of the row stay in the JVM."""
+    shared = spark.sparkContext.broadcast(weights)
+
+    def run(texts: pa.Array) -> pa.Array:
+        return pa.array(scores(texts, shared.value, s), pa.float64())
+
+    return F.arrow_udf(run, "double")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            value = scores(b.column(len(schema) - 1), shared.value, s)
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(value, pa.float64())], [*b.schema.names[:-1], "score"])
 
-    return docs.select(*cols, docs["text"].cast("string").alias("_text")).mapInArrow(run, out)
+def score(docs: DataFrame, weights: np.ndarray, s: Settings = Settings(), keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """The columns ``keep`` of docs and ``score``, from the text alone; a null text counts as empty and gets the bias.
+
+    Other columns aren't read, whatever their names; ``keep`` may not hold ``score``. Texts are taken in
+    blocks, and a longer text is a block of its own. Repeated rows give repeated rows.
+    """
+    return docs.select(*[docs[c] for c in keep], scorer(docs.sparkSession, weights, s)(docs["text"].cast("string")).alias("score"))
 
 
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -27,9 +27,8 @@ MARK = "▁"
 CACHE = 150_000
 #: Texts are cut in blocks of at most so many characters (or one text), so that the lists of segments stay small.
 BLOCK_CHARS = 1 << 20
-#: Segments over this length have an agenda of their own and aren't kept; shorter ones share the agenda of their batch.
+#: Segments over this length aren't kept in the cache.
 LONG = 64
-_NONE = np.int64(1) << np.int64(62)
 
 
 class Vocabulary:
@@ -62,7 +61,6 @@ class Vocabulary:
             raise ValueError("a piece holds a space after another character: segments would depend on each other")
         self.unknown = m.unk_id()
         self.told = [str(i).encode() for i in range(n)]
-        self._pair_table(n)
         self.cut = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
         self.seen: dict[str, tuple[bytes, bytes]] = {}
         self.older: dict[str, tuple[bytes, bytes]] = {}
@@ -71,107 +69,6 @@ class Vocabulary:
         probe = "Aﬁ ÅÅ  é\t\nＡ x "
         self.plain_text = m.normalize(probe) == (MARK if self.prefix else "") + probe.replace(" ", MARK)
 
-    def _pair_table(self, n: int) -> None:
-        """All pairs of symbols that form a piece, in an open-addressed table: keys, merged symbols, ranks of scores."""
-        symbols = dict(self.ids)
-        self.extra: list[str] = []
-        for c in sorted({c for p in self.ids for c in p if c not in symbols}):
-            symbols[c] = n + len(self.extra)
-            self.extra.append(c)
-        self.first_code = n + len(self.extra)  # a character in no piece is this plus its code point
-        self.symbol_of_char = {p: i for p, i in symbols.items() if len(p) == 1}
-        levels = {r: k for k, r in enumerate(sorted(set(self.rank.values())))}
-        pairs = [(symbols[p[:k]], symbols[p[k:]], i, levels[self.rank[p]]) for p, i in self.ids.items() for k in range(1, len(p)) if p[:k] in symbols and p[k:] in symbols]
-        a, b, merged, level = (np.array(x, dtype=np.int64) for x in zip(*pairs, strict=True))
-        self.bits = max(10, int(4 * len(a)).bit_length())
-        self.slots = np.full(1 << self.bits, -1, dtype=np.int64)
-        self.values = np.zeros((1 << self.bits, 2), dtype=np.int64)
-        keys = a << np.int64(31) | b
-        at, left = self._slot(keys), np.arange(len(keys))
-        while len(left):
-            free = self.slots[at[left]] < 0
-            spot, who = np.unique(at[left[free]], return_index=True)
-            put = left[free][who]
-            self.slots[spot] = keys[put]
-            self.values[spot, 0], self.values[spot, 1] = merged[put], level[put]
-            left = left[self.slots[at[left]] != keys[left]]
-            at[left] = (at[left] + 1) & ((1 << self.bits) - 1)
-
-    def _slot(self, keys: np.ndarray) -> np.ndarray:
-        return ((keys.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)).astype(np.int64)
-
-    def _pairs(self, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Merged symbol and rank of each pair; rank _NONE where no piece is formed."""
-        keys = a << np.int64(31) | b
-        at = self._slot(keys)
-        got = self.slots[at]
-        lost = np.flatnonzero((got != keys) & (got >= 0))
-        while len(lost):
-            at[lost] = (at[lost] + 1) & ((1 << self.bits) - 1)
-            got[lost] = self.slots[at[lost]]
-            lost = lost[(got[lost] != keys[lost]) & (got[lost] >= 0)]
-        value = self.values[at]
-        return value[:, 0], np.where(got == keys, value[:, 1], _NONE >> np.int64(31))
-
-    def merge_batch(self, segments: list[str]) -> list[list[int]]:
-        """merge() of many short segments: in each round, every segment takes the best pair of its agenda."""
-        lengths = np.fromiter(map(len, segments), dtype=np.int64, count=len(segments))
-        codes = np.frombuffer("".join(segments).encode("utf-32-le"), dtype=np.uint32)
-        chars, where = np.unique(codes, return_inverse=True)
-        known = self.symbol_of_char
-        sym = np.array([known.get(chr(c), self.first_code + int(c)) for c in chars], dtype=np.int64)[where]
-        start = np.cumsum(lengths) - lengths
-        seg = np.arange(len(segments))
-        merged, rank = np.zeros(len(sym), dtype=np.int64), np.full(len(sym), _NONE >> np.int64(31), dtype=np.int64)
-        merged[:-1], rank[:-1] = self._pairs(sym[:-1], sym[1:])
-        ends = start + lengths - 1
-        rank[ends] = _NONE >> np.int64(31)
-        done_sym, done_seg = [], []
-        while len(sym):
-            best = np.minimum.reduceat(rank << np.int64(31) | np.arange(len(sym)), start)
-            over = best >= _NONE
-            if over.any():
-                size = np.diff(np.append(start, len(sym)))
-                out = np.repeat(over, size)
-                done_sym.append(sym[out])
-                done_seg.append(np.repeat(seg[over], size[over]))
-                keep = ~out
-                sym, rank, merged = sym[keep], rank[keep], merged[keep]
-                seg, size = seg[~over], size[~over]
-                start = np.cumsum(size) - size
-                continue
-            at = best & np.int64((1 << 31) - 1)
-            sym[at] = merged[at]
-            keep = np.ones(len(sym), dtype=bool)
-            keep[at + 1] = False
-            # a pair that ends its segment has no pair after it: its right neighbour belongs to the next segment
-            ends = at + 1 == np.append(start[1:], len(sym)) - 1
-            sym, rank, merged = sym[keep], rank[keep], merged[keep]
-            shift = np.arange(len(start))
-            at, start = at - shift, start - shift
-            rank[at] = _NONE >> np.int64(31)
-            inner = at[~ends]
-            merged[inner], rank[inner] = self._pairs(sym[inner], sym[inner + 1])
-            before = at[at > start] - 1
-            merged[before], rank[before] = self._pairs(sym[before], sym[before + 1])
-        flat, owner = np.concatenate(done_sym), np.concatenate(done_seg)
-        flat = flat[np.argsort(owner, kind="stable")].tolist()
-        sizes = np.bincount(owner, minlength=len(segments)).tolist()
-        rows, i, n = [], 0, len(self.bytes_of)
-        for size in sizes:
-            ids = flat[i : i + size]
-            i += size
-            if max(ids) >= n:
-                ids = [x for s in ids for x in ([s] if s < n else self._loose(s))]
-            rows.append(ids)
-        return rows
-
-    def _loose(self, symbol: int) -> list[int]:
-        """Ids of a character that is no piece."""
-        n = len(self.bytes_of)
-        c = self.extra[symbol - n] if symbol < self.first_code else chr(symbol - self.first_code)
-        return [self.byte_ids[b] for b in c.encode()] if self.byte_ids else [self.unknown]
-
     def normalise(self, text: str) -> str:
         if not text:
             return ""
@@ -185,11 +82,7 @@ class Vocabulary:
         symbols: list[str | None] = list(segment)
         n = len(symbols)
         left, right = list(range(-1, n - 1)), list(range(1, n + 1))
-        agenda = []
-        for i in range(n - 1):
-            pair = segment[i : i + 2]
-            if pair in rank:
-                agenda.append((rank[pair], i, pair))
+        agenda = [(rank[pair], i, pair) for i in range(n - 1) if (pair := segment[i : i + 2]) in rank]
         heapq.heapify(agenda)
         while agenda:
             _, i, pair = heapq.heappop(agenda)
@@ -221,10 +114,7 @@ class Vocabulary:
 
     def _learn(self, segments: list[str]) -> dict[str, tuple[bytes, bytes]]:
         """Encodes segments, checks them against the library in one call, and returns (ids as text, decoded)."""
-        short = [s for s in segments if len(s) <= LONG]
-        long = [s for s in segments if len(s) > LONG]
-        made = (self.merge_batch(short) if short else []) + [self.merge(s) for s in long]
-        segments = short + long
+        made = [self.merge(s) for s in segments]
         if self.prefix:
             # the library puts its own space mark in front of what it is given
             asked = [s[1:].replace(MARK, " ") if s[0] == MARK else None for s in segments]
@@ -335,17 +225,19 @@ def encode_documents(docs: DataFrame, model: str | None = None, with_ids: bool =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = vocabulary(path)
         for batch in batches:
-            ids, rows = batch.column(0).to_pylist(), []
             for i, block in enumerate_blocks(batch.column(1)):
-                for k, (n, told, text) in enumerate(v.encode_batch(block)):
-                    row = [ids[i + k], n, hashlib.sha256(told).hexdigest(), hashlib.sha256(text).hexdigest()]
-                    row += [[int(x) for x in told.split(b",")] if told else []] * with_ids
-                    rows.append(row + [text.decode("utf-8", "replace")] * with_text)
-            kinds = [pa.int64(), pa.int64(), pa.string(), pa.string()] + [pa.list_(pa.int32())] * with_ids + [pa.string()] * with_text
-            names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"] + ["ids"] * with_ids + ["decoded"] * with_text
-            cols = list(zip(*rows, strict=True)) if rows else [[]] * len(kinds)
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names)
-
+                told = v.encode_batch(block)
+                cols = [batch.column(0).slice(i, len(block)), pa.array([n for n, _, _ in told], pa.int64())]
+                cols += [pa.array([hashlib.sha256(t[k]).hexdigest() for t in told], pa.string()) for k in (1, 2)]
+                if with_ids:
+                    flat = np.fromstring(b",".join([ids for _, ids, _ in told if ids]), dtype=np.int32, sep=",")
+                    ends = np.cumsum([0, *(n for n, _, _ in told)], dtype=np.int32)
+                    cols.append(pa.ListArray.from_arrays(pa.array(ends), pa.array(flat)))
+                if with_text:
+                    cols.append(pa.array([text.decode("utf-8", "replace") for _, _, text in told], pa.string()))
+                yield pa.RecordBatch.from_arrays(cols, names)
+
+    names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"] + ["ids"] * with_ids + ["decoded"] * with_text
     return docs.select(docs["doc_id"].cast("long"), docs["text"].cast("string")).mapInArrow(run, schema)
 
 
