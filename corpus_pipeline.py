@@ -19,7 +19,7 @@ LEAST_QUALITY = 0.5
 
 def _packed(docs: DataFrame) -> DataFrame:
     """doc_id, text and the whole row as one struct, so that no name can clash with an operator's."""
-    return docs.select(docs["doc_id"], docs["text"], F.struct(*[docs[c] for c in docs.columns]).alias("_row"))
+    return docs.select(docs["doc_id"], docs["text"].cast("string").alias("text"), F.struct(*[docs[c] for c in docs.columns]).alias("_row"))
 
 
 def _row(docs: DataFrame, **new) -> list:
@@ -30,8 +30,8 @@ def _row(docs: DataFrame, **new) -> list:
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Leaves out documents that the classifier, learned from ``labels``, scores under LEAST_QUALITY. A null text scores as empty."""
     weights = quality.train(docs, read_table(spark, sf_dir, "labels"))
-    scored = quality.score(_packed(docs), weights, keep=("_row",))
-    return scored.filter(F.col("score") >= LEAST_QUALITY).select(*_row(docs))
+    told = quality.scorer(spark, weights)(F.col("text"))
+    return _packed(docs).withColumn("_score", told).filter(F.col("_score") >= LEAST_QUALITY).select(*_row(docs))
 
 
 def keep_one_of_alike(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -67,14 +67,14 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it; where it takes a part, the last copy has only so many words.
 
     Documents of which nothing is taken go, among them those without words. Rows equal in id, source
-    and size share what they take evenly.
+    and size share what they take evenly, rounded down: a source then takes a word less for each such row at most.
     """
     taken = mixing.mix(docs.select("doc_id", "text", "source"))
     taken = taken.filter(F.col("taken") > 0).groupBy("doc_id", "source", "size").agg(F.floor(F.sum("taken") / F.count("*")).alias("taken"))
     taken = Scratch(spark, "taken").save(taken.select(F.col("doc_id").alias("_d"), F.col("source").alias("_s"), F.col("size").alias("_n"), "taken"), "taken")
     own = F.col("_row")
     rows = _packed(docs).select("_row").withColumn("_size", mixing.n_words(own["text"]))
-    rows = rows.join(small_side(taken, 64), own["doc_id"].eqNullSafe(F.col("_d")) & own["source"].eqNullSafe(F.col("_s")) & (F.col("_size") == F.col("_n")))
+    rows = rows.join(small_side(taken, 48, F.octet_length("_s")), own["doc_id"].eqNullSafe(F.col("_d")) & own["source"].eqNullSafe(F.col("_s")) & (F.col("_size") == F.col("_n")))
     rows = rows.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.ceil(F.col("taken") / F.col("_size")))))
     left = F.col("taken") - (F.col("_copy") - 1) * F.col("_size")
     part = F.array_join(F.slice(F.regexp_extract_all(own["text"], F.lit(f"({WORD})")), F.lit(1), left.cast("int")), " ")
