@@ -1,11 +1,10 @@
 r"""N-gram Jaccard join: documents whose sets of word n-grams are alike, and their components.
 
 1. Equal sets are brought together by a hash of 128 bits; from here on a set counts once.
-2. For each size class, the space of n-gram hashes is cut in more parts than two linked sets can
-   differ in, so that linked sets agree in a whole part. Sets that share no part's hash go.
-3. Of the sets left, n-grams are counted. A link shares num/den of a set's n-grams at least, so
-   sets with fewer n-grams that another one has go, and two linked sets share one of the rarest
-   few of either (the prefix). Components of sets that share such an n-gram are classes.
+2. n-grams are counted. A link shares num/den of a set's n-grams at least, so sets with fewer n-grams
+   that another one has go. They are dealt by hash, packed, and only counts for each set come back.
+3. Of the sets left, two linked ones share one of the rarest few n-grams of either (the prefix).
+   Components of sets that share such an n-gram are classes.
 4. Inside a class, links are found by T-occurrence search as DivideSkip does it: the short
    inverted lists of a query are merged on a heap with skips, the long ones are probed by binary
    search, and documents that reach the required overlap are links. A search goes on from the
@@ -18,10 +17,10 @@ import heapq
 import math
 from bisect import bisect_left
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -33,8 +32,11 @@ from .textblocks import Words, blocks, mix, ngrams, text_array
 CELL_NGRAMS = 1 << 21
 #: Weight of long lists in DivideSkip's rule for how many lists are long.
 MU = 0.0085
-#: Parts are added until a set of a class's least size has too many empty ones with this chance at most, if that can be.
-SPARE = 1e-3
+#: n-grams of a bucket, roughly, and the most partitions that buckets are dealt to; a task takes one bucket at a time.
+BUCKET_NGRAMS, MOST_PARTITIONS = 1 << 20, 20_000
+#: n-grams whose sets are settled against one another before anything is shuffled.
+UNIT_NGRAMS = 1 << 20
+NOBODY = -1
 
 
 def ngram_sets(texts: pa.Array, n: int, lower: bool) -> Iterator[np.ndarray]:
@@ -62,76 +64,6 @@ def set_hash(s: np.ndarray) -> tuple[int, int]:
     return int(both[0]), int(both[1])
 
 
-@lru_cache(maxsize=4)
-def size_classes(num: int, den: int) -> tuple[list[int], list[int], list[int], list[int]]:
-    """(first size, greatest distance, parts, empty parts allowed for) of each size class of a threshold num/den.
-
-    Linked sets of at most u n-grams differ in 2 * u * (den - num) / (den + num) at most."""
-    first, far, parts, spare = [], [], [], []
-    low, high = 1, max(1, (num + den - 1) // (2 * (den - num)))
-    while low < 1 << 44:
-        k = 2 * high * (den - num) // (den + num)
-        def over(x: int, k: int = k, low: int = low) -> float:
-            """Chance that a set of the class's least size has more than x empty parts, taken as normal."""
-            m = k + 1 + x
-            p = (1 - 1 / m) ** low
-            return 0.5 * math.erfc((x + 0.5 - m * p) / math.sqrt(2 * m * p * (1 - p)))
-
-        e, most = 1, (3 * k) // 2 + 3
-        if 0 < k <= 64:
-            chances = [over(x) for x in range(1, most + 1)]
-            e = next((x for x, c in enumerate(chances, 1) if c < SPARE), chances.index(min(chances)) + 1)
-        elif k:  # large sets: the chance falls from the mean on, far below SPARE
-            below, e = 0, 1
-            while e < most and over(e) >= SPARE:
-                below, e = e, 2 * e
-            while e - below > 1:
-                mid = (below + e) // 2
-                below, e = (mid, e) if over(mid) >= SPARE else (below, mid)
-        first.append(low)
-        far.append(k)
-        parts.append(k + 1 + e)
-        spare.append(e)
-        low, high = high + 1, max(high + 1, (high + 1) * 3 // 2)
-    return first, far, parts, spare
-
-
-def signatures(s: np.ndarray, num: int, den: int) -> np.ndarray:
-    """Hashes of the parts of a set; linked sets that differ share one at least."""
-    first, far, parts, spare = size_classes(num, den)
-    n, out = len(s), []
-    if n == 0:
-        return s
-    sums = np.zeros(n + 1, dtype=np.uint64)
-    np.cumsum(mix(s + np.uint64(29)), out=sums[1:])
-    c = int(np.searchsorted(first, n, side="right")) - 1
-    while c < len(first) and first[c] <= n * den // num:
-        if far[c]:
-            m = parts[c]
-            edges = np.searchsorted(s, (np.arange(1, m, dtype=np.float64) * (2.0**64 / m)).astype(np.uint64))
-            edges = np.concatenate(([0], edges, [n]))
-            full = edges[1:] > edges[:-1]
-            own = (sums[edges[1:]] - sums[edges[:-1]]) * np.uint64(2 * c + 3)
-            out.append(mix(own + np.arange(m, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))[full])
-            if m - int(full.sum()) > spare[c]:  # rare: then two sets may agree in empty parts only
-                out.append(mix(np.array([c], dtype=np.uint64) + np.uint64(1 << 40)))
-        c += 1
-    return np.concatenate(out) if out else s[:0]
-
-
-def _stars(sigs: np.ndarray, nodes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(node, smallest node of its signature) where they differ; and one (signature, smallest node) of each."""
-    order = np.lexsort((nodes, sigs))
-    sigs, nodes = sigs[order], nodes[order]
-    new = np.ones(len(sigs), dtype=bool)
-    new[1:] = sigs[1:] != sigs[:-1]
-    head = np.flatnonzero(new)
-    low = np.repeat(nodes[head], np.diff(np.append(head, len(sigs))))
-    off = nodes != low
-    pairs = np.unique(np.stack([nodes[off], low[off]]), axis=1) if off.any() else np.zeros((2, 0), dtype=np.int64)
-    return pairs[0], pairs[1], sigs[head], nodes[head]
-
-
 def _sets(docs: DataFrame, n: int, lower: bool) -> DataFrame:
     """doc_id, size and hash of the set, and a hash of the text, of each row."""
 
@@ -144,51 +76,108 @@ def _sets(docs: DataFrame, n: int, lower: bool) -> DataFrame:
     return docs.select("doc_id", "text", F.xxhash64("text")).mapInArrow(run, "doc_id long, n long, h1 long, h2 long, text_hash long")
 
 
-def _candidates(docs: DataFrame, n: int, lower: bool, num: int, den: int, total: int) -> DataFrame:
-    """(a, b): hashes of sets that share a signature, each such set in one row at least. Signatures travel as packed arrays, one for each
-    Arrow batch and bucket; within a batch each goes out once, so a very common one brings an entry for each batch."""
-    first, _, parts, _ = size_classes(num, den)
-    rate = 1.5 * parts[-1] / first[-1]  # signatures of an n-gram, roughly
-    buckets = max(partitions(docs.sparkSession), int(total * rate) // 1_500_000)
-    schema = "bucket int, edges boolean, packed binary"
-    names = ["bucket", "edges", "packed"]
+def _within_reach(docs: DataFrame, n: int, lower: bool, num: int, den: int, total: int) -> DataFrame:
+    """(h): hashes of the sets that may link, as num/den of their n-grams are in another row's set.
+
+    n-grams go to buckets as packed arrays, one for each unit of some UNIT_NGRAMS n-grams and bucket.
+    What two sets of a unit have is settled there and goes out once, so a very common n-gram brings
+    an entry for each unit. A bucket answers with one row of counts for each unit. An equal set of
+    another unit counts too, which only keeps more."""
+    buckets = max(partitions(docs.sparkSession), total // BUCKET_NGRAMS)
+    most = min(buckets, MOST_PARTITIONS)
+    names = ["bucket", "unit", "a", "b", "c"]
+
+    def unit(k: int, sets: dict[tuple[int, int], np.ndarray]) -> pa.RecordBatch:
+        number = TaskContext.get().partitionId() << 32 | k
+        hashes = np.array([h for h, _ in sets], dtype=np.int64)
+        sizes = np.array([len(s) for s in sets.values()], dtype=np.int64)
+        grams, at, times = np.unique(np.concatenate(list(sets.values())), return_inverse=True, return_counts=True)
+        owner = np.repeat(np.arange(len(sizes)), sizes)
+        known = np.bincount(owner[times[at] > 1], minlength=len(sizes))
+        whose = np.full(len(grams), NOBODY, dtype=np.int64)
+        whose[at[times[at] == 1]] = owner[times[at] == 1]
+        to = (mix(grams) % np.uint64(buckets)).astype(np.int64)
+        order = np.lexsort((whose, to))
+        grams, whose, to = grams[order], whose[order], to[order]
+        cuts = [*np.flatnonzero(np.diff(to, prepend=-1)).tolist(), len(to)]
+        rows = [(-1 - number % most, number, hashes.tobytes(), sizes.tobytes(), known.tobytes())]
+        for x, y in zip(cuts, cuts[1:], strict=False):
+            own, counts = np.unique(whose[x:y], return_counts=True)
+            rows.append((int(to[x]), number, grams[x:y].tobytes(), own.astype(np.int32).tobytes(), counts.astype(np.int32).tobytes()))
+        kinds = (pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary())
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names)
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sets, size, k = {}, 0, 0
         for b in batches:
-            sigs, nodes = [], []
-            for s in ngram_sets(b.column(1), n, lower):
-                own = signatures(s, num, den)
-                sigs.append(own)
-                nodes.append(np.full(len(own), set_hash(s)[0], dtype=np.int64))
-            if not sigs:
-                continue
-            a, low, sigs, nodes = _stars(np.concatenate(sigs), np.concatenate(nodes))
-            to = (mix(sigs) % np.uint64(buckets)).astype(np.int64)
-            order = np.argsort(to, kind="stable")
-            cuts = np.searchsorted(to[order], np.arange(buckets + 1))
-            pairs = np.stack([sigs[order].view(np.int64), nodes[order]], axis=1)
-            rows = [(k, False, pairs[cuts[k] : cuts[k + 1]].tobytes()) for k in range(buckets) if cuts[k] < cuts[k + 1]]
-            if len(a):
-                rows.append((int(a[0]) % buckets, True, np.stack([a, low], axis=1).tobytes()))
-            cols = zip(*rows, strict=True) if rows else [[], [], []]  # none if all texts are empty
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int32(), pa.bool_(), pa.binary()), strict=True)], names)
+            for s in ngram_sets(b.column(0), n, lower):
+                key = set_hash(s)
+                if len(s) and key not in sets:
+                    sets[key] = s
+                    size += len(s)
+                if size >= UNIT_NGRAMS:
+                    yield unit(k, sets)
+                    sets, size, k = {}, 0, k + 1
+        if sets:
+            yield unit(k, sets)
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got: dict[bool, list[np.ndarray]] = {False: [], True: []}
-        for b in batches:
-            for edges, packed in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
-                got[edges].append(np.frombuffer(packed, dtype=np.int64).reshape(-1, 2))
-        out = got[True]
-        if got[False]:
-            entries = np.concatenate(got.pop(False))
-            a, low, _, _ = _stars(entries[:, 0].view(np.uint64), entries[:, 1])
-            out.append(np.stack([a, low], axis=1))
-        for pairs in out:
-            for i in range(0, len(pairs), 1 << 16):
-                part = pairs[i : i + (1 << 16)]
-                yield pa.RecordBatch.from_arrays([pa.array(part[:, 0]), pa.array(part[:, 1])], ["a", "b"])
-
-    return docs.mapInArrow(send, schema).repartition(buckets, "bucket").mapInArrow(meet, "a long, b long")
+        for bucket, rows in _runs(batches):
+            if bucket < 0:
+                yield from answer([(u, True, a, b + c) for u, a, b, c in rows])
+                continue
+            grams = [np.frombuffer(a, np.uint64) for _, a, _, _ in rows]
+            _, at, times = np.unique(np.concatenate(grams), return_inverse=True, return_counts=True)
+            shared = times > 1
+            owners = []
+            start = 0
+            for g, (_, _, b, c) in zip(grams, rows, strict=True):  # what two sets of a unit have is shared in any case
+                own = np.repeat(np.frombuffer(b, np.int32), np.frombuffer(c, np.int32))
+                shared[at[start : start + len(g)][own == NOBODY]] = True
+                owners.append(own)
+                start += len(g)
+            start, out = 0, []
+            for own, (u, _, _, _) in zip(owners, rows, strict=True):
+                told = own[shared[at[start : start + len(own)]] & (own != NOBODY)]
+                some, number = np.unique(told, return_counts=True)
+                out.append((u, False, some.astype(np.int32).tobytes(), number.astype(np.int32).tobytes()))
+                start += len(own)
+            yield from answer(out)
+
+    def answer(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
+        kinds = (pa.int64(), pa.bool_(), pa.binary(), pa.binary())
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], ["unit", "head", "a", "b"])
+
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, rows in _runs(batches):
+            head = [(a, b) for is_head, a, b in rows if is_head]
+            if len(head) != 1:
+                raise ValueError("rows came in another order when a part of them was read again")
+            hashes = np.frombuffer(head[0][0], np.int64)
+            sizes, known = np.frombuffer(head[0][1], np.int64).reshape(2, -1)
+            known = known.copy()
+            for is_head, a, b in rows:
+                if not is_head:
+                    known[np.frombuffer(a, np.int32)] += np.frombuffer(b, np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array(hashes[known * den >= sizes * num])], ["h"])
+
+    told = docs.select("text").mapInArrow(send, "bucket int, unit long, a binary, b binary, c binary")
+    told = told.repartition(most, "bucket").sortWithinPartitions("bucket").mapInArrow(meet, "unit long, head boolean, a binary, b binary")
+    return told.repartition(partitions(docs.sparkSession), "unit").sortWithinPartitions("unit").mapInArrow(gather, "h long")
+
+
+def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[tuple]]]:
+    """(value of the first column, rows of the others) of runs of rows sorted by that column."""
+    now, rows = None, []
+    for b in batches:
+        for key, *row in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            if key != now and rows:
+                yield now, rows
+                rows = []
+            now = key
+            rows.append(tuple(row))
+    if rows:
+        yield now, rows
 
 
 def _rarest_first(sets: DataFrame, num: int, den: int) -> DataFrame:
@@ -329,7 +318,7 @@ def _load(members: DataFrame, docs: DataFrame, n: int, lower: bool) -> DataFrame
                 own = set_hash(s)
                 if h1 is None or own == (h1, h2):
                     told[own] = s.view(np.int64)
-                if sum(map(len, told.values())) > CELL_NGRAMS:
+                if sum(map(len, told.values())) > UNIT_NGRAMS // 2:
                     yield pack(told)
                     told = {}
             yield pack(told)
@@ -401,8 +390,7 @@ def jaccard_components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 10
     groups = sets.filter("n > 0").groupBy("h1", "h2", F.col("n").alias("size")).agg(F.min("doc_id").alias("first"), F.count("*").alias("copies"))
     # links are between groups of equal sets, which have a number each
     groups = scratch.save(groups.withColumn("node", F.monotonically_increasing_id()), "groups")
-    found = _candidates(docs, n, lower, num, den, total)
-    found = scratch.save(found.select(F.explode(F.array("a", "b")).alias("h")).distinct(), "candidates")
+    found = scratch.save(_within_reach(docs, n, lower, num, den, total).distinct(), "candidates")
     members = groups.join(small_side(found, 16), F.col("h1") == F.col("h")).select(F.col("first").alias("doc_id"), "node", "h1", "h2")
     members = scratch.save(members, "members")
     loaded = scratch.save(_load(members, docs, n, lower), "sets")

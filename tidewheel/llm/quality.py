@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .scratch import read_table
+from .scratch import read_table, small_batches
 from .textblocks import _LOWER, _SPACE, blocks, mix, ngrams, run_hashes, text_array
 
 _KIND = np.full(256, 3, dtype=np.int8)  # 0 space, 1 letter or part of a longer character, 2 digit, 3 other
@@ -159,7 +159,7 @@ def train(docs: DataFrame, labels: DataFrame, s: Settings = Settings()) -> np.nd
 
 def scorer(spark: SparkSession, weights: np.ndarray, s: Settings = Settings()):
     """A function of a text column to its score: only the text goes to Python, other columns of the row stay in the JVM."""
-    shared = spark.sparkContext.broadcast(weights)
+    shared = small_batches(spark).sparkContext.broadcast(weights)
 
     def run(texts: pa.Array) -> pa.Array:
         return pa.array(scores(texts, shared.value, s), pa.float64())

@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 
 #: A side of a join is broadcast only if a count of its rows shows at most this many bytes.
 BROADCAST_BYTES = 48 << 20
+#: Rows and bytes of an Arrow batch.
+BATCH_ROWS, BATCH_BYTES = 1000, 8 << 20
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -28,11 +30,20 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+def small_batches(spark: SparkSession) -> SparkSession:
+    """Sessions that don't set the size of Arrow's batches get a smaller one: a batch and its copies in the JVM and in Python then take some megabytes."""
+    for key, own in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
+        key = f"spark.sql.execution.arrow.{key}"
+        if spark.conf.get(key, None) is None:
+            spark.conf.set(key, str(own))
+    return spark
+
+
 class Scratch:
     """Named tables of one run of an operator, written as Parquet so that a lost executor costs no recomputation."""
 
     def __init__(self, spark: SparkSession, name: str):
-        self.spark = spark
+        self.spark = small_batches(spark)
         self.root = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
     def save(self, df: DataFrame, name: str) -> DataFrame:
@@ -61,4 +72,4 @@ def partitions(spark: SparkSession) -> int:
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return small_batches(spark).read.parquet(f"{sf_dir}/{name}.parquet")

@@ -21,7 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from .scratch import read_table
+from .scratch import read_table, small_batches
 
 MARK = "▁"
 CACHE = 150_000
@@ -219,6 +219,7 @@ def encode_documents(docs: DataFrame, model: str | None = None, with_ids: bool =
     path that every machine can open.
     """
     path = model or default_model()
+    small_batches(docs.sparkSession)
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
     schema += ", ids array<int>" * with_ids + ", decoded string" * with_text
 
