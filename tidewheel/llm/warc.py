@@ -12,6 +12,7 @@ import bisect
 import gzip
 import hashlib
 import json
+import re
 import zlib
 from collections import OrderedDict
 from collections.abc import Iterator
@@ -28,20 +29,26 @@ BLOCK_LINES = 500
 LEAST_BYTES = 100
 DATE = "2024-01-01T00:00:00Z"
 _END = b"\r\n"
+#: Spaces, control characters and line separators.
+_UNSAFE = re.compile("[\x00-\x20\x7f-\xa0\u2028\u2029]")
 
 
 def reversed_host(url: str | None) -> str:
-    """``com,example,www)/path?query`` of a URL, without scheme, user and fragment; ``-`` for null."""
+    """``com,example,www)/path?query`` of a URL, without scheme, user and fragment; ``-`` for null.
+
+    Spaces and control characters are escaped in every case, a URL that isn't one included, so that a
+    key is one field of one line. Keys needn't tell URLs apart: the page id that follows does.
+    """
     if url is None:
         return "-"
     try:
         parts = urlsplit(url)
         host = parts.hostname or ""
         port = f":{parts.port}" if parts.port else ""
+        url = ",".join(reversed(host.split("."))) + port + ")" + (parts.path or "/") + (f"?{parts.query}" if parts.query else "")
     except ValueError:
-        return url.replace(" ", "%20").replace("\n", "%0A")
-    out = ",".join(reversed(host.split("."))) + port + ")" + (parts.path or "/") + (f"?{parts.query}" if parts.query else "")
-    return out.replace(" ", "%20").replace("\n", "%0A")
+        pass
+    return _UNSAFE.sub(lambda m: f"%{ord(m[0]):02X}", url)
 
 
 def key_of(url: str | None, page_id: int | None) -> str:
@@ -266,6 +273,15 @@ def read_back(keys: DataFrame, shards: DataFrame) -> DataFrame:
     return sorted_keys.mapInArrow(run, schema)
 
 
+def checked(found: DataFrame, lines: DataFrame, scratch: Scratch) -> DataFrame:
+    """The records read back, once as many were found as were written."""
+    found = scratch.save(found, "found")
+    written, read = lines.count(), found.count()
+    if written != read:
+        raise ValueError(f"{written} records were written and {read} were read back")
+    return found
+
+
 def page_keys(pages: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -281,7 +297,8 @@ def archive(pages: DataFrame) -> DataFrame:
     Of equal payloads of at least 100 bytes, rows with the smallest page_id are responses (all of
     them, if rows repeat) and others revisits. A null html is an empty payload; a null url and a
     null page_id have the key part ``-``, and a null page_id isn't the smallest unless all are null.
-    An empty table gives an empty result; other columns are ignored. Payloads aren't shuffled unless
+    Any characters may be in a url. An empty table gives an empty result; other columns are ignored. It is
+    an error if not as many records come back as were written. Payloads aren't shuffled unless
     the table of repeated payloads is too large to broadcast.
     """
     scratch = Scratch(pages.sparkSession, "warc")
@@ -290,11 +307,11 @@ def archive(pages: DataFrame) -> DataFrame:
     large = rows.filter(F.octet_length("html") >= LEAST_BYTES)
     repeated = large.groupBy(F.col("digest").alias("d")).agg(F.count("*").alias("n"), F.min_by("url", "page_id").alias("first_url"), F.min("page_id").alias("first"))
     repeated = scratch.save(repeated.filter((F.col("n") > 1) & F.col("first").isNotNull()).drop("n"), "repeated")
-    told = rows.join(small_side(repeated, 300), F.col("digest") == F.col("d"), "left")
+    told = rows.join(small_side(repeated, 128, F.octet_length("first_url")), F.col("digest") == F.col("d"), "left")
     revisit = F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first"))
     told = told.select("page_id", "url", "html", "digest", revisit.alias("is_revisit"), F.when(revisit, F.col("first")).alias("refers_to"), F.when(revisit, F.col("first_url")).alias("refers_url"))
-    shards = write_index(write_archives(told, scratch), scratch)
-    return read_back(page_keys(pages), shards)
+    lines = write_archives(told, scratch)
+    return checked(read_back(page_keys(pages), write_index(lines, scratch)), lines, scratch)
 
 
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
