@@ -23,3 +23,35 @@ def test_rows_equal_those_of_sql(spark, name):
     got = catalog.QUERIES[name](spark, FOLDER)
     want = con.execute(f"SELECT {', '.join(got.columns)} FROM ({catalog.ORACLE_SQL[name]})").fetchall()
     assert same([tuple(r) for r in got.collect()], want)
+
+
+def test_every_query_without_sql_gives_rows(spark):
+    for name in catalog.QUERIES.keys() - catalog.ORACLE_SQL.keys():
+        assert catalog.QUERIES[name](spark, FOLDER).count() > 0, name
+
+
+def test_late_rows_are_left_out(spark, tmp_path):
+    """A row further behind the watermark than the delay doesn't count, one within it does."""
+    import json
+    import time
+
+    from pyspark.sql import functions as F
+
+    for i, times in enumerate((["10:00", "14:00"], ["14:10"], ["09:20", "13:30", "18:00"])):
+        (tmp_path / f"{i}.json").write_text("\n".join(json.dumps({"ts": f"2024-01-01T{t}:00"}) for t in times))
+        os.utime(tmp_path / f"{i}.json", (time.time() + i - 10,) * 2)
+    rows = spark.readStream.schema("ts timestamp").option("maxFilesPerTrigger", 1).json(str(tmp_path))
+    told = rows.withWatermark("ts", "1 hour").groupBy(F.window("ts", "1 hour")).count().select(F.hour("window.start").alias("h"), "count")
+    run = told.writeStream.format("memory").queryName("late").outputMode("append").trigger(availableNow=True).start()
+    run.awaitTermination()
+    assert sorted(tuple(r) for r in spark.table("late").collect()) == [(10, 1), (13, 1), (14, 2)]
+
+
+def test_ranking_on_a_stream_is_refused(spark):
+    from pyspark.errors import AnalysisException
+    from pyspark.sql import Window
+    from pyspark.sql import functions as F
+
+    rows = spark.readStream.format("rate").load()
+    with pytest.raises(AnalysisException):
+        rows.withColumn("r", F.rank().over(Window.orderBy("value"))).writeStream.format("noop").start()

@@ -1,29 +1,11 @@
-"""Queries over the relational tables, each beside its SQL."""
+"""Queries over the relational tables, each beside its SQL; the modules named last add theirs."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    """Registers a function of (spark, sf_dir) under its name."""
-
-    def put(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLE_SQL[f.__name__] = sql
-        return f
-
-    return put
-
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
+from tidewheel.plans.registry import ORACLE_SQL, QUERIES, query, table
 
 @query("""
 SELECT l_returnflag, l_linestatus, sum(l_quantity) AS sum_qty, sum(l_extendedprice) AS sum_base_price,
@@ -199,3 +181,9 @@ def above_part_average(spark, sf_dir):
     """The correlated subquery as one aggregate over a window, so lineitem is read and shuffled once."""
     mean = F.avg("l_quantity").over(Window.partitionBy("l_partkey"))
     return table(spark, sf_dir, "lineitem").withColumn("m", mean).filter("l_quantity > 1.8D * m").select("l_orderkey", "l_partkey", "l_quantity", "l_shipdate")
+
+
+from tidewheel.functions import scalars, udfs  # noqa: E402, F401
+from tidewheel.operators import aggregates, joins, sets, windows  # noqa: E402, F401
+from tidewheel.sources import formats  # noqa: E402, F401
+from tidewheel.streaming import streams  # noqa: E402, F401
