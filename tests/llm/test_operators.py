@@ -242,6 +242,30 @@ def test_licences_inside_long_and_wrapped_lines_are_found(spark):
     assert sorted((r.doc_id, r.paragraph, r.family) for r in got) == sorted(want)
 
 
+def test_other_licences_and_denials_are_not_confirmed(spark):
+    """Names and versions must match, wrapped headers are found, licences that no family has aren't named."""
+    other = [
+        "This work is licensed under the Eclipse Public License 2.0.",
+        "Licensed under the Apache License, Version 1.1.",
+        "Licensed under CC BY-ND 4.0.",
+        "licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License",
+        "This is not licensed under the MIT License.",
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted",
+    ]
+    known = [
+        ("gpl", "This program is free software: you can redistribute it and/or modify\nit under the terms of the GNU General Public License as published by\nthe Free Software Foundation"),
+        ("bsd", "Redistribution and use in source and binary forms, with or without\nmodification, are permitted provided that the following conditions are met"),
+        ("lgpl", "SPDX-License-Identifier: LGPL-2.1-or-later"),
+        ("mpl-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
+        ("cc-by-sa", "Licensed under CC BY-SA 4.0."),
+        ("cc-by", "Licensed under CC BY 4.0."),
+    ]
+    rows = [(i, prose(20 + 5 * i, 50 + i), "a") for i in range(40)]
+    rows += [(100 + i, t, "a") for i, t in enumerate(other)] + [(200 + i, t, "a") for i, (_, t) in enumerate(known)]
+    got = {(r.doc_id, r.family) for r in licences.scan(make_docs(spark, rows)).collect() if r.family != "unknown"}
+    assert got == {(200 + i, f) for i, (f, _) in enumerate(known)}
+
+
 def test_unknown_licences_are_bounded_over_all_lines(spark):
     """At most a thousandth of the lines that no template confirms are unknown, lines with licence words among them."""
     rows = [(i, prose(12, i), "a") for i in range(2500)]
