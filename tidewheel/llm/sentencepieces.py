@@ -125,8 +125,9 @@ class Vocabulary:
         for (a, ids), own in zip(known, theirs, strict=True):
             if ids != own:
                 raise ValueError(f"the agenda and the sentencepiece library differ on {a[:80]!r}: {ids[:20]} and {own[:20]}")
-        for ids, theirs in zip(made, self.library.decode(made) if made else [], strict=True):
-            self._same_text(ids, self.decode(ids), theirs)
+        # segments one after another are a text, too: one call decodes them all
+        flat = [i for ids in made for i in ids]
+        self._same_text(flat, self.decode(flat), self.library.decode(flat) if flat else "")
         of, told, out = self.bytes_of, self.told, {}
         for s, ids in zip(segments, made, strict=True):
             out[s] = (b",".join([told[i] for i in ids]), b"".join([of[i] for i in ids]))
@@ -135,7 +136,8 @@ class Vocabulary:
     @staticmethod
     def _same_text(ids: list[int], own: str, theirs: str) -> None:
         if own != theirs:
-            raise ValueError(f"the own decoding and the sentencepiece library's differ on ids {ids[:20]}: {own[:80]!r} and {theirs[:80]!r}")
+            at = next((i for i, (x, y) in enumerate(zip(own, theirs, strict=False)) if x != y), 0)
+            raise ValueError(f"the own decoding and the sentencepiece library's differ: {own[at : at + 80]!r} and {theirs[at : at + 80]!r}")
 
     def _compare(self, text: str, told: bytes, decoded: bytes) -> None:
         """Checks a whole text's ids and decoding against the library."""
