@@ -70,7 +70,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     and size share what they take evenly, rounded down: a source then takes a word less for each such row at most.
     """
     taken = mixing.mix(docs.select("doc_id", "text", "source"))
-    taken = taken.filter(F.col("taken") > 0).groupBy("doc_id", "source", "size").agg(F.floor(F.sum("taken") / F.count("*")).alias("taken"))
+    taken = taken.groupBy("doc_id", "source", "size").agg(F.floor(F.sum("taken") / F.count("*")).alias("taken")).filter(F.col("taken") > 0)
     taken = Scratch(spark, "taken").save(taken.select(F.col("doc_id").alias("_d"), F.col("source").alias("_s"), F.col("size").alias("_n"), "taken"), "taken")
     own = F.col("_row")
     rows = _packed(docs).select("_row").withColumn("_size", mixing.n_words(own["text"]))
@@ -97,7 +97,7 @@ STAGES = [
     ("source_mix", mix_sources),
     ("token_ids", encode),
 ]
-#: The classifier and the encoding are beyond SQL. No stage's rows are held against a brute-force version; README.md says what tests cover.
+#: The classifier and the encoding are beyond SQL: tests hold each stage's rows, and run()'s, against brute-force versions.
 ORACLE_SQL = None
 
 
