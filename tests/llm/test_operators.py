@@ -277,17 +277,15 @@ def test_unknown_licences_are_bounded_over_all_lines(spark):
     assert licences.edge({9: 3, 5: 2, 1: 4}, 10, 5) == 0.5 and licences.edge({9: 3, 5: 2}, 10, 2) == 1.0
 
 
-def test_mix_takes_smallest_keys_first(spark):
-    """Rows against a brute-force version: whole epochs, then keys in order, with weights far apart and one source of most rows."""
+def brute_mix(rows):
+    """Words taken of each row: targets by weight, whole epochs, then documents in the order of their keys."""
     import hashlib
     import math
 
-    rnd = random.Random(2)
-    rows = [(i, " ".join("x#$|"[rnd.random() < 0.5 :][:1] * 4 for _ in range(rnd.randrange(0, 30))) or None, rnd.choice([*"aaaaaab", None])) for i in range(400)]
-    size = {i: len(words_of(t)) for i, t, _ in rows}
-    names = sorted({s for _, _, s in rows if s}) + [None]
+    size = [len(words_of(t)) for _, t, _ in rows]
+    names = sorted({s for _, _, s in rows if s is not None}) + [None] * any(s is None for _, _, s in rows)
     weight = {s: (3, 1, 2)[k % 3] for k, s in enumerate(names)}
-    own = {s: sum(size[i] for i, _, x in rows if x == s) for s in names}
+    own = {s: sum(n for n, r in zip(size, rows, strict=True) if r[2] == s) for s in names}
     left, open_, target = 1.5 * sum(own.values()), set(names), {}
     while open_:
         level = left / sum(weight[s] for s in open_)
@@ -298,18 +296,26 @@ def test_mix_takes_smallest_keys_first(spark):
         open_ = open_ - over if over else set()
 
     def key(i, t):
-        u = (int(hashlib.md5(f"17:{i}".encode()).hexdigest()[:12], 16) + 0.5) / 2**48
+        u = (int(hashlib.md5(f"17:{'' if i is None else i}".encode()).hexdigest()[:12], 16) + 0.5) / 2**48
         return -math.log(u) / (max(0.05, sum(c not in mixing.SYMBOLS for c in t) / len(t)) if t else 0.05)
 
-    want = {}
+    taken = [0] * len(rows)
     for s in names:
-        epochs, rest = divmod(math.floor(target[s] + 0.5), own[s])
-        for i, t, _ in sorted((r for r in rows if r[2] == s), key=lambda r: (key(r[0], r[1]), r[0])):
-            part = min(size[i], rest)
+        epochs, rest = divmod(math.floor(target[s] + 0.5), own[s]) if own[s] else (0, 0)
+        order = [k for k, r in enumerate(rows) if r[2] == s]
+        for k in sorted(order, key=lambda k: (key(*rows[k][:2]), rows[k][0] is not None, rows[k][0] or 0, size[k])):
+            part = min(size[k], rest)
             rest -= part
-            want[i] = epochs * size[i] + part
+            taken[k] = epochs * size[k] + part
+    return taken
+
+
+def test_mix_takes_smallest_keys_first(spark):
+    """Rows against a brute-force version: whole epochs, then keys in order, with weights far apart and one source of most rows."""
+    rnd = random.Random(2)
+    rows = [(i, " ".join("x#$|"[rnd.random() < 0.5 :][:1] * 4 for _ in range(rnd.randrange(0, 30))) or None, rnd.choice([*"aaaaaab", None])) for i in range(400)]
     got = mixing.mix(make_docs(spark, rows), bucket_rows=9)
-    assert {r.doc_id: r.taken for r in got.collect()} == want
+    assert {r.doc_id: r.taken for r in got.collect()} == dict(enumerate(brute_mix(rows)))
 
 
 def test_mix_meets_targets(spark):
@@ -341,20 +347,18 @@ class Wrong:
         return self.answer if name == self.name else getattr(self.library, name)
 
 
-def test_pieces_are_compared_with_the_library_both_ways(tmp_path):
-    import sentencepiece
-
+def test_pieces_are_compared_with_the_library_both_ways():
+    """A library that answers otherwise is an error: segment by segment, and by whole texts where the normaliser isn't known as plain."""
     texts = ["The ﬁne river  runs, and Ａ bridge é stands. ", "", "stones and rivers"]
-    sentencepiece.SentencePieceTrainer.train(sentence_iterator=iter([prose(20, i) for i in range(200)]), model_prefix=f"{tmp_path}/m", model_type="bpe", vocab_size=80, hard_vocab_limit=False, minloglevel=2)
-    for path in (sentencepieces.default_model(), f"{tmp_path}/m.model"):
-        v = sentencepieces.Vocabulary(path)
-        assert v.plain_text == (path == sentencepieces.default_model())
-        m = v.library
+    for plain in (True, False):
+        v = sentencepieces.Vocabulary(sentencepieces.default_model())
+        assert v.plain_text
+        v.plain_text, m = plain, v.library
         for t, (n, ids, text) in zip(texts, v.encode_batch(texts), strict=True):
             assert [int(x) for x in ids.split(b",") if x] == m.encode(t) and text.decode() == m.decode(m.encode(t)) and n == len(m.encode(t))
         for name, answer in (("encode", lambda x, **_: [0] if isinstance(x, str) else [[0]] * len(x)), ("decode", lambda x: "?" if x and isinstance(x[0], int) else ["?"] * len(x))):
-            v = sentencepieces.Vocabulary(path)
-            v.library = Wrong(m, name, answer)
+            v = sentencepieces.Vocabulary(sentencepieces.default_model())
+            v.plain_text, v.library = plain, Wrong(m, name, answer)
             with pytest.raises(ValueError, match="differ"):
                 v.encode_batch(texts)
 
@@ -395,17 +399,126 @@ def test_empty_tables(spark):
     assert crosspolytope.nearest(none, none).count() == 0
 
 
-def test_pipeline_stages(spark, tmp_path):
+def ordered(rows):
+    return sorted(map(tuple, rows), key=lambda r: tuple(map(str, r)))
+
+
+def brute_quality(rows, weights):
+    """Scores as sums over the features that learning sees, a text at a time."""
+    s = quality.Settings()
+    out = []
+    for r in rows:
+        ((at, x),) = quality.examples(quality.pa.array([r[1]], quality.pa.string()), s)
+        dot = sum(float(weights[k]) * float(v) for k, v in zip(at, x, strict=True)) + float(weights[-1])
+        out += [r] * int(1 / (1 + np.exp(-dot)) >= 0.5)
+    return out
+
+
+def brute_alike(rows):
+    """One row of each group that Jaccard 0.8 on five-word shingles links: that of the smallest id."""
+    sets = []
+    for r in rows:
+        w = [x.lower() for x in words_of(r[1])]
+        sets.append({tuple(w[j : j + 5]) for j in range(len(w) - 4)} or ({tuple(w)} if w else set()))
+    root = partition(len(rows), {(i, j) for i, j in brute_links(sets, 80, 100) if sets[i] and sets[j]})
+    low = {}
+    for k, r in enumerate(rows):
+        if r[0] is not None:
+            low[root[k]] = min(low.get(root[k], r[0]), r[0])
+    kept = [r for k, r in enumerate(rows) if r[0] is None or not sets[k] or low[root[k]] == r[0]]
+    return list({(r[0], r[1]): r for r in reversed(kept)}.values())
+
+
+def brute_cut(rows):
+    told = brute_dedup([(r[0], r[1], None) for r in rows])
+    return [(r[0], kept, *r[2:4], len(kept), *r[5:]) if gone else r for r, (_, _, gone, kept) in zip(rows, told, strict=True)]
+
+
+def brute_copies(rows):
+    groups, out = {}, []
+    key = lambda r: (r[0], r[3], len(words_of(r[1])))
+    for r, n in zip(rows, brute_mix([(r[0], r[1], r[3]) for r in rows]), strict=True):
+        groups.setdefault(key(r), []).append(n)
+    for r in rows:
+        w, left = words_of(r[1]), sum(groups[key(r)]) // len(groups[key(r)])
+        while left > 0:
+            part = " ".join(w[:left])
+            out.append(r if left >= len(w) else (r[0], part, *r[2:4], len(part), *r[5:]))
+            left -= len(w)
+    return out
+
+
+def brute_ids(rows):
+    import hashlib
+
+    import sentencepiece
+
+    m, out = sentencepiece.SentencePieceProcessor(model_file=sentencepieces.default_model()), []
+    for r in rows:
+        ids = m.encode(r[1] or "")
+        digests = [hashlib.sha256(x.encode()).hexdigest() for x in (",".join(map(str, ids)), m.decode(ids) if ids else "")]
+        out.append((r[0], len(ids), *digests, ids))
+    return out
+
+
+def pipeline_rows():
+    """Good and bad texts, near and exact copies, shared passages; nulls, empty texts, ids and rows that repeat."""
+    rows = sample_texts(21) + [(i, "@@## $$ 11 %% " * (i - 290), "b") for i in range(300, 320)]
+    rows += [(None, rows[9][1], "a"), (12, "another text of the id twelve", "c"), (330, rows[10][1] + " é🙂", None), (331, rows[10][1], "b")]
+    # a source of which less than an epoch is taken, with rows equal in id and size
+    rows += [(400 + i // 2, prose(20, 70 + i // 2), "b") for i in range(40)]
+    return rows
+
+
+@pytest.mark.parametrize("name", ["quality", "near_duplicates", "repeated_passages", "source_mix", "token_ids"])
+def test_pipeline_stages_equal_brute_force(spark, tmp_path, name):
+    """The rows of each stage, with columns of clashing names, and those of empty tables and of nulls only."""
     import corpus_pipeline
 
-    rows = sample_texts(21)
-    labels = spark.createDataFrame([(i, 1, 0) for i in range(60)], "doc_id long, quality int, toxic int")
+    assert [n for n, _ in corpus_pipeline.STAGES] == ["quality", "near_duplicates", "repeated_passages", "source_mix", "token_ids"]
+    stage = dict(corpus_pipeline.STAGES)[name]
+    labels = spark.createDataFrame([(i, int(i < 100), 0) for i in range(420)], "doc_id long, quality int, toxic int")
     labels.write.parquet(f"{tmp_path}/labels.parquet")
-    docs = make_docs(spark, rows)
-    for name, stage in corpus_pipeline.STAGES:
-        out = stage(spark, docs, str(tmp_path))
-        if name != corpus_pipeline.STAGES[-1][0]:
-            assert out.columns == docs.columns
-        out.write.parquet(f"{tmp_path}/{name}")
-        last, docs = docs, spark.read.parquet(f"{tmp_path}/{name}")
-    assert docs.count() == last.count() > 0
+
+    def brute(docs, rows):
+        if name == "quality":
+            return brute_quality(rows, quality.train(docs, labels))
+        return {"near_duplicates": brute_alike, "repeated_passages": brute_cut, "source_mix": brute_copies, "token_ids": brute_ids}[name](rows)
+
+    for rows in (pipeline_rows(), [], [(None, None, None), (1, None, None), (2, "", "a")]):
+        docs = make_docs(spark, rows)
+        for clash in ("taken", "score", "component_id", "h1", "kept", "ids"):
+            docs = docs.withColumn(clash, F.lit(clash))
+        docs.write.mode("overwrite").parquet(f"{tmp_path}/docs")
+        docs = spark.read.parquet(f"{tmp_path}/docs")
+        got = stage(spark, docs, str(tmp_path))
+        if name != "token_ids":
+            assert got.columns == docs.columns
+        want = brute(docs, [tuple(r) for r in docs.collect()])
+        assert ordered(got.collect()) == ordered(want)
+        if name == "quality" and len(rows) > 3:
+            assert len(want) < len(rows)
+
+
+def test_equal_rows_share_what_they_take(spark):
+    """Ten rows equal in id and size take 83 words, the last of them none: each gets 8."""
+    import corpus_pipeline
+
+    words = " ".join("abcdefghij")
+    rows = [(i, words, "a" if i < 10 else "c") for i in range(20)] + [(50, words, "b")] * 10
+    got = corpus_pipeline.mix_sources(spark, make_docs(spark, rows), "").filter("source = 'b'").collect()
+    assert [r.text for r in got] == [" ".join("abcdefgh")] * 10
+
+
+def test_pipeline_runs_all_stages(spark, tmp_path):
+    """run() on whole files gives the ids of the texts that the stages, each by brute force, leave."""
+    import corpus_pipeline
+
+    make_docs(spark, pipeline_rows()).write.parquet(f"{tmp_path}/documents.parquet")
+    labels = spark.createDataFrame([(i, int(i < 100 or i >= 330), 0) for i in range(420)], "doc_id long, quality int, toxic int")
+    labels.write.parquet(f"{tmp_path}/labels.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    want = brute_quality([tuple(r) for r in docs.collect()], quality.train(docs, labels))
+    for brute in (brute_alike, brute_cut, brute_copies, brute_ids):
+        want = brute(want)
+    assert ordered(corpus_pipeline.run(spark, str(tmp_path)).collect()) == ordered(want) and want
