@@ -103,3 +103,18 @@ def test_fingerprints_of_documents(spark):
     for r in got:
         assert 0 <= r.near_edited <= 1 and 0 <= r.near_next <= 1
     assert syncmers.fingerprints(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+@pytest.mark.parametrize("name", ["op2_chat_format", "op6_licence_scan"])
+def test_native_queries_make_no_rows_in_python(spark, name):
+    """Neither Python nor an RDD of its own has a part in the plan (that of op6 begins at its last written table)."""
+    plan = registry.QUERIES[name](spark, FOLDER)._jdf.queryExecution().toString()
+    assert not any(x in plan for x in ("ExistingRDD", "LogicalRDD", "Python", "InArrow", "InPandas"))
+
+
+def test_literal_rows(spark):
+    from tidewheel.llm.scratch import literal_rows
+
+    rows = [(1, "a", ["x", "y"]), (None, None, []), (1, "a", ["x", "y"])]
+    got = literal_rows(spark, "a long, b string, c array<string>", rows)
+    assert [tuple(r) for r in got.collect()] == rows and dict(got.dtypes) == {"a": "bigint", "b": "string", "c": "array<string>"}

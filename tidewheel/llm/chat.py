@@ -12,7 +12,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .scratch import read_table
+from .scratch import literal_rows, read_table
 
 
 @dataclass(frozen=True)
@@ -101,7 +101,7 @@ def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Digests of all conversations, and of conversation -7, read back from their formatted form."""
     odd = r"\### Assistant: </turn> ok"
     table = read_table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
-    extra = spark.createDataFrame([(-7, 0, "user", odd), (-7, 1, "assistant", odd)], "conv_id long, turn long, role string, text string")
+    extra = literal_rows(spark, "conv_id long, turn long, role string, text string", [(-7, 0, "user", odd), (-7, 1, "assistant", odd)])
     chats = format_chats(table.unionByName(extra))
     loss = F.array_join(F.transform(F.filter("segments", lambda s: s["loss"]), lambda s: unescape(s["text"])), "")
     told = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")

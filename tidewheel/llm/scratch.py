@@ -73,3 +73,11 @@ def partitions(spark: SparkSession) -> int:
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return small_batches(spark).read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def literal_rows(spark: SparkSession, schema: str, rows: list[tuple]) -> DataFrame:
+    """A small fixed table as one literal: unlike createDataFrame, no RDD and no Python worker has a part in it."""
+    fields = [f.split(" ", 1) for f in schema.split(", ")]
+    values = F.array(*[F.struct(*[F.lit(v).alias(name) for (name, _), v in zip(fields, row, strict=True)]) for row in rows])
+    kind = ",".join(f"{name}:{of}" for name, of in fields)
+    return spark.range(1).select(F.inline(values.cast(f"array<struct<{kind}>>")))
