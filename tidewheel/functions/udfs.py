@@ -77,3 +77,45 @@ def udf_sql(spark, sf_dir):
     spark.sql("CREATE OR REPLACE TEMPORARY FUNCTION raised_by(x DOUBLE, share DOUBLE) RETURNS DOUBLE RETURN round(x * (1 + share), 4)")
     table(spark, sf_dir, "supplier").createOrReplaceTempView("_supplier")
     return spark.sql("SELECT s_suppkey, raised_by(s_acctbal, 0.1D) AS raised FROM _supplier")
+
+
+@query("""
+WITH marked AS (SELECT user_id, event_type, event_id, ts, CASE WHEN event_type = lag(event_type) OVER w THEN 0 ELSE 1 END AS fresh FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
+numbered AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS s FROM marked)
+SELECT user_id, event_type, arg_min(event_id, (ts, event_id)) AS event_id, count(*)::BIGINT AS n FROM numbered GROUP BY user_id, event_type, s HAVING count(*) > 1
+""")
+def udf_table_argument(spark, sf_dir):
+    """A table function over a partitioned and ordered table: stretches of equal values. Which columns it gives follows from its arguments."""
+    from pyspark.sql.types import LongType, StructType
+    from pyspark.sql.udtf import AnalyzeResult, OrderingColumn, PartitionColumn, SelectedColumn
+
+    @F.udtf
+    class Stretches:
+        """Keeps the stretch that goes on, no more, whatever the size of a partition."""
+
+        def __init__(self):
+            self.now = None
+
+        @staticmethod
+        def analyze(rows, key, column, order, least):
+            names = {f.name: f for f in rows.dataType.fields}
+            for asked in (key, column, order):
+                if asked.value not in names:
+                    raise ValueError(f"no column {asked.value}")
+            schema = StructType([names[key.value], names[column.value], names[order.value]]).add("n", LongType())
+            return AnalyzeResult(
+                schema, partitionBy=[PartitionColumn(key.value)], orderBy=[OrderingColumn("ts"), OrderingColumn(order.value)], select=[SelectedColumn(c) for c in (key.value, column.value, order.value, "ts")]
+            )
+
+        def eval(self, row, key, column, order, least):
+            if self.now and self.now[1] == row[column]:
+                self.now[3] += 1
+                return
+            yield from self.terminate(least)
+            self.now, self.least = [row[key], row[column], row[order], 1], least
+
+        def terminate(self, least=None):
+            if self.now and self.now[3] >= (least or self.least):
+                yield tuple(self.now)
+
+    return Stretches(table(spark, sf_dir, "events").asTable(), F.lit("user_id"), F.lit("event_type"), F.lit("event_id"), F.lit(2))

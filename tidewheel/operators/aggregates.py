@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tidewheel.operators.selection import exact_quantiles
 from tidewheel.plans.registry import query, table
 
 
@@ -42,9 +43,12 @@ SELECT o_orderpriority, round(quantile_cont(o_totalprice, 0.9), 4) AS p90, round
   min(o_orderstatus) FILTER (true) AS least FROM orders GROUP BY o_orderpriority
 """)
 def group_percentiles(spark, sf_dir):
-    return table(spark, sf_dir, "orders").groupBy("o_orderpriority").agg(
-        F.round(F.percentile("o_totalprice", 0.9), 4).alias("p90"), F.round(F.percentile("o_totalprice", 0.25), 4).alias("p25"), F.min("o_orderstatus").alias("least")
-    )
+    """Exact percentiles without any group in one buffer, beside an ordinary aggregate."""
+    orders = table(spark, sf_dir, "orders")
+    told = exact_quantiles(orders, "o_orderpriority", "o_totalprice", [0.9, 0.25]).groupBy("o_orderpriority")
+    told = told.agg(*[F.round(F.max(F.when(F.col("p") == p, F.col("q"))), 4).alias(name) for p, name in ((0.9, "p90"), (0.25, "p25"))])
+    least = orders.groupBy(F.col("o_orderpriority").alias("o")).agg(F.min("o_orderstatus").alias("least"))
+    return told.join(least, F.col("o_orderpriority").eqNullSafe(F.col("o"))).select("o_orderpriority", "p90", "p25", "least")
 
 
 @query("""
@@ -58,20 +62,6 @@ def group_mode(spark, sf_dir):
     return counts.groupBy("l_returnflag").agg(best.alias("mode"))
 
 
-@query("""
-SELECT l_returnflag, true AS distinct_near, true AS median_near, true AS sketch_near FROM lineitem GROUP BY l_returnflag
-""")
-def group_sketches(spark, sf_dir):
-    """Approximate counts and percentiles, told as whether they are within their error bounds of the exact ones."""
-    near = lambda a, b, by: F.abs(a - b) <= by * F.greatest(F.abs(b), F.lit(1.0))
-    found = table(spark, sf_dir, "lineitem").groupBy("l_returnflag").agg(
-        F.approx_count_distinct("l_partkey", 0.02).alias("a"), F.count_distinct("l_partkey").alias("e"),
-        F.percentile_approx("l_extendedprice", 0.5, 10000).alias("m"), F.percentile("l_extendedprice", [0.49, 0.51]).alias("x"),
-        F.hll_sketch_estimate(F.hll_sketch_agg("l_partkey", F.lit(14))).alias("h"),
-    )
-    return found.select("l_returnflag", near(F.col("a"), F.col("e"), 0.1).alias("distinct_near"), F.col("m").between(F.col("x")[0], F.col("x")[1]).alias("median_near"), near(F.col("h"), F.col("e"), 0.05).alias("sketch_near"))
-
-
 @query("SELECT o_orderpriority, o_orderstatus, count(*)::BIGINT AS n, round(sum(o_totalprice), 2) AS total FROM orders GROUP BY ROLLUP (o_orderpriority, o_orderstatus)")
 def group_rollup(spark, sf_dir):
     return table(spark, sf_dir, "orders").rollup("o_orderpriority", "o_orderstatus").agg(F.count("*").alias("n"), F.round(F.sum("o_totalprice"), 2).alias("total"))

@@ -184,6 +184,6 @@ def above_part_average(spark, sf_dir):
 
 
 from tidewheel.functions import scalars, udfs  # noqa: E402, F401
-from tidewheel.operators import aggregates, joins, ordered, sampling, selection, sets, windows  # noqa: E402, F401
+from tidewheel.operators import aggregates, joins, ordered, sampling, selection, sets, sketches, windows  # noqa: E402, F401
 from tidewheel.sources import formats  # noqa: E402, F401
 from tidewheel.streaming import late, state, streams  # noqa: E402, F401
