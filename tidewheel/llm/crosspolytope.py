@@ -125,10 +125,16 @@ def _members(near: np.ndarray, cells: int) -> list[np.ndarray]:
     return np.split(row[order], np.searchsorted(near.ravel()[order], np.arange(1, cells)))
 
 
-def usable(vectors: DataFrame, vec_id: str, embedding: str, dim: int) -> DataFrame:
+def _plain(vectors: DataFrame, vec_id: str, embedding: str) -> DataFrame:
+    """Rows with an id whose vectors aren't null or zero and have finite components only, of any length."""
     v = F.col(embedding)
     plain = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
-    kept = vectors.filter(F.col(vec_id).isNotNull() & (F.size(v) == dim) & plain & F.exists(v, lambda x: x != 0))
+    return vectors.filter(F.col(vec_id).isNotNull() & v.isNotNull() & plain & F.exists(v, lambda x: x != 0))
+
+
+def usable(vectors: DataFrame, vec_id: str, embedding: str, dim: int) -> DataFrame:
+    v = F.col(embedding)
+    kept = _plain(vectors, vec_id, embedding).filter(F.size(v) == dim)
     return kept.select(F.col(vec_id).cast("long").alias("vec_id"), v.cast("array<double>").alias("v"))
 
 
@@ -166,13 +172,13 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, s: Settings = S
 
     A query for which hashing finds fewer than k is searched again among all vectors, exactly.
 
-    Vectors that are null, zero, hold null or non-finite components or differ in length from the first
-    usable one take no part, nor do null ids. A query doesn't find its own id. Ties go to the smaller
+    Vectors that are null, zero or hold null or non-finite components take no part, nor do null ids, nor
+    vectors of another length than most of the others (the shortest of equally common lengths). A query doesn't find its own id. Ties go to the smaller
     id. Of repeated rows of an id the nearest counts once; a query id with several vectors is the
     smallest of them. Empty tables give an empty result; other columns are ignored.
     """
     spark = vectors.sparkSession
-    some = vectors.select(F.size(embedding).alias("n")).filter("n > 0").groupBy("n").count().orderBy(F.desc("count"), "n").head(1)
+    some = _plain(vectors, vec_id, embedding).select(F.size(embedding).alias("n")).groupBy("n").count().orderBy(F.desc("count"), "n").head(1)
     dim = some[0]["n"] if some else 1
     rows = usable(vectors, vec_id, embedding, dim)
     asked = usable(queries, vec_id, embedding, dim).groupBy("vec_id").agg(F.min("v").alias("v"))
