@@ -87,7 +87,7 @@ SELECT user_id, event_type, arg_min(event_id, (ts, event_id)) AS event_id, count
 def udf_table_argument(spark, sf_dir):
     """A table function over a partitioned and ordered table: stretches of equal values. Which columns it gives follows from its arguments."""
     from pyspark.sql.types import LongType, StructType
-    from pyspark.sql.udtf import AnalyzeResult, OrderingColumn, PartitionColumn, SelectedColumn
+    from pyspark.sql.udtf import AnalyzeResult, OrderingColumn, PartitioningColumn, SelectedColumn
 
     @F.udtf
     class Stretches:
@@ -104,7 +104,7 @@ def udf_table_argument(spark, sf_dir):
                     raise ValueError(f"no column {asked.value}")
             schema = StructType([names[key.value], names[column.value], names[order.value]]).add("n", LongType())
             return AnalyzeResult(
-                schema, partitionBy=[PartitionColumn(key.value)], orderBy=[OrderingColumn("ts"), OrderingColumn(order.value)], select=[SelectedColumn(c) for c in (key.value, column.value, order.value, "ts")]
+                schema, partitionBy=[PartitioningColumn(key.value)], orderBy=[OrderingColumn("ts"), OrderingColumn(order.value)], select=[SelectedColumn(c) for c in (key.value, column.value, order.value, "ts")]
             )
 
         def eval(self, row, key, column, order, least):

@@ -68,11 +68,12 @@ SELECT a.event_id, b.event_id AS later FROM events a JOIN events b
 ON a.user_id = b.user_id AND b.ts > a.ts AND b.ts <= a.ts + INTERVAL 20 MINUTE WHERE a.event_type = 'view' OR a.event_type = 'click'
 """)
 def join_interval(spark, sf_dir):
-    """Equality and a range of time."""
+    """Equality and a range of time: both sides have bins of the range's length in their key, and a row meets two of them, so rows of a user that are far apart never meet."""
     events = table(spark, sf_dir, "events")
-    a = events.filter(F.col("event_type").isin("view", "click")).select("event_id", F.col("user_id").alias("u"), F.col("ts").alias("t"))
-    b = events.select(F.col("event_id").alias("later"), "user_id", "ts")
-    near = (F.col("u") == F.col("user_id")) & (F.col("ts") > F.col("t")) & (F.col("ts") <= F.col("t") + F.expr("INTERVAL 20 MINUTES"))
+    at = F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / (20 * 60 * 1_000_000))
+    a = events.filter(F.col("event_type").isin("view", "click")).select("event_id", F.col("user_id").alias("u"), F.col("ts").alias("t"), F.explode(F.array(at, at + 1)).alias("bin"))
+    b = events.select(F.col("event_id").alias("later"), "user_id", "ts", at.alias("b"))
+    near = (F.col("u") == F.col("user_id")) & (F.col("bin") == F.col("b")) & (F.col("ts") > F.col("t")) & (F.col("ts") <= F.col("t") + F.expr("INTERVAL 20 MINUTES"))
     return a.join(b, near).select("event_id", "later")
 
 

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tidewheel.plans.registry import query, table
+from tidewheel.sources.folders import new_folder
 
 
 
@@ -35,17 +37,35 @@ def except_all(spark, sf_dir):
     return _keys(spark, sf_dir, "lineitem", "l_orderkey").exceptAll(_keys(spark, sf_dir, "orders", "o_orderkey"))
 
 
+def placed(rows, name: str, *order):
+    """``rows`` with ``name``: the place of each, from 1, in the order of all. Ranges of rows are sorted and counted, and a count for each range is joined back: no task sees all rows."""
+    spark = rows.sparkSession
+    ranges = max(2, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    folder = new_folder(spark, "placed")
+    # an id has the number of its range in the upper bits and its place within the range in the others
+    rows.repartitionByRange(ranges, *order).sortWithinPartitions(*order).withColumn("_id", F.monotonically_increasing_id()).write.parquet(folder)
+    told = spark.read.parquet(folder).withColumn("_range", F.shiftright("_id", 33))
+    sizes = told.groupBy("_range").agg(F.count("*").alias("_n"))
+    before = F.sum("_n").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1))  # a row for each range
+    before = sizes.select("_range", F.coalesce(before, F.lit(0)).alias("_before"))
+    place = F.col("_before") + F.col("_id").bitwiseAND((1 << 33) - 1) + 1
+    return told.join(F.broadcast(before), "_range").withColumn(name, place).drop("_range", "_before", "_id")
+
+
 @query("""
-SELECT x, (row_number() OVER (ORDER BY x ASC NULLS LAST, i))::INTEGER AS up, (row_number() OVER (ORDER BY x DESC NULLS FIRST, i))::INTEGER AS down
-FROM (VALUES (1, 3.5::DOUBLE), (2, NULL), (3, -1.0), (4, 3.5), (5, NULL)) AS t(i, x)
+WITH t AS (SELECT c_custkey, max(o_totalprice) FILTER (o_orderstatus = 'F') AS x FROM customer LEFT JOIN orders ON c_custkey = o_custkey GROUP BY c_custkey)
+SELECT c_custkey, x, (row_number() OVER (ORDER BY x ASC NULLS LAST, c_custkey))::BIGINT AS up, (row_number() OVER (ORDER BY x DESC NULLS FIRST, c_custkey))::BIGINT AS down FROM t
 """)
 def sort_nulls(spark, sf_dir):
-    """Where nulls go in a sort, told by the rows' places in a fixed table."""
-    from pyspark.sql import Window
+    """Where nulls go in a sort, told by the places of all customers; those without such an order have none."""
+    own = _dearest(spark, sf_dir).select("c_custkey", "x")
+    return placed(placed(own, "up", F.asc_nulls_last("x"), F.asc("c_custkey")), "down", F.desc_nulls_first("x"), F.asc("c_custkey"))
+
 
-    rows = spark.createDataFrame([(1, 3.5), (2, None), (3, -1.0), (4, 3.5), (5, None)], "i int, x double")
-    place = lambda *by: F.row_number().over(Window.orderBy(*by, "i"))
-    return rows.select("x", place(F.asc_nulls_last("x")).alias("up"), place(F.desc_nulls_first("x")).alias("down"))
+def _dearest(spark, sf_dir):
+    """Of each customer the dearest order of status F, x, and of any, y; null where there is none."""
+    orders = table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.max(F.when(F.col("o_orderstatus") == "F", F.col("o_totalprice"))).alias("x"), F.max("o_totalprice").alias("y"))
+    return table(spark, sf_dir, "customer").select("c_custkey").join(orders, F.col("c_custkey") == F.col("o_custkey"), "left")
 
 
 @query("SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice, o_orderkey LIMIT 20 OFFSET 30")
@@ -54,12 +74,12 @@ def limit_offset(spark, sf_dir):
 
 
 @query("""
-SELECT i, x IS NULL AS missing, x IS NOT DISTINCT FROM y AS same, coalesce(x, y, 0)::INTEGER AS known, nullif(x, y) AS other
-FROM (VALUES (1, 1, 1), (2, NULL, 2), (3, 3, NULL), (4, NULL, NULL), (5, 5, 6)) AS t(i, x, y)
+WITH t AS (SELECT c_custkey, max(o_totalprice) FILTER (o_orderstatus = 'F') AS x, max(o_totalprice) AS y FROM customer LEFT JOIN orders ON c_custkey = o_custkey GROUP BY c_custkey)
+SELECT c_custkey, x IS NULL AS missing, x IS NOT DISTINCT FROM y AS same, coalesce(x, y, 0) AS known, nullif(y, x) AS other FROM t
 """)
 def null_predicates(spark, sf_dir):
-    rows = spark.createDataFrame([(1, 1, 1), (2, None, 2), (3, 3, None), (4, None, None), (5, 5, 6)], "i int, x int, y int")
-    return rows.select("i", F.col("x").isNull().alias("missing"), F.col("x").eqNullSafe(F.col("y")).alias("same"), F.coalesce("x", "y", F.lit(0)).alias("known"), F.nullif("x", "y").alias("other"))
+    rows = _dearest(spark, sf_dir)
+    return rows.select("c_custkey", F.col("x").isNull().alias("missing"), F.col("x").eqNullSafe(F.col("y")).alias("same"), F.coalesce("x", "y", F.lit(0.0)).alias("known"), F.nullif("y", "x").alias("other"))
 
 
 @query("SELECT p_partkey, p_name FROM part WHERE (p_size < 10 OR p_retailprice > 1500) AND p_type LIKE '%S%' AND NOT p_brand LIKE '%1'")

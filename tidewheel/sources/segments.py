@@ -4,6 +4,7 @@
     spark.read.format("segments").load(folder).filter("value > 10")
     spark.readStream.format("segments").load(folder)
 
+Batch reads need ``spark.sql.python.filterPushdown.enabled`` set to true, or Spark refuses a source that takes filters.
 Tasks write segments, and only the manifest of a commit makes them part of the table: an aborted write
 deletes its segments and leaves nothing. Readers take a task for each segment, skip segments whose extent no
 row can pass the pushed filters with, and filter the batches of the others. A stream's offset is the number
@@ -142,11 +143,12 @@ class SegmentStream(DataSourceStreamReader):
 class SegmentWriter(DataSourceArrowWriter):
     def __init__(self, folder: str, overwrite: bool):
         self.folder, self.overwrite, self.write_id = folder, overwrite, uuid.uuid4().hex
+        store, path = opened(folder)
+        store.create_dir(f"{path}/{self.write_id}", recursive=True)
 
     def write(self, iterator):
-        """Rows of a task into segments, a batch at a time; extents are kept up with."""
+        """Rows of a task into segments, a batch at a time; extents are kept up with. The folder is there until an abort, so a task that is late finds none to write to."""
         store, path = opened(self.folder)
-        store.create_dir(f"{path}/{self.write_id}", recursive=True)
         out, sink, n = [], None, 0
         try:
             for b in iterator:
@@ -194,7 +196,6 @@ class SegmentWriter(DataSourceArrowWriter):
 
     def abort(self, messages):
         store, path = opened(self.folder)
-        store.create_dir(f"{path}/{self.write_id}", recursive=True)
         store.delete_dir(f"{path}/{self.write_id}")
 
 
