@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .components import components
-from .scratch import Scratch, partitions, read_table, small_side
+from .scratch import Scratch, partitions, read_table, small_side, trimmed
 from .textblocks import Words, blocks, mix, ngrams, text_array
 
 #: n-grams that are searched at once, roughly; larger classes are cut in blocks and searched by pairs of blocks.
@@ -73,7 +73,7 @@ def _sets(docs: DataFrame, n: int, lower: bool) -> DataFrame:
             cols = zip(*rows, strict=True) if rows else [[], [], []]
             yield pa.RecordBatch.from_arrays([b.column(0), *[pa.array(c, pa.int64()) for c in cols], b.column(2)], ["doc_id", "n", "h1", "h2", "text_hash"])
 
-    return docs.select("doc_id", "text", F.xxhash64("text")).mapInArrow(run, "doc_id long, n long, h1 long, h2 long, text_hash long")
+    return docs.select("doc_id", "text", F.xxhash64("text")).mapInArrow(trimmed(run), "doc_id long, n long, h1 long, h2 long, text_hash long")
 
 
 def _within_reach(docs: DataFrame, n: int, lower: bool, num: int, den: int, total: int) -> DataFrame:
@@ -161,9 +161,9 @@ def _within_reach(docs: DataFrame, n: int, lower: bool, num: int, den: int, tota
                     known[np.frombuffer(a, np.int32)] += np.frombuffer(b, np.int32)
             yield pa.RecordBatch.from_arrays([pa.array(hashes[known * den >= sizes * num])], ["h"])
 
-    told = docs.select("text").mapInArrow(send, "bucket int, unit long, a binary, b binary, c binary")
-    told = told.repartition(most, "bucket").sortWithinPartitions("bucket").mapInArrow(meet, "unit long, head boolean, a binary, b binary")
-    return told.repartition(partitions(docs.sparkSession), "unit").sortWithinPartitions("unit").mapInArrow(gather, "h long")
+    told = docs.select("text").mapInArrow(trimmed(send), "bucket int, unit long, a binary, b binary, c binary")
+    told = told.repartition(most, "bucket").sortWithinPartitions("bucket").mapInArrow(trimmed(meet), "unit long, head boolean, a binary, b binary")
+    return told.repartition(partitions(docs.sparkSession), "unit").sortWithinPartitions("unit").mapInArrow(trimmed(gather), "h long")
 
 
 def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[tuple]]]:
@@ -335,7 +335,7 @@ def _load(members: DataFrame, docs: DataFrame, n: int, lower: bool) -> DataFrame
     if loose.head(1):  # sets that only rows without an id have
         nothing = F.lit(None).cast("long")
         texts = texts.unionAll(docs.filter("doc_id IS NULL").select("text", nothing, nothing))
-    sets = texts.mapInArrow(load, h.replace("h", "g") + "ngrams array<long>")
+    sets = texts.mapInArrow(trimmed(load), h.replace("h", "g") + "ngrams array<long>")
     # equal sets of several rows or batches meet in one
     sets = sets.join(small_side(members.select("node", "h1", "h2"), 40), (F.col("g1") == F.col("h1")) & (F.col("g2") == F.col("h2")))
     return sets.select("node", "ngrams")

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .scratch import read_table, small_batches
+from .scratch import read_table, small_batches, trimmed
 from .textblocks import _LOWER, _SPACE, blocks, mix, ngrams, run_hashes, text_array
 
 _KIND = np.full(256, 3, dtype=np.int8)  # 0 space, 1 letter or part of a longer character, 2 digit, 3 other
@@ -150,10 +150,10 @@ def train(docs: DataFrame, labels: DataFrame, s: Settings = Settings()) -> np.nd
                 rows.append((np.frombuffer(at, np.int32), np.frombuffer(x, np.float32), y))
         yield pa.RecordBatch.from_arrays([pa.array([learn(rows, s).tobytes()], pa.binary())], ["weights"])
 
-    seen = some.select(F.col("doc_id").cast("long"), "label", "t.text").mapInArrow(extract, "doc_id long, label int, at binary, x binary")
+    seen = some.select(F.col("doc_id").cast("long"), "label", "t.text").mapInArrow(trimmed(extract), "doc_id long, label int, at binary, x binary")
     # one task by contract of max_rows: a row for each id
     one = seen.repartition(1).sortWithinPartitions(F.xxhash64("doc_id"), "doc_id")
-    got = one.mapInArrow(fit, "weights binary").collect()
+    got = one.mapInArrow(trimmed(fit), "weights binary").collect()
     return np.frombuffer(bytes(got[0][0]), np.float32) if got else np.zeros((1 << s.bits) + 1, np.float32)
 
 

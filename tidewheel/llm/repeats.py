@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .scratch import Scratch, partitions, read_table
+from .scratch import Scratch, partitions, read_table, trimmed
 from .textblocks import Words, blocks, mix, ngrams, text_array
 
 #: Bytes of text whose edges are settled against one another before anything is shuffled (or one text, if that is longer).
@@ -182,8 +182,8 @@ def _shared(docs: DataFrame, k: int, m: int, buckets: int, unit: int) -> DataFra
             for i in range(0, len(sig), 1 << 16):
                 yield pa.RecordBatch.from_arrays([pa.array(doc[i : i + (1 << 16)]), pa.array(sig[i : i + (1 << 16)].view(np.int64))], ["told", "sig"])
 
-    told = docs.select("told", "text").mapInArrow(send, "bucket int, sigs binary, docs binary")
-    return _dealt(told, buckets).mapInArrow(meet, "told long, sig long")
+    told = docs.select("told", "text").mapInArrow(trimmed(send), "bucket int, sigs binary, docs binary")
+    return _dealt(told, buckets).mapInArrow(trimmed(meet), "told long, sig long")
 
 
 def _dealt(rows: DataFrame, buckets: int) -> DataFrame:
@@ -269,8 +269,8 @@ def _pieces(docs: DataFrame, k: int, m: int, buckets: int, unit: int) -> DataFra
             cols = [pa.array(np.ascontiguousarray(rows[i : i + (1 << 16), j]).astype(t)) for j, t in enumerate(kinds)]
             yield pa.RecordBatch.from_arrays(cols, [x.split()[0] for x in _PIECE.split(", ")])
 
-    told = docs.select("doc", "told", "text", "sigs").mapInArrow(send, "bucket int, heads binary, text binary")
-    return _dealt(told, buckets).mapInArrow(meet, _PIECE)
+    told = docs.select("doc", "told", "text", "sigs").mapInArrow(trimmed(send), "bucket int, heads binary, text binary")
+    return _dealt(told, buckets).mapInArrow(trimmed(meet), _PIECE)
 
 
 def _texts(docs: DataFrame) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import re
 import shutil
 import tempfile
@@ -39,6 +40,22 @@ def small_batches(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def trimmed(run):
+    """A function of batches that, at the end of a task, gives the memory that the worker has freed back to the machine: workers stay for the tasks of later stages."""
+
+    def told(batches):
+        import ctypes
+
+        import pyarrow as pa
+
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        with contextlib.suppress(OSError, AttributeError):  # only glibc has it
+            ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+    return told
+
+
 class Scratch:
     """Named tables of one run of an operator, written as Parquet so that a lost executor costs no recomputation."""
 
