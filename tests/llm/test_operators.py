@@ -185,6 +185,36 @@ def test_substring_dedup(spark, unit):
     assert sorted(map(tuple, got.collect()), key=key) == sorted(brute_dedup(rows), key=key)
 
 
+@pytest.mark.parametrize("heavy", [0, 40])
+def test_substring_dedup_with_heavy_minimizers(spark, heavy):
+    """Whether all minimizers are heavy or a few: rows as by brute force. Units are small, so that texts meet in buckets."""
+    rows = sample_texts(19)
+    rnd = random.Random(8)
+    phrase = "an eight word phrase that all texts hold"
+    rows += [(300 + i, f"{prose(12, i)} {phrase} {prose(12, 1000 + i % 50 + rnd.randrange(2))}", "a") for i in range(200)]
+    rows += [(400 + i, rows[-i - 1][1], "a") for i in range(5)]
+    got = repeats.substring_dedup(make_docs(spark, rows).repartition(3), unit=3000, heavy=heavy)
+    key = lambda r: tuple(str(x) for x in r)
+    assert sorted(map(tuple, got.collect()), key=key) == sorted(brute_dedup(rows), key=key)
+
+
+def test_edges_of_a_heavy_phrase_spread_over_buckets(spark):
+    """A phrase in 2,000 texts with other words around it: the minimizers inside it are heavy, and each edge goes by its own hash."""
+    least = lambda x: textblocks.ngrams(textblocks.Words(np.frombuffer(x.encode(), np.uint8), np.array([0, len(x)])).hashes(), 8, salt=1)[0]
+    phrase = min((f"an eight word phrase that all texts hold{j}" for j in range(40)), key=least)  # one that minimizers fall on
+    rows = [(i, f"{prose(12, i)} {phrase} {prose(12, 5000 + i)}", "a") for i in range(2000)]
+    docs = make_docs(spark, rows).select(F.col("doc_id").alias("told"), "text")
+    sigs = repeats._sigs(repeats._shared(docs, 13, 8, 16, 20_000, 1000)).cache()
+    heavy = {x for r in sigs.collect() for x in r.heavy}
+    assert heavy == {int(least(phrase).view(np.int64))}
+    under = 0
+    for _, text, _ in rows:
+        e = repeats.Edges(np.frombuffer(text.encode(), np.uint8), np.array([0, len(text)]), 13, 8)
+        under += least(phrase) in e.least[e.valid]
+    assert under > 1900 and sigs.filter(F.size("heavy") > 0).count() == under
+    assert repeats._sigs(repeats._shared(docs, 13, 8, 16, 20_000, 20_000)).filter(F.size("heavy") > 0).count() == 0
+
+
 def test_nearest_recall_and_bad_vectors(spark):
     rnd = np.random.default_rng(4)
     x = rnd.normal(size=(1500, 64)).astype(np.float32)

@@ -5,7 +5,10 @@ Each edge belongs to the bucket of its minimizer, the least hash of the m-grams
 edges share. Runs of edges with one minimizer travel together, as the words of the run:
 
 1. Equal texts are one node: the smallest document with a text stands for it, all words of the
-   others go. Minimizers that occur in one text only are ruled out, and the edges under them.
+   others go. Texts are equal if their SHA-256 digests are. Minimizers that occur in one text only
+   are ruled out, and the edges under them. Minimizers with many different edges, as a phrase has
+   that stands in many texts with other words around it, are heavy: each of their edges goes to the
+   bucket of its own hash, so that no bucket grows with such a phrase.
 2. In each unit of some megabytes of text, edges are settled against the smallest document there, so
    that a very common passage brings an entry for each unit only. The rest goes to its buckets,
    where edges are settled against the smallest document of all, the source.
@@ -27,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .scratch import Scratch, partitions, read_table, trimmed
+from .scratch import Scratch, partitions, read_table, small_side, trimmed
 from .textblocks import Words, blocks, mix, ngrams, text_array
 
 #: Bytes of text whose edges are settled against one another before anything is shuffled (or one text, if that is longer).
@@ -36,6 +39,8 @@ UNIT_BYTES = 4 << 20
 BUCKET_BYTES, MOST_PARTITIONS = 8 << 20, 20_000
 #: Words of runs that are gathered at once.
 RUN_WORDS = 1 << 17
+#: A minimizer with more edges than that, each unit's different ones counted, is heavy.
+HEAVY_EDGES = 1 << 13
 LAST = 2**63 - 1
 
 
@@ -146,11 +151,13 @@ def _rank(sigs: np.ndarray, docs: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
     return sigs, docs, np.arange(len(sigs)) - np.repeat(head, count), np.repeat(count, count)
 
 
-def _shared(docs: DataFrame, k: int, m: int, buckets: int, unit: int) -> DataFrame:
-    """(told, sig): minimizers that occur in two texts or more, for each text (by its hash ``told``) that has them.
+def _shared(docs: DataFrame, k: int, m: int, buckets: int, unit: int, heavy: int) -> DataFrame:
+    """(told, sig, heavy): minimizers that occur in two texts or more, for each text (by its hash ``told``) that has them.
 
-    A unit sends the first two texts of a minimizer; those after them have their answer already."""
-    names = ["bucket", "sigs", "docs"]
+    A unit sends the first two texts of a minimizer and the number of its different edges; texts after
+    them have their answer already, but for ``heavy``, which is null there."""
+    names = ["bucket", "sigs", "rest"]
+    asked = np.dtype([("doc", np.int64), ("n", np.int64)])
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -162,28 +169,47 @@ def _shared(docs: DataFrame, k: int, m: int, buckets: int, unit: int) -> DataFra
                 row, least = e.row[e.valid], e.least[e.valid]
                 few = _heads(row, least)
                 sig, doc, place, _ = _rank(least[few], ids[start + row[few]])
+                _, one = np.unique(e.edge[e.valid], return_index=True)
+                kinds, n = np.unique(least[one], return_counts=True)
                 known, ask = place > 1, place <= 1
                 rows = [(-1 - int(doc[known][0] % buckets), sig[known].tobytes(), doc[known].tobytes())] if known.any() else []
-                sig, doc = sig[ask], doc[ask]
+                rest = np.zeros(int(ask.sum()), dtype=asked)
+                rest["doc"], rest["n"] = doc[ask], np.where(place[ask] == 0, n[np.searchsorted(kinds, sig[ask])], 0)
+                sig = sig[ask]
                 to = (mix(sig) % np.uint64(buckets)).astype(np.int64)
-                order = np.lexsort((doc, to))
-                sig, doc, to = sig[order], doc[order], to[order]
+                order = np.lexsort((rest["doc"], to))
+                sig, rest, to = sig[order], rest[order], to[order]
                 cuts = [*np.flatnonzero(_heads(to)).tolist(), len(to)]
-                rows += [(int(to[x]), sig[x:y].tobytes(), doc[x:y].tobytes()) for x, y in zip(cuts, cuts[1:], strict=False)]
+                rows += [(int(to[x]), sig[x:y].tobytes(), rest[x:y].tobytes()) for x, y in zip(cuts, cuts[1:], strict=False)]
                 cols = zip(zip(*rows, strict=True), (pa.int32(), pa.binary(), pa.binary()), strict=True)
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in cols], names)
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for bucket, sigs, own in _buckets(batches):
-            sig, doc = np.frombuffer(sigs, np.uint64), np.frombuffer(own, np.int64)
-            if bucket >= 0:
-                sig, doc, _, count = _rank(sig, doc)
+        for bucket, sigs, rest in _buckets(batches):
+            sig = np.frombuffer(sigs, np.uint64)
+            if bucket < 0:
+                doc, big = np.frombuffer(rest, np.int64), None
+            else:
+                rest = np.frombuffer(rest, asked)
+                kinds, at = np.unique(sig, return_inverse=True)
+                many = np.bincount(at, weights=rest["n"], minlength=len(kinds)) > heavy
+                sig, doc, _, count = _rank(sig, rest["doc"])
                 sig, doc = sig[count > 1], doc[count > 1]
+                big = many[np.searchsorted(kinds, sig)]
             for i in range(0, len(sig), 1 << 16):
-                yield pa.RecordBatch.from_arrays([pa.array(doc[i : i + (1 << 16)]), pa.array(sig[i : i + (1 << 16)].view(np.int64))], ["told", "sig"])
+                z = slice(i, i + (1 << 16))
+                flags = pa.nulls(len(sig[z]), pa.bool_()) if big is None else pa.array(big[z])
+                yield pa.RecordBatch.from_arrays([pa.array(doc[z]), pa.array(sig[z].view(np.int64)), flags], ["told", "sig", "heavy"])
+
+    told = docs.select("told", "text").mapInArrow(trimmed(send), "bucket int, sigs binary, rest binary")
+    return _dealt(told, buckets).mapInArrow(trimmed(meet), "told long, sig long, heavy boolean")
+
 
-    told = docs.select("told", "text").mapInArrow(trimmed(send), "bucket int, sigs binary, docs binary")
-    return _dealt(told, buckets).mapInArrow(trimmed(meet), "told long, sig long")
+def _sigs(shared: DataFrame) -> DataFrame:
+    """(told, sigs, heavy): the shared minimizers of each text, and those of them that are heavy."""
+    big = shared.filter("heavy").select(F.col("sig").alias("big")).distinct()
+    rows = shared.select("told", "sig").join(small_side(big, 8), F.col("sig") == F.col("big"), "left")
+    return rows.groupBy("told").agg(F.collect_set("sig").alias("sigs"), F.collect_set("big").alias("heavy"))
 
 
 def _dealt(rows: DataFrame, buckets: int) -> DataFrame:
@@ -213,19 +239,28 @@ def _told(doc: np.ndarray, told: np.ndarray, start: np.ndarray, n: np.ndarray, o
     return np.stack([doc, told, start, start + n - 1, owner, at - start], axis=1)
 
 
+def _having(e: Edges, cuts: np.ndarray, sigs: pa.Array, start: int) -> Iterator[np.ndarray]:
+    """For each row of a block, which of the valid edges have a minimizer of the row's list."""
+    for r, (x, y) in enumerate(zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)):
+        if len(own := sigs[start + r].values.to_numpy().view(np.uint64)):
+            yield x + np.flatnonzero(np.isin(e.least[e.valid[x:y]], own))
+
+
 def _pieces(docs: DataFrame, k: int, m: int, buckets: int, unit: int) -> DataFrame:
-    """Pieces of paths of docs(doc, told, text, sigs), as in _PIECE: places of a document's edges, and how far on they are in the owner."""
+    """Pieces of paths of docs(doc, told, text, sigs, heavy), as in _PIECE: places of a document's edges, and how far on they are in the owner."""
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ids, hashes, sigs = b.column(0).to_numpy(), b.column(1).to_numpy(), b.column(3)
+            ids, hashes, sigs, heavy = b.column(0).to_numpy(), b.column(1).to_numpy(), b.column(3), b.column(4)
             for start, end, data, offsets in blocks(text_array(b.column(2)), unit):
                 e = Edges(data, offsets, k, m)
                 doc, told, w = ids[start:end], hashes[start:end], e.words
                 row = e.row[e.valid]
                 cuts = np.searchsorted(row, np.arange(end - start + 1))
-                keep = [x + np.flatnonzero(np.isin(e.least[e.valid[x:y]], sigs[start + r].values.to_numpy().view(np.uint64))) for r, (x, y) in enumerate(zip(cuts[:-1], cuts[1:], strict=True))]
-                some = e.valid[np.concatenate([np.zeros(0, np.int64), *keep])]
+                some = e.valid[np.concatenate([np.zeros(0, np.int64), *_having(e, cuts, sigs, start)])]
+                # edges under a heavy minimizer go by their own hash
+                own = e.valid[np.concatenate([np.zeros(0, np.int64), *_having(e, cuts, heavy, start)])]
+                e.least[own] = mix(e.edge[own] + np.uint64(1))
                 ask, done = settle(e, some, doc, np.zeros(end - start, dtype=np.int64))
                 rows = []
                 if len(done.n):
@@ -269,26 +304,27 @@ def _pieces(docs: DataFrame, k: int, m: int, buckets: int, unit: int) -> DataFra
             cols = [pa.array(np.ascontiguousarray(rows[i : i + (1 << 16), j]).astype(t)) for j, t in enumerate(kinds)]
             yield pa.RecordBatch.from_arrays(cols, [x.split()[0] for x in _PIECE.split(", ")])
 
-    told = docs.select("doc", "told", "text", "sigs").mapInArrow(trimmed(send), "bucket int, heads binary, text binary")
+    told = docs.select("doc", "told", "text", "sigs", "heavy").mapInArrow(trimmed(send), "bucket int, heads binary, text binary")
     return _dealt(told, buckets).mapInArrow(trimmed(meet), _PIECE)
 
 
 def _texts(docs: DataFrame) -> DataFrame:
-    """(told, other, first, copies) of each text of docs(doc, told, other): two hashes, its smallest document and whether larger ones have it too."""
+    """(told, other, first, copies) of each text of docs(doc, told, other): a hash and a digest, its smallest document and whether larger ones have it too."""
     found = docs.groupBy("told", "other").agg(F.min("doc").alias("first"), F.max("doc").alias("last"))
     return found.select("told", "other", "first", (F.col("first") < F.col("last")).alias("copies"))
 
 
-def repeated_paths(docs: DataFrame, texts: DataFrame, scratch: Scratch, k: int = 13, m: int = 8, unit: int = UNIT_BYTES) -> DataFrame:
+def repeated_paths(docs: DataFrame, texts: DataFrame, scratch: Scratch, k: int = 13, m: int = 8, unit: int = UNIT_BYTES, heavy: int = HEAVY_EDGES) -> DataFrame:
     """(doc, told, start, end, owner, shift): paths of edges start..end of a document that ``owner``, a smaller one, has at start + shift.
 
     docs has doc, told, other and text, and each of texts is looked at in its first document only."""
     size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     buckets = max(partitions(docs.sparkSession), size // BUCKET_BYTES)
-    sigs = _shared(docs, k, m, buckets, unit).groupBy(F.col("told").alias("t")).agg(F.collect_set("sig").alias("sigs"))
-    some = texts.join(sigs, F.col("told") == F.col("t")).select("t", F.col("other").alias("o"), "first", "sigs")
+    sigs = _sigs(scratch.save(_shared(docs, k, m, buckets, unit, heavy), "shared")).withColumnRenamed("told", "t")
+    some = texts.join(sigs, F.col("told") == F.col("t")).select("t", F.col("other").alias("o"), "first", "sigs", "heavy")
     some = docs.join(some, (F.col("told") == F.col("t")) & (F.col("other") == F.col("o")) & (F.col("doc") == F.col("first")))
     pieces = scratch.save(_pieces(some, k, m, buckets, unit), "pieces")
+    scratch.drop("shared")
     # pieces that touch along a document and its source are one path
     along = Window.partitionBy("doc", "told", "owner", "shift").orderBy("start", "end")
     before = F.max("end").over(along.rowsBetween(Window.unboundedPreceding, -1))
@@ -324,7 +360,7 @@ def _cut(k: int):
     return F.arrow_udf(run, "n_words long, n_removed long, kept string")
 
 
-def substring_dedup(docs: DataFrame, k: int = 13, m: int = 8, keep: tuple[str, ...] = ("doc_id",), unit: int = UNIT_BYTES) -> DataFrame:
+def substring_dedup(docs: DataFrame, k: int = 13, m: int = 8, keep: tuple[str, ...] = ("doc_id",), unit: int = UNIT_BYTES, heavy: int = HEAVY_EDGES) -> DataFrame:
     """The columns ``keep`` of docs(doc_id, text, ...), n_words, n_removed and kept (the words left, joined by a space).
 
     A word goes if a window of k words over it also starts in a document with a smaller doc_id;
@@ -336,10 +372,10 @@ def substring_dedup(docs: DataFrame, k: int = 13, m: int = 8, keep: tuple[str, .
     """
     scratch = Scratch(docs.sparkSession, "repeats")
     doc, text = F.coalesce(docs["doc_id"].cast("long"), F.lit(LAST)), F.coalesce(docs["text"].cast("string"), F.lit(""))
-    hashes = [F.xxhash64(text), F.xxhash64(F.lit(1), text)]
+    hashes = [F.xxhash64(text), F.unhex(F.sha2(text.cast("binary"), 256))]
     plain = docs.select(doc.alias("doc"), hashes[0].alias("told"), hashes[1].alias("other"), text.alias("text"))
     texts = scratch.save(_texts(plain), "texts")
-    spans = repeated_paths(plain, texts, scratch, k, m, unit).groupBy(F.col("doc").alias("d"), F.col("told").alias("t")).agg(F.collect_set(F.struct("start", "end")).alias("spans"))
+    spans = repeated_paths(plain, texts, scratch, k, m, unit, heavy).groupBy(F.col("doc").alias("d"), F.col("told").alias("t")).agg(F.collect_set(F.struct("start", "end")).alias("spans"))
     # what is to be done with a text: all of it goes but in its first document, and there the spans do
     told = texts.join(spans, (F.col("first") == F.col("d")) & (F.col("told") == F.col("t")), "left").filter("copies OR spans IS NOT NULL")
     told = scratch.save(told.select("told", "other", "first", "spans"), "told")
