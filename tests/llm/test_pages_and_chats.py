@@ -84,6 +84,50 @@ def test_syncmers_are_those_of_brute_force():
     assert set(i + 17 for i in want) <= set(moved.tolist())
 
 
+def brute_likeness(one, two):
+    """By the definition, in sets and loops: smallest anchors of both, places after the shift with most votes."""
+    marks = []
+    for text in (one, two):
+        at, h = syncmers.anchors(syncmers._codes(text))
+        first = {}
+        for p, x in zip(at.tolist(), h.tolist(), strict=True):
+            first.setdefault(x >> 32, p)
+        marks.append({x: first[x] for x in sorted(first)[: syncmers.KEPT]})
+    a, b = marks
+    if not a or not b:
+        return float(not a and not b)
+    union = sorted({*a, *b})[: syncmers.KEPT]
+    slack = syncmers.NEAR + max(len(one), len(two)) // 64
+    moved = [a[x] - b[x] for x in a if x in b]
+    votes = {d: sum(abs(d - y) <= slack for y in moved) for d in moved}
+    way = min(votes, key=lambda d: (-votes[d], abs(d), d), default=0)
+    return sum(x in a and x in b and abs(a[x] - b[x] - way) <= slack for x in union) / len(union)
+
+
+def test_likeness_is_that_of_brute_force():
+    rnd = random.Random(12)
+    word = lambda: "".join(rnd.choice("abcdeé🙂") for _ in range(rnd.randrange(2, 8)))
+    texts = [" ".join(word() for _ in range(n)) for n in (0, 1, 3, 30, 300, 900)]
+    base = texts[-1]
+    texts += [texts[4] + base, base + texts[4], base[2000:] + base[:2000], base[:1500] + texts[3] + base[1500:], base[::-1], "ab " * 900, "x" + "ab " * 700]
+    marks = [syncmers.fingerprint(syncmers._codes(t)) for t in texts]
+    for one, a in zip(texts, marks, strict=True):
+        for two, b in zip(texts, marks, strict=True):
+            assert syncmers.likeness(a, b) == brute_likeness(one, two)
+        assert syncmers.likeness(a, a) == 1
+
+
+def test_words_before_a_text_leave_its_fingerprint_alike():
+    """400 code points in front move every anchor alike; a text in two halves that change places is alike by one half only."""
+    rnd = random.Random(13)
+    text = " ".join("".join(rnd.choice("abcdefgh") for _ in range(6)) for _ in range(668))[:4673]
+    before = "".join(rnd.choice("abcdefgh ") for _ in range(400))
+    mark = lambda t: syncmers.fingerprint(syncmers._codes(t))
+    assert syncmers.likeness(mark(text), mark(before + text)) > 0.8
+    assert syncmers.likeness(mark(text), mark(text[2336:] + text[:2336])) < 0.8
+    assert syncmers.likeness(mark(text), mark(before * 11)) < 0.1
+
+
 def test_fingerprints_of_documents(spark):
     """Neighbours, edited texts and digests by brute force; equal texts alike; nulls, empty texts, repeated ids and a long text."""
     rnd = random.Random(4)
@@ -100,8 +144,13 @@ def test_fingerprints_of_documents(spark):
     assert plain((r.doc_id, r.n_chars, r.edited_sha256) for r in got) == plain(want)
     told = {(r.doc_id, r.n_chars): r for r in got}
     assert told[63, len(rows[5][1])].fingerprint == told[5, len(rows[5][1])].fingerprint
+    texts = {}
+    for k, (i, t) in enumerate(order):
+        t, after = t or "", order[(k + 1) % len(order)][1] or ""
+        new = t[: len(t) - len(t) // 2] + after[: len(t) // 2]
+        texts.setdefault((i, len(t)), []).append((brute_likeness(t, new), brute_likeness(t, after)))
     for r in got:
-        assert 0 <= r.near_edited <= 1 and 0 <= r.near_next <= 1
+        assert (r.near_edited, r.near_next) in texts[r.doc_id, r.n_chars]
     assert syncmers.fingerprints(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 

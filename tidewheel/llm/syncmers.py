@@ -3,7 +3,8 @@
 A k-mer of code points is an anchor if the smallest hash among its inner s-mers is that of the
 first or the last one. That depends on the k-mer alone, so an edit changes anchors only where it
 touches them. A fingerprint keeps the anchors with the smallest hashes, each with its place in
-the text; two fingerprints are alike as far as their smallest anchors agree in hash and place.
+the text; two fingerprints are alike as far as their smallest anchors agree in hash and in place,
+places being compared after the shift that most common anchors vote for.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ from .scratch import partitions, read_table
 from .textblocks import mix
 
 K, S, KEPT = 24, 8, 64
-#: Anchors match if their places differ by at most so many code points and a 64th of the longer text.
+#: Anchors match if their places, less the common shift, differ by at most so many code points and a 64th of the longer text.
 NEAR = 64
 MOST_RUNS = 4096
 _BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -91,13 +92,28 @@ def told(mark: tuple[np.ndarray, np.ndarray, int]) -> str:
     return f"{n:x}:" + "".join(f"{x:08x}{y:x}." for x, y in zip(h.tolist(), at.tolist(), strict=True))
 
 
+def shift(moved: np.ndarray, slack: int) -> int:
+    """Of the differences ``moved``, the one that has most of them within ``slack`` of itself; of several such, that nearest to 0, then the smaller."""
+    moved = np.sort(moved)
+    votes = np.searchsorted(moved, moved + slack, side="right") - np.searchsorted(moved, moved - slack, side="left")
+    best = moved[votes == votes.max()]
+    return int(best[np.lexsort((best, np.abs(best)))[0]])
+
+
 def likeness(a: tuple[np.ndarray, np.ndarray, int], b: tuple[np.ndarray, np.ndarray, int], kept: int = KEPT) -> float:
-    """Share of the smallest anchors of both together that both have at near places; 1 for two texts without anchors."""
+    """Share of the smallest anchors of both together that both have, at near places but for one shift of all; 1 for two texts without anchors.
+
+    The shift is that of the text's common anchors: words put before a text move all of its anchors
+    alike and cost only what they add. Anchors that moved against the others don't count.
+    """
     if len(a[0]) == 0 or len(b[0]) == 0:
         return float(len(a[0]) == len(b[0]))
     union = np.union1d(a[0], b[0])[:kept]
     both, i, j = np.intersect1d(a[0], b[0], assume_unique=True, return_indices=True)
-    near = np.abs(a[1][i] - b[1][j]) <= NEAR + max(a[2], b[2]) // 64
+    if len(both) == 0:
+        return 0.0
+    moved, slack = a[1][i] - b[1][j], NEAR + max(a[2], b[2]) // 64
+    near = np.abs(moved - shift(moved, slack)) <= slack
     return float(np.isin(both[near], union, assume_unique=True).sum()) / len(union)
 
 
