@@ -51,16 +51,17 @@ class Edges:
         self.words = w = Words(data, offsets)
         self.k = k
         n = max(0, len(w.start) - k + 1)
-        self.row = np.repeat(np.arange(len(offsets) - 1), np.diff(w.first))[: len(w.start)]
+        self.row = np.repeat(np.arange(len(offsets) - 1, dtype=np.int32), np.diff(w.first))[: len(w.start)]
         self.valid = np.flatnonzero(self.row[:n] == self.row[k - 1 : k - 1 + n])
         h = w.hashes()
-        self.edge = ngrams(h, k)
         self.least = None
         if m:
             grams = ngrams(h, m, salt=1)
             self.least = grams[:n].copy()
             for j in range(1, k - m + 1):
                 np.minimum(self.least, grams[j : n + j], out=self.least)
+            del grams
+        self.edge = ngrams(h, k)
 
     def check(self) -> np.ndarray:
         """A second hash of each edge, from other hashes of its words."""
@@ -166,11 +167,14 @@ def _shared(docs: DataFrame, k: int, m: int, buckets: int, unit: int, heavy: int
                 e = Edges(data, offsets, k, m)
                 if not len(e.valid):
                     continue
-                row, least = e.row[e.valid], e.least[e.valid]
+                row, least, edge = e.row[e.valid], e.least[e.valid], e.edge[e.valid]
+                del e  # what follows needs none of its other arrays
                 few = _heads(row, least)
                 sig, doc, place, _ = _rank(least[few], ids[start + row[few]])
-                _, one = np.unique(e.edge[e.valid], return_index=True)
+                order = np.argsort(edge)
+                one = order[_heads(edge[order])]
                 kinds, n = np.unique(least[one], return_counts=True)
+                del row, least, edge, few, order, one
                 known, ask = place > 1, place <= 1
                 rows = [(-1 - int(doc[known][0] % buckets), sig[known].tobytes(), doc[known].tobytes())] if known.any() else []
                 rest = np.zeros(int(ask.sum()), dtype=asked)

@@ -27,7 +27,9 @@ _PLACE_KEYS = _SEEDED.integers(1, 2**63, 64, dtype=np.uint64) * np.uint64(2) + n
 
 def mix(h: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit values whose output bits all depend on all input bits."""
-    h = h ^ (h >> np.uint64(33))
+    told = h >> np.uint64(33)
+    told ^= h
+    h = told
     h *= np.uint64(0xFF51AFD7ED558CCD)
     h ^= h >> np.uint64(33)
     h *= np.uint64(0xC4CEB9FE1A85EC53)
@@ -117,4 +119,5 @@ def ngrams(words: np.ndarray, n: int, salt: int = 0) -> np.ndarray:
     h = np.zeros(len(words) - n + 1, dtype=np.uint64)
     for j in range(n):
         h += words[j : len(words) - n + 1 + j] * _PLACE_KEYS[(j + salt) % 64]
-    return mix(h + np.uint64(n + (salt << 8)))
+    h += np.uint64(n + (salt << 8))
+    return mix(h)
