@@ -40,6 +40,12 @@ def functions_hash(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", F.md5("text").alias("m"), F.sha2("text", 256).alias("s"), F.sha1("text").alias("o"))
 
 
+@query()
+def functions_hash_seeded(spark, sf_dir):
+    """Hashes that DuckDB hasn't: xxhash64 (seed 42) and crc32 of the UTF-8 bytes. Tests hold them against libraries."""
+    return table(spark, sf_dir, "documents").select("doc_id", F.xxhash64("text").alias("x"), F.crc32("text").alias("c"))
+
+
 @query("SELECT a.n_name AS a, b.r_name AS b, levenshtein(a.n_name, b.r_name)::INTEGER AS d FROM nation a JOIN region b ON a.n_regionkey = b.r_regionkey")
 def functions_distance(spark, sf_dir):
     a, b = table(spark, sf_dir, "nation"), table(spark, sf_dir, "region")
@@ -86,9 +92,21 @@ def functions_array(spark, sf_dir):
     )
 
 
-@query("SELECT vec_id, p::INTEGER AS p, x::DOUBLE AS x FROM (SELECT vec_id, unnest(embedding) AS x, generate_subscripts(embedding, 1) - 1 AS p FROM embeddings) WHERE p < 3")
+@query("SELECT vec_id, p::INTEGER AS p, x::DOUBLE AS x FROM (SELECT vec_id, unnest(embedding) AS x, generate_subscripts(embedding, 1) - 1 AS p FROM embeddings)")
 def functions_explode(spark, sf_dir):
-    return table(spark, sf_dir, "embeddings").select("vec_id", F.posexplode(F.slice("embedding", 1, 3)).alias("p", "x")).withColumn("x", F.col("x").cast("double"))
+    return table(spark, sf_dir, "embeddings").select("vec_id", F.posexplode("embedding").alias("p", "x")).withColumn("x", F.col("x").cast("double"))
+
+
+@query("""
+SELECT vec_id, round(list_sum(list_transform(list_zip(embedding, list_reverse(embedding)), lambda x: x[1]::DOUBLE * x[2]::DOUBLE)), 5) AS folded,
+  len(list_filter(list_zip(embedding, list_reverse(embedding)), lambda x: x[1] > x[2]))::INTEGER AS larger FROM embeddings
+""")
+def functions_zip(spark, sf_dir):
+    """Two arrays taken together, element by element."""
+    e, back = F.col("embedding"), F.reverse("embedding")
+    products = F.zip_with(e, back, lambda x, y: x.cast("double") * y.cast("double"))
+    larger = F.filter(F.zip_with(e, back, lambda x, y: x > y), lambda x: x)
+    return table(spark, sf_dir, "embeddings").select("vec_id", F.round(F.aggregate(products, F.lit(0.0), lambda a, x: a + x), 5).alias("folded"), F.size(larger).alias("larger"))
 
 
 @query("""

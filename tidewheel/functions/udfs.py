@@ -7,10 +7,10 @@ from tidewheel.plans.registry import query, table
 
 
 
-@query("SELECT o_orderkey, o_totalprice * 2 AS twice FROM orders WHERE o_orderkey % 7 = 0")
+@query("SELECT o_orderkey, o_totalprice * 2 AS twice FROM orders")
 def udf_scalar(spark, sf_dir):
     twice = F.udf(lambda x: None if x is None else x * 2, "double")
-    return table(spark, sf_dir, "orders").filter("o_orderkey % 7 = 0").select("o_orderkey", twice("o_totalprice").alias("twice"))
+    return table(spark, sf_dir, "orders").select("o_orderkey", twice("o_totalprice").alias("twice"))
 
 
 @query("SELECT l_orderkey, l_linenumber, l_partkey, l_extendedprice * (1 - l_discount) AS net FROM lineitem")

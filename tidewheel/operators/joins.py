@@ -45,12 +45,12 @@ def join_cross(spark, sf_dir):
 
 
 @query("""
-SELECT o_orderkey, l.k AS line_key, l.n FROM (SELECT o_orderkey FROM orders WHERE o_orderkey % 3 = 0) o
+SELECT o_orderkey, l.k AS line_key, l.n FROM (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F') o
 RIGHT JOIN (SELECT l_orderkey AS k, count(*)::BIGINT AS n FROM lineitem GROUP BY l_orderkey) l ON o_orderkey = l.k
 """)
 def join_right(spark, sf_dir):
     lines = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("line_key")).agg(F.count("*").alias("n"))
-    return table(spark, sf_dir, "orders").filter("o_orderkey % 3 = 0").select("o_orderkey").join(lines, F.col("o_orderkey") == F.col("line_key"), "right")
+    return table(spark, sf_dir, "orders").filter("o_orderstatus = 'F'").select("o_orderkey").join(lines, F.col("o_orderkey") == F.col("line_key"), "right")
 
 
 @query("""
@@ -78,19 +78,19 @@ def join_interval(spark, sf_dir):
 
 
 @query("""
-SELECT a.o_orderkey, count(*)::BIGINT AS near FROM (SELECT * FROM orders WHERE o_orderkey % 50 = 0) a
+SELECT a.o_orderkey, count(*)::BIGINT AS near FROM orders a
 JOIN orders b ON b.o_orderdate BETWEEN a.o_orderdate - INTERVAL 10 DAY AND a.o_orderdate + INTERVAL 10 DAY GROUP BY a.o_orderkey
 """)
 def join_range_binned(spark, sf_dir):
     """A range without an equality: days are cut in bins, each query row goes to the bins it reaches, and bins are joined by equality."""
     orders = table(spark, sf_dir, "orders")
     day = F.datediff(F.col("o_orderdate"), F.lit("1970-01-01").cast("date"))
-    asked = orders.filter("o_orderkey % 50 = 0").select("o_orderkey", day.alias("d"))
-    asked = asked.withColumn("bin", F.explode(F.sequence(F.floor((F.col("d") - 10) / BIN_DAYS), F.floor((F.col("d") + 10) / BIN_DAYS))))
-    # rows of a day are counted first, so a bin has as many rows as it has days
-    days = orders.groupBy(day.alias("day")).agg(F.count("*").alias("n")).withColumn("b", F.floor(F.col("day") / BIN_DAYS))
-    joined = asked.join(days, (F.col("bin") == F.col("b")) & F.col("day").between(F.col("d") - 10, F.col("d") + 10))
-    return joined.groupBy("o_orderkey").agg(F.sum("n").alias("near"))
+    # rows of a day are counted first, so a bin has as many rows as it has days, whatever the orders of a day
+    days = orders.groupBy(day.alias("day")).agg(F.count("*").alias("n"))
+    asked = days.select(F.col("day").alias("d"), F.explode(F.sequence(F.floor((F.col("day") - 10) / BIN_DAYS), F.floor((F.col("day") + 10) / BIN_DAYS))).alias("bin"))
+    days = days.withColumn("b", F.floor(F.col("day") / BIN_DAYS))
+    near = asked.join(days, (F.col("bin") == F.col("b")) & F.col("day").between(F.col("d") - 10, F.col("d") + 10)).groupBy("d").agg(F.sum("n").alias("near"))
+    return orders.select("o_orderkey", day.alias("_day")).join(near, F.col("_day") == F.col("d")).select("o_orderkey", "near")
 
 
 @query("""

@@ -183,7 +183,7 @@ def above_part_average(spark, sf_dir):
     return table(spark, sf_dir, "lineitem").withColumn("m", mean).filter("l_quantity > 1.8D * m").select("l_orderkey", "l_partkey", "l_quantity", "l_shipdate")
 
 
-from tidewheel.functions import scalars, udfs  # noqa: E402, F401
-from tidewheel.operators import aggregates, joins, ordered, sampling, selection, sets, sketches, windows  # noqa: E402, F401
+from tidewheel.functions import scalars, texts, udfs  # noqa: E402, F401
+from tidewheel.operators import aggregates, joins, metrics, ordered, ranges, sampling, selection, sets, sketches, windows  # noqa: E402, F401
 from tidewheel.sources import formats  # noqa: E402, F401
 from tidewheel.streaming import late, state, streams  # noqa: E402, F401
