@@ -30,6 +30,14 @@ def test_every_query_without_sql_gives_rows(spark):
         assert catalog.QUERIES[name](spark, FOLDER).count() > 0, name
 
 
+def test_queries_leave_no_view_and_no_function_in_the_session(spark):
+    for name in ("join_lateral", "subquery_exists_in", "window_range_interval", "udf_table", "udf_sql"):
+        assert catalog.QUERIES[name](spark, FOLDER).count() > 0, name
+    left = {t.name for t in spark.catalog.listTables() if t.isTemporary}
+    assert not left & {"_orders", "_customer", "_nation", "_supplier"}
+    assert not spark.catalog.functionExists("raised_by") and not spark.catalog.functionExists("letters_of")
+
+
 def test_late_rows_are_left_out(spark, tmp_path):
     """A row further behind the watermark than the delay doesn't count, one within it does."""
     import json

@@ -42,9 +42,7 @@ def udf_table(spark, sf_dir):
             for letter in word or "":
                 yield (letter,)
 
-    spark.udtf.register("letters_of", Letters)
-    table(spark, sf_dir, "nation").createOrReplaceTempView("_nation")
-    return spark.sql("SELECT n_nationkey, letter FROM _nation, LATERAL letters_of(n_name)")
+    return table(spark, sf_dir, "nation").lateralJoin(Letters(F.col("n_name").outer())).select("n_nationkey", "letter")
 
 
 @query("SELECT c_nationkey, count(*)::BIGINT AS n, round(avg(c_acctbal), 4) AS mean FROM customer GROUP BY c_nationkey")
@@ -75,8 +73,9 @@ def udf_partition_map(spark, sf_dir):
 @query("SELECT s_suppkey, round(s_acctbal * 1.1, 4) AS raised FROM supplier")
 def udf_sql(spark, sf_dir):
     spark.sql("CREATE OR REPLACE TEMPORARY FUNCTION raised_by(x DOUBLE, share DOUBLE) RETURNS DOUBLE RETURN round(x * (1 + share), 4)")
-    table(spark, sf_dir, "supplier").createOrReplaceTempView("_supplier")
-    return spark.sql("SELECT s_suppkey, raised_by(s_acctbal, 0.1D) AS raised FROM _supplier")
+    told = spark.sql("SELECT s_suppkey, raised_by(s_acctbal, 0.1D) AS raised FROM {supplier}", supplier=table(spark, sf_dir, "supplier"))
+    spark.sql("DROP TEMPORARY FUNCTION raised_by")  # its body is in the plan by now
+    return told
 
 
 @query("""

@@ -97,9 +97,10 @@ def join_range_binned(spark, sf_dir):
 SELECT c_custkey, t.o_orderkey FROM customer, LATERAL (SELECT o_orderkey FROM orders WHERE o_custkey = c_custkey ORDER BY o_totalprice DESC, o_orderkey LIMIT 1) t
 """)
 def join_lateral(spark, sf_dir):
-    table(spark, sf_dir, "customer").createOrReplaceTempView("_customer")
-    table(spark, sf_dir, "orders").createOrReplaceTempView("_orders")
-    return spark.sql("SELECT c_custkey, t.o_orderkey FROM _customer, LATERAL (SELECT o_orderkey FROM _orders WHERE o_custkey = c_custkey ORDER BY o_totalprice DESC, o_orderkey LIMIT 1) t")
+    return spark.sql(
+        "SELECT c_custkey, t.o_orderkey FROM {customer}, LATERAL (SELECT o_orderkey FROM {orders} WHERE o_custkey = c_custkey ORDER BY o_totalprice DESC, o_orderkey LIMIT 1) t",
+        customer=table(spark, sf_dir, "customer"), orders=table(spark, sf_dir, "orders"),
+    )
 
 
 @query("""
@@ -107,9 +108,8 @@ SELECT c_custkey FROM customer WHERE EXISTS (SELECT 1 FROM orders WHERE o_custke
 AND c_nationkey IN (SELECT n_nationkey FROM nation WHERE n_regionkey = 1)
 """)
 def subquery_exists_in(spark, sf_dir):
-    for t in ("customer", "orders", "nation"):
-        table(spark, sf_dir, t).createOrReplaceTempView(f"_{t}")
     return spark.sql(
-        "SELECT c_custkey FROM _customer WHERE EXISTS (SELECT 1 FROM _orders WHERE o_custkey = c_custkey AND o_orderstatus = 'F') "
-        "AND c_nationkey IN (SELECT n_nationkey FROM _nation WHERE n_regionkey = 1)"
+        "SELECT c_custkey FROM {customer} WHERE EXISTS (SELECT 1 FROM {orders} WHERE o_custkey = c_custkey AND o_orderstatus = 'F') "
+        "AND c_nationkey IN (SELECT n_nationkey FROM {nation} WHERE n_regionkey = 1)",
+        **{t: table(spark, sf_dir, t) for t in ("customer", "orders", "nation")},
     )

@@ -39,7 +39,7 @@ def window_values(spark, sf_dir):
 SELECT o_orderkey, round(sum(o_totalprice) OVER (PARTITION BY o_custkey ORDER BY o_orderdate RANGE BETWEEN INTERVAL 90 DAY PRECEDING AND CURRENT ROW), 2) AS quarter FROM orders
 """)
 def window_range_interval(spark, sf_dir):
-    table(spark, sf_dir, "orders").createOrReplaceTempView("_orders")
     return spark.sql(
-        "SELECT o_orderkey, round(sum(o_totalprice) OVER (PARTITION BY o_custkey ORDER BY o_orderdate RANGE BETWEEN INTERVAL '90' DAY PRECEDING AND CURRENT ROW), 2) AS quarter FROM _orders"
+        "SELECT o_orderkey, round(sum(o_totalprice) OVER (PARTITION BY o_custkey ORDER BY o_orderdate RANGE BETWEEN INTERVAL '90' DAY PRECEDING AND CURRENT ROW), 2) AS quarter FROM {orders}",
+        orders=table(spark, sf_dir, "orders"),
     )
