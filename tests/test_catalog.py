@@ -63,3 +63,16 @@ def test_ranking_on_a_stream_is_refused(spark):
     rows = spark.readStream.format("rate").load()
     with pytest.raises(AnalysisException):
         rows.withColumn("r", F.rank().over(Window.orderBy("value"))).writeStream.format("noop").start()
+
+
+@pytest.mark.parametrize("kind", ["INTEGER", "BIGINT", "SMALLINT"])
+def test_lateral_rows_with_null_keys_and_equal_prices_equal_those_of_sql(spark, tmp_path, kind):
+    """Keys of orders are integers, those of customers of the same type or another."""
+    con = duckdb.connect()
+    con.execute(f"CREATE TABLE customer AS SELECT unnest([1, 2, 3, 4])::{kind} AS c_custkey")
+    con.execute("CREATE TABLE orders AS SELECT * FROM (VALUES (NULL, 1, 5.0), (7, 1, 5.0), (8, 1, 5.0), (NULL, 2, NULL), (9, 2, NULL), (NULL, 3, 2.0), (3, 3, 1.0)) t(o_orderkey, o_custkey, o_totalprice)")
+    for t in ("customer", "orders"):
+        con.execute(f"COPY {t} TO '{tmp_path}/{t}.parquet' (FORMAT parquet)")
+    got = catalog.QUERIES["join_lateral"](spark, str(tmp_path))
+    want = con.execute(f"SELECT {', '.join(got.columns)} FROM ({catalog.ORACLE_SQL['join_lateral']})").fetchall()
+    assert sorted(map(str, (tuple(r) for r in got.collect()))) == sorted(map(str, want)) == ["(1, 7)", "(2, 9)", "(3, None)"]

@@ -97,9 +97,14 @@ def join_range_binned(spark, sf_dir):
 SELECT c_custkey, t.o_orderkey FROM customer, LATERAL (SELECT o_orderkey FROM orders WHERE o_custkey = c_custkey ORDER BY o_totalprice DESC, o_orderkey LIMIT 1) t
 """)
 def join_lateral(spark, sf_dir):
+    """The dearest order of each customer; of several as dear, the one with the smallest key. Nulls come last in both orders, as in the SQL."""
+    # keys of one type, made before they meet: with a cast in the condition, Spark takes one row of all orders instead of one for each customer
+    customer = table(spark, sf_dir, "customer").select("c_custkey", F.col("c_custkey").cast("long").alias("c"))
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice", F.col("o_custkey").cast("long").alias("o"))
     return spark.sql(
-        "SELECT c_custkey, t.o_orderkey FROM {customer}, LATERAL (SELECT o_orderkey FROM {orders} WHERE o_custkey = c_custkey ORDER BY o_totalprice DESC, o_orderkey LIMIT 1) t",
-        customer=table(spark, sf_dir, "customer"), orders=table(spark, sf_dir, "orders"),
+        "SELECT c_custkey, t.o_orderkey FROM {customer}, LATERAL "
+        "(SELECT o_orderkey FROM {orders} WHERE o = c ORDER BY o_totalprice DESC NULLS LAST, o_orderkey NULLS LAST LIMIT 1) t",
+        customer=customer, orders=orders,
     )
 
 
