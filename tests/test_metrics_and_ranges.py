@@ -6,6 +6,7 @@ import random
 from pyspark.sql import functions as F
 
 from tidewheel.operators import aggregates, metrics, ranges
+from tidewheel.plans.catalog import QUERIES
 
 
 def brute(rows):
@@ -51,6 +52,24 @@ def test_counts_of_smaller_values(spark):
     assert {r["below"] for r in none.collect()} == {0, None} and ranges.count_smaller(asked.limit(0), "x", rows, "n", "below").count() == 0
 
 
+def test_counts_of_smaller_values_in_groups(spark):
+    """Groups of one row, of most rows, of one side only and null ones; a join by group alone would meet every pair of a group."""
+    rnd = random.Random(6)
+    groups = [1] * 20 + [2, 3, 4, None]
+    asked = [(i, rnd.choice(groups), rnd.choice([rnd.randrange(9) / 2, None])) for i in range(200)] + [(200, 77, 1.0)]
+    rows = [(rnd.choice([*groups, 9]), rnd.choice([rnd.randrange(9) / 2, None])) for _ in range(400)]
+    for parts in (1, 7):
+        found = ranges.count_smaller(spark.createDataFrame(asked, "i int, k int, x double"), "x", spark.createDataFrame(rows, "g int, y double"), "y", "below", parts, by=("k", "g"))
+        want = {i: None if g is None or x is None else sum(h == g and y is not None and y < x for h, y in rows) for i, g, x in asked}
+        assert {r["i"]: r["below"] for r in found.collect()} == want
+
+
+def test_theta_meets_no_pairs(spark):
+    """The plan joins by value, not by nation alone."""
+    plan = QUERIES["join_theta"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "c_acctbal" not in plan and "_v#" in plan
+
+
 def test_no_task_takes_more_than_its_ranges(spark):
     """A value that a third of all rows have is one row when ranges are dealt, and no plan joins without an equality."""
     rows = spark.range(30_000).select(F.when(F.col("id") % 3 == 0, 7.5).otherwise(F.col("id").cast("double")).alias("x"))
