@@ -66,6 +66,14 @@ def test_bucketed_join_has_no_exchange_of_its_own(spark):
     assert "Exchange" not in plan(got).split("Initial Plan")[0] and "SortMergeJoin" in plan(got)
 
 
+def test_xml_is_cut_in_files_of_so_many_rows(spark, monkeypatch):
+    """No task reads more than a file when tasks are small: a file of XML isn't split."""
+    monkeypatch.setattr(formats, "XML_ROWS", 40)
+    rows = catalog.QUERIES["source_xml"](spark, FOLDER)
+    assert len(rows.inputFiles()) == 4 and rows.count() == rows.distinct().count() == 150
+    assert max(r.n for r in rows.groupBy(F.input_file_name()).agg(F.count("*").alias("n")).collect()) == 40
+
+
 def test_folders_are_pruned_at_run_time(spark):
     assert "dynamicpruning" in plan(catalog.QUERIES["join_pruned"](spark, FOLDER))
 

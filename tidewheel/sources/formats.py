@@ -42,9 +42,13 @@ def source_csv(spark, sf_dir):
     return _round_trip(spark, sf_dir, "csv", header="true")
 
 
+#: Rows of an XML file: a file of it is read whole by one task, however large.
+XML_ROWS = 100_000
+
+
 @query(_CUSTOMER_SQL)
 def source_xml(spark, sf_dir):
-    return _round_trip(spark, sf_dir, "xml", rowTag="customer")
+    return _round_trip(spark, sf_dir, "xml", rowTag="customer", maxRecordsPerFile=str(XML_ROWS))
 
 
 @query("SELECT o_orderkey, year(o_orderdate)::INTEGER AS y FROM orders WHERE year(o_orderdate) = 1997")
