@@ -161,6 +161,15 @@ def test_sketches_stay_within_their_bounds(spark):
         assert abs(r.distinct_estimate - r.distinct_exact) <= 0.04 * r.distinct_exact and r.median_estimate > 0
 
 
+def test_no_task_holds_the_lines_of_a_flag(spark):
+    """Lines meet their flag's figures where they are, and distinct keys are told in tasks whose number follows the rows."""
+    assert "SortMergeJoin [l_returnflag" not in plan(catalog.QUERIES["group_sketches"](spark, FOLDER))
+    rows = spark.createDataFrame([("a", k) for k in (1, 1, 2, None)] + [("b", None), (None, 5), (None, 6)], "flag string, k long")
+    found = sketches.exact_distinct(rows, "flag", "k", task_rows=1)
+    assert {r.flag: r.distinct_exact for r in found.collect()} == {"a": 2, "b": 0, None: 2}
+    assert ", 7), REPARTITION_BY_NUM" in plan(found)
+
+
 # --- streams
 
 

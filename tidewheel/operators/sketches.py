@@ -13,6 +13,8 @@ PRIME, WIDTH = (1 << 31) - 1, 2048
 HASHES = ((1103515245, 12345), (214013001, 2531011), (1664525001, 1013904223), (69069133, 362437), (134775813, 907633385))
 #: Logarithm of the registers of a distinct count: a relative error of 1.04 / sqrt(2^14), 0.8 per cent; and the size parameter of quantiles: ranks are off by about 1.3 per cent.
 LOG_REGISTERS, QUANTILE_K = 14, 200
+#: Rows of a task that tells distinct keys.
+TASK_ROWS = 500_000
 
 
 def count_min(rows: DataFrame, part: str, key: str) -> DataFrame:
@@ -54,9 +56,17 @@ def _kept(spark, sf_dir):
     return spark.read.parquet(folder)
 
 
+def exact_distinct(rows: DataFrame, by: str, key: str, task_rows: int = TASK_ROWS) -> DataFrame:
+    """``by`` and distinct_exact: distinct keys that aren't null. Rows are dealt by group and key to so many tasks that each has about ``task_rows``, whatever the size of the table; nothing is grouped before."""
+    tasks = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-rows.count() // task_rows))
+    # a number given is kept: Spark would put small partitions together, and a task's memory grows with its keys
+    dealt = rows.select(by, key).repartition(tasks, by, key).distinct()
+    return dealt.groupBy(by).agg(F.count(key).alias("distinct_exact"))
+
+
 def _exact(spark, sf_dir):
     """Exact distinct counts apart from the sketches: beside them, Spark would keep a sketch for each distinct key."""
-    return table(spark, sf_dir, "lineitem").groupBy("l_returnflag").agg(F.count_distinct("l_partkey").alias("distinct_exact"))
+    return exact_distinct(table(spark, sf_dir, "lineitem"), "l_returnflag", "l_partkey")
 
 
 _CELLS = ", ".join(f"({i}, {a}, {b})" for i, (a, b) in enumerate(HASHES))
@@ -95,6 +105,6 @@ def group_sketches(spark, sf_dir):
         F.col("l_returnflag").alias("flag"), "n", F.hll_sketch_estimate("keys").alias("d"), F.kll_sketch_get_quantile_double("quantiles", F.lit(0.5)).alias("m")
     )
     told = told.join(_exact(spark, sf_dir), F.col("flag") == F.col("l_returnflag")).drop("l_returnflag")
-    # a few flags: Spark broadcasts them
-    under = table(spark, sf_dir, "lineitem").join(told, F.col("l_returnflag") == F.col("flag")).groupBy("l_returnflag", "n", "distinct_exact", "d").agg(F.count_if(F.col("l_extendedprice") <= F.col("m")).alias("under"))
+    # a row for each flag; without the hint all lines are shuffled by flag before Spark sees how few they are
+    under = table(spark, sf_dir, "lineitem").join(F.broadcast(told), F.col("l_returnflag") == F.col("flag")).groupBy("l_returnflag", "n", "distinct_exact", "d").agg(F.count_if(F.col("l_extendedprice") <= F.col("m")).alias("under"))
     return under.select("l_returnflag", "n", "distinct_exact", (F.abs(F.col("d") - F.col("distinct_exact")) <= 0.04 * F.col("distinct_exact")).alias("distinct_near"), F.col("under").between(0.45 * F.col("n"), 0.55 * F.col("n")).alias("median_near"))
