@@ -85,3 +85,13 @@ def test_transposed_rows(spark):
     assert got == {"x": (1.0, None, None), "y": (2.0, 4.0, None)}
     back = aggregates.transposed(aggregates.transposed(rows, "k", ["a", "b"]), "measure", ["x", "y"])
     assert sorted(tuple(r) for r in back.withColumnRenamed("measure", "k").fillna(-1.0).collect()) == [("a", 1.0, 2.0), ("b", -1.0, 4.0)]
+
+
+def test_a_score_is_worked_out_once_a_row(spark):
+    """Filters and projections of a plan don't repeat its expression; letters outside a to z, marks and pairs of code units count as one character each."""
+    for name in ("score_metrics", "score_curve"):
+        plan = QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("regexp_replace(") == 1, name
+    texts = ["", None, "abc", "a b\nc", "é\U0001f600ab", "...", " ", "Straße 9 x", "a.b.c"]
+    got = [r.s for r in spark.createDataFrame(list(enumerate(texts)), "i int, t string").orderBy("i").select(metrics.plain_share(F.col("t")).alias("s")).collect()]
+    assert got == [len([c for c in t if c == " " or c.isascii() and c.isalpha()]) * 10_000 // len(t) if t else 0 for t in texts]
