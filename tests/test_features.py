@@ -225,3 +225,27 @@ def test_spells_go_on_over_batches_and_take_late_rows(spark, tmp_path):
         with arrivals.settings(spark, arrivals.ROCKSDB):
             waiting(state.spells(spark.readStream.schema(kind).json(str(tmp_path / "in"))), spark, str(tmp_path / "state"), put)
     assert sorted(out) == [(1, 3, 3.0, 40), (2, 3, 3.0, 50)]
+
+
+@pytest.mark.parametrize("buckets", [1, 4])
+def test_state_follows_buckets_and_not_users(spark, tmp_path, buckets):
+    """Users of a bucket keep apart, over batches; ids are whole beside a null one, and rows without a time are in no spell."""
+    kind = "event_id long, user_id long, event_type string, value double, ts timestamp"
+    big = (1 << 60) + 1
+    batches = [[(1, big, 0), (2, big + 1, 10), (3, None, 5), (4, 8, None)], [(5, big, 20), (6, None, 30), (7, 8, 40)], [(8, 3, 600)]]
+    spelled, seen = [], []
+    for i, b in enumerate(batches):
+        rows = [{"event_id": e, "user_id": u, "event_type": "x", "value": 1.0, "ts": m is not None and str(at(m)).replace(" ", "T") or None} for e, u, m in b]
+        (tmp_path / "in").mkdir(exist_ok=True)
+        (tmp_path / "in" / f"{i}.json").write_text("\n".join(map(json.dumps, rows)))
+        stream = spark.readStream.schema(kind).json(str(tmp_path / "in"))
+        with arrivals.settings(spark, arrivals.ROCKSDB):
+            spells = state.spells(stream, buckets=buckets)
+            waiting(spells, spark, str(tmp_path / "spells"), lambda d, _: spelled.extend((r.user_id, r.n, (r.last - r["first"]) // 60_000_000) for r in d.collect()))
+        if i == 1:
+            continue
+        with arrivals.settings(spark, arrivals.ROCKSDB | arrivals.DATA_ONLY):
+            firsts = state.first_seen(stream.filter("ts IS NOT NULL"), buckets=buckets)
+            waiting(firsts, spark, str(tmp_path / "seen"), lambda d, _: seen.extend((r.user_id, r.event_id) for r in d.collect()))
+    assert sorted(spelled, key=str) == sorted([(big, 2, 20), (big + 1, 1, 0), (None, 2, 25), (8, 1, 0)], key=str)
+    assert sorted(seen, key=str) == sorted([(big, 1), (big + 1, 2), (None, 3), (8, 7), (3, 8)], key=str)

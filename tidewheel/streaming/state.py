@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import pickle
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor
@@ -17,10 +19,11 @@ SEEN_MS = 24 * 3600 * 1000
 
 
 class Spells(StatefulProcessor):
-    """The spells of a key: events less than ``gap_us`` apart, in whatever order they come within the watermark.
+    """The spells of a bucket's users: events less than ``gap_us`` apart, in whatever order they come within the watermark.
 
-    State has the open spells of a key only. A timer of event time is set for the first of them to end;
-    when the watermark passes it, spells that no event can reach any more are given and forgotten.
+    State has the open spells of the bucket only, packed in one value, so that calls and values follow the buckets and
+    not the users or spells: all spells of a batch are open until the watermark moves. A timer of event time is set for the first of them to end; when the watermark passes it,
+    spells that no event can reach any more are given and forgotten. Events without a time belong to no spell.
     """
 
     def __init__(self, gap_us: int = GAP_US):
@@ -28,75 +31,107 @@ class Spells(StatefulProcessor):
 
     def init(self, handle):
         self.handle = handle
-        self.open = handle.getListState("open", "first long, last long, n long, total double")
+        self.open = handle.getValueState("open", "packed binary")
+
+    def _open(self) -> list[tuple]:
+        packed = self.open.get()
+        return pickle.loads(bytes(packed[0])) if packed else []
 
     def _keep(self, spells):
         for timer in list(self.handle.listTimers()):
             self.handle.deleteTimer(timer)
         if spells:
-            self.open.put(spells)
-            self.handle.registerTimer(-(-(min(s[1] for s in spells) + self.gap_us) // 1000))
+            self.open.update((pickle.dumps(spells),))
+            self.handle.registerTimer(-(-(min(s[2] for s in spells) + self.gap_us) // 1000))
         else:
             self.open.clear()
 
     def handleInputRows(self, key, rows, timerValues):
-        spells = [tuple(s) for s in self.open.get()]
+        spells = self._open()
         for part in rows:
-            spells += [(int(us), int(us), 1, float(v)) for us, v in zip(part["us"], part["value"], strict=True)]
-        merged = []
-        for first, last, n, total in sorted(spells):
-            if merged and first - merged[-1][1] < self.gap_us:
-                a, b, m, t = merged[-1]
-                merged[-1] = (a, max(b, last), m + n, t + total)
-            else:
-                merged.append((first, last, n, total))
-        self._keep(merged)
+            part = part[part["us"].notna()]
+            us = part["us"].astype("int64").tolist()
+            spells += zip(part["user_id"].tolist(), us, us, [1] * len(us), part["value"].fillna(0.0).tolist(), strict=True)
+        self._keep(merged(spells, self.gap_us))
         return iter(())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
         import pandas as pd
 
         upto = timerValues.getCurrentWatermarkInMs() * 1000
-        spells = [tuple(s) for s in self.open.get()]
-        done = [s for s in spells if s[1] + self.gap_us <= upto]
-        self._keep([s for s in spells if s[1] + self.gap_us > upto])
+        spells = self._open()
+        done = [s for s in spells if s[2] + self.gap_us <= upto]
+        self._keep([s for s in spells if s[2] + self.gap_us > upto])
         if done:
-            yield pd.DataFrame([(key[0], *s) for s in done], columns=["user_id", "first", "last", "n", "total"])
+            yield pd.DataFrame(done, columns=["user_id", "first", "last", "n", "total"])
 
     def close(self):
         pass
 
 
+def merged(spells: list[tuple], gap_us: int) -> list[tuple]:
+    """(user, first, last, n, total) of which those of a user that are less than ``gap_us`` apart have become one."""
+    out = []
+    for user, first, last, n, total in sorted(spells, key=lambda s: (s[0] is not None, s[0] or "", s[1])):
+        if out and out[-1][0] == user and first - out[-1][2] < gap_us:
+            _, a, b, m, t = out[-1]
+            out[-1] = (user, a, max(b, last), m + n, t + total)
+        else:
+            out.append((user, first, last, n, total))
+    return out
+
+
 class FirstSeen(StatefulProcessor):
-    """Gives the earliest row of a key when the key comes for the first time, and again only after it was forgotten."""
+    """Gives the earliest row of a user and type when they come for the first time, and again only after they were forgotten.
+
+    State has the users and types seen of a bucket, each with the time when it was first seen, packed in one value; those past their time to live are left out.
+    """
 
     def __init__(self, ttl_ms: int = SEEN_MS):
         self.ttl_ms = ttl_ms
 
     def init(self, handle):
-        self.seen = handle.getValueState("seen", "us long", ttlDurationMs=self.ttl_ms)
+        self.seen = handle.getValueState("seen", "packed binary", ttlDurationMs=self.ttl_ms)
 
     def handleInputRows(self, key, rows, timerValues):
         import pandas as pd
 
-        best = min(((int(us), int(i)) for part in rows for us, i in zip(part["us"], part["event_id"], strict=True)), default=None)
-        if best and not self.seen.exists():
-            self.seen.update((best[0],))
-            yield pd.DataFrame([(*key, best[1])], columns=["user_id", "event_type", "event_id"])
+        best = {}
+        for part in rows:
+            for user, kind, us, i in zip(part["user_id"], part["event_type"], part["us"].tolist(), part["event_id"].tolist(), strict=True):
+                if (user, kind) not in best or (us, i) < best[user, kind]:
+                    best[user, kind] = us, i
+        now, packed = timerValues.getCurrentProcessingTimeInMs(), self.seen.get()
+        known = {k: ms for k, ms in (pickle.loads(bytes(packed[0])) if packed else {}).items() if ms + self.ttl_ms > now}
+        new = [k for k in best if k not in known]
+        if new:
+            self.seen.update((pickle.dumps(known | dict.fromkeys(new, now)),))
+            yield pd.DataFrame([(*k, best[k][1]) for k in new], columns=["user_id", "event_type", "event_id"])
 
     def close(self):
         pass
 
 
-def spells(stream: DataFrame, delay: str = "1 hour") -> DataFrame:
+#: Buckets of users that hold the state. Part of a checkpoint: a stream that goes on must have as many as before.
+BUCKETS = 512
+
+
+def _bucket(user, buckets: int):
+    return F.pmod(F.xxhash64(user), F.lit(buckets)).alias("bucket")
+
+
+def spells(stream: DataFrame, delay: str = "1 hour", buckets: int = BUCKETS) -> DataFrame:
     """user_id, first, last (microseconds), n and total of the spells of a stream with user_id, ts and value."""
-    rows = stream.withWatermark("ts", delay).select("user_id", "ts", "value", F.unix_micros("ts").alias("us"))
-    return rows.groupBy("user_id").transformWithStateInPandas(Spells(), "user_id long, first long, last long, n long, total double", "append", "EventTime")
+    user = F.col("user_id").cast("string")  # as text: pandas would make floats of numbers where one is null
+    rows = stream.withWatermark("ts", delay).select(_bucket("user_id", buckets), user.alias("user_id"), "ts", "value", F.unix_micros("ts").alias("us"))
+    told = rows.groupBy("bucket").transformWithStateInPandas(Spells(), "user_id string, first long, last long, n long, total double", "append", "EventTime")
+    return told.withColumn("user_id", F.col("user_id").cast("long"))
 
 
-def first_seen(stream: DataFrame, ttl_ms: int = SEEN_MS) -> DataFrame:
-    rows = stream.select("user_id", "event_type", "event_id", F.unix_micros("ts").alias("us"))
-    return rows.groupBy("user_id", "event_type").transformWithStateInPandas(FirstSeen(ttl_ms), "user_id long, event_type string, event_id long", "update", "ProcessingTime")
+def first_seen(stream: DataFrame, ttl_ms: int = SEEN_MS, buckets: int = BUCKETS) -> DataFrame:
+    rows = stream.select(_bucket("user_id", buckets), F.col("user_id").cast("string"), "event_type", "event_id", F.unix_micros("ts").alias("us"))
+    told = rows.groupBy("bucket").transformWithStateInPandas(FirstSeen(ttl_ms), "user_id string, event_type string, event_id long", "update", "ProcessingTime")
+    return told.withColumn("user_id", F.col("user_id").cast("long"))
 
 
 def _over_waves(spark, sf_dir, name, told, mode, conf):
