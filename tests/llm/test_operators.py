@@ -318,6 +318,39 @@ def test_unknown_licences_dont_depend_on_the_size_of_the_table(spark):
     assert licences.edge({9: 3, 5: 2, 1: 4}, 10, 5) == 0.2 and licences.edge({9: 3, 5: 2}, 10, 2) == 1.0 and licences.edge({}, 10, 2) == 0.0
 
 
+def test_licences_are_learned_from_all_ordinary_lines(spark, monkeypatch):
+    """Each window of each ordinary line is learned from, long and repeated lines too, none of a line about licences; the threshold is counted over all of those lines."""
+    rnd, asked, told = random.Random(9), {}, {}
+    lines = [[prose(rnd.choice([3, 12, 31, 32, 33, 200]), rnd.randrange(900)) for _ in range(rnd.randrange(1, 9))] for _ in range(900)]
+    rows = [(i, "\n".join(x), "a") for i, x in enumerate(lines)]
+    rows += [(2000 + i, f"{prose(40, i)}\nAll permissions are kept.\n{prose(5, i)}", "a") for i in range(30)]
+    fit, calibrate = licences.LogisticRegression.fit, licences.Classifier.calibrate
+
+    def fitted(self, seen):
+        asked.update({r.label == 0: r.w for r in seen.groupBy(F.col("label") == 0).agg(F.first("label").alias("label"), F.sum("weight").alias("w")).collect()})
+        return fit(self, seen)
+
+    def calibrated(self, found, lines):
+        told["lines"] = lines
+        return calibrate(self, found, lines)
+
+    def learned(self, kinds, s=licences.Settings()):
+        told["windows"] = kinds.filter("common").agg(F.sum("n")).first()[0]
+        init(self, kinds, s)
+
+    init = licences.Classifier.__init__
+    monkeypatch.setattr(licences.LogisticRegression, "fit", fitted)
+    monkeypatch.setattr(licences.Classifier, "calibrate", calibrated)
+    monkeypatch.setattr(licences.Classifier, "__init__", learned)
+    assert licences.scan(make_docs(spark, rows)).filter("family <> 'unknown'").collect() == []
+    of = lambda n: 1 + max(0, -(-(n - 32) // 16))
+    inner = sum(of(len(x.split())) for own in lines for x in own) + 30 * (of(40) + of(5))
+    assert told == {"lines": sum(map(len, lines)) + 60, "windows": inner + sum(len(own) - 1 for own in lines)}
+    known = sum(len(ts) for ts in licences.TEMPLATES.values()) * len(licences.FRAMES)
+    decoys = 4 * len(licences.DECOYS)
+    assert asked[True] == pytest.approx(licences.WEIGHT * (1 + decoys / (known + decoys))) and asked[False] == pytest.approx(licences.WEIGHT * (1 + known / (known + decoys)))
+
+
 def test_licences_of_empty_tables_and_clashing_names(spark):
     assert licences.scan(make_docs(spark, [])).collect() == []
     assert licences.scan(make_docs(spark, [(1, None, "a"), (None, "", "a")])).collect() == []

@@ -2,12 +2,12 @@
 
 Each line is cut in overlapping windows of about a template's length, and each line break has a
 window of the words on both its sides, so that a statement inside a long line or wrapped over lines
-is seen nearly undiluted. A sparse multinomial logistic regression on hashed word unigrams and
-bigrams, learned from the statements below and a bounded sample of ordinary lines, names a licence
-family or none for each window, and a comparison with the family's templates must confirm it;
-otherwise the family is ``unknown``, for which the score must pass a threshold that is calibrated once,
-on ordinary lines held out from learning. What a line is called depends on the line and the model alone,
-not on how many other lines there are.
+is seen nearly undiluted. A sparse multinomial logistic regression on word unigrams and bigrams, those of
+the statements below and one for all others, is learned from the statements and all ordinary windows of the
+table. It names a licence family or none for each window, and a comparison with the family's templates
+must confirm it; otherwise the family is ``unknown``, for which the score must pass a threshold that is
+counted once over all ordinary lines. Windows with the same words and pairs of the vocabulary are grouped,
+so that each kind of them is learned from and scored once.
 """
 
 from __future__ import annotations
@@ -16,18 +16,25 @@ import functools
 from dataclasses import dataclass
 
 from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import HashingTF, Normalizer
+from pyspark.ml.feature import CountVectorizerModel, Normalizer
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.storagelevel import StorageLevel
 
-from .scratch import Scratch, literal_rows, read_table
+from .scratch import Scratch, literal_rows, read_table, small_side
 
 NONE, UNKNOWN = "none", "unknown"
 #: Bins of scores in the calibration.
 BINS = 100_000
 #: Stands for a line break among words; a private character, blanked out in texts.
 BREAK = "\ue000"
+#: Stands for a word or pair that isn't in the vocabulary.
+OTHER = 0
+#: Weight of each part that is learned from, all its rows together.
+WEIGHT = 3000.0
+#: Parts of words that lines about licences hold, lower-cased.
+STATED = ("licens", "licenc", "copyright", "permission", "warrant", "spdx")
 #: Families and their usual statements.
 TEMPLATES: dict[str, tuple[str, ...]] = {
     "apache-2.0": (
@@ -96,15 +103,12 @@ DECOYS = (
 
 @dataclass(frozen=True)
 class Settings:
-    """``sample`` bounds the ordinary lines that are learned from: those with the smallest hashes.
+    """``missed`` is the share of a table's ordinary lines that may reach the threshold of ``unknown``, which is ``least_score`` at least.
 
-    A quarter of them are held out: ``missed`` is the share of these that may reach the threshold of
-    ``unknown``, which is ``least_score`` at least. ``window`` and ``step`` are in words.
+    A window that shares ``apart`` of a template's words and pairs, or more, isn't learned from as ordinary. ``window`` and ``step`` are in words.
     """
 
-    bits: int = 14
-    sample: int = 3000
-    sample_chars: int = 600
+    apart: float = 0.4
     missed: float = 0.001
     least_score: float = 0.5
     likeness: float = 0.6
@@ -113,28 +117,77 @@ class Settings:
     step: int = 16
 
 
-def paragraphs(docs: DataFrame) -> DataFrame:
-    """(doc_id, paragraph, body): the non-blank lines of each text, with their places from 0."""
-    lines = docs.select(docs["doc_id"].alias("doc_id"), F.posexplode(F.split(docs["text"].cast("string"), r"[\r\n]+")).alias("paragraph", "body"))
-    return lines.filter(F.length(F.trim("body")) > 0)
-
-
 def words(body: Column) -> Column:
     return F.array_remove(F.split(F.lower(body), r"[^\p{L}\p{N}]+"), "")
 
 
-def grams(w: Column) -> Column:
-    """Hashes of words and of pairs of words that follow one another."""
-    return F.concat(_singles(w), F.slice(_pairs(w), F.lit(1), F.greatest(F.size(w) - 1, F.lit(0))))
-
-
-def _singles(w: Column) -> Column:
-    return F.transform(w, lambda a: F.hash(a))
+def _pair(a: Column, b: Column) -> Column:
+    return F.hash(a, b)
 
 
-def _pairs(w: Column) -> Column:
-    """As many as w has words; the last is of no pair."""
-    return F.zip_with(w, F.slice(w, F.lit(2), F.size(w)), lambda a, b: F.hash(a, b))
+@dataclass(frozen=True)
+class Vocabulary:
+    """Hashes of the words and of the pairs of words of all statements and decoys; hashes of templates, names and denials."""
+
+    words: tuple[int, ...]
+    pairs: tuple[int, ...]
+    templates: dict[str, list[list[int]]]
+    names: dict[str, list[list[int]]]
+    denials: list[int]
+
+    def told(self, h: Column) -> Column:
+        """A word's hash, 0 if it isn't in the vocabulary."""
+        return F.when(h.isin(*self.words), h).otherwise(OTHER)
+
+    def told_pairs(self, one: Column) -> Column:
+        """Hashes of the pairs of words that follow one another, 0 for one that isn't in the vocabulary; as many as ``one`` has words, the last is of no pair."""
+        known = lambda h: F.when(h.isin(*self.pairs), h).otherwise(OTHER)
+        return F.zip_with(one, F.slice(one, F.lit(2), F.size(one)), lambda a, b: F.when((a != OTHER) & (b != OTHER), known(_pair(a, b))).otherwise(OTHER))
+
+    def share(self, hits: str) -> Column:
+        """The greatest share of the words and pairs of any template that are among a window's."""
+        held = lambda has: F.size(F.filter(hits, lambda x: x.isin(*has))) / len(has)
+        return F.greatest(*[held(has) for sets in self.templates.values() for has in sets])
+
+    def line(self, body: Column) -> tuple[Column, Column]:
+        """(hits, rest) of a line that is taken as one window."""
+        one = F.transform(words(body), lambda x: self.told(F.hash(x)))
+        return _hits(F.concat(one, self.told_pairs(one))), _rest(F.concat(one, self.told_pairs(one)))
+
+
+def _hits(told: Column) -> Column:
+    return F.array_sort(F.array_distinct(F.array_remove(told, OTHER)))
+
+
+def _rest(told: Column) -> Column:
+    """The root of the number of words and pairs that aren't in the vocabulary, rounded up; the pair behind the last word counts as one."""
+    return F.ceil(F.sqrt(F.size(F.filter(told, lambda x: x == OTHER)))).cast("int")
+
+
+@functools.lru_cache(maxsize=4)
+def _vocabulary(spark: SparkSession) -> Vocabulary:
+    kinds = [("template", f, t) for f, ts in TEMPLATES.items() for t in ts]
+    kinds += [("name", f, " ".join(line)) for f, lines in NAMES.items() for line in lines]
+    kinds += [("other", "", frame.format(t)) for ts in TEMPLATES.values() for t in ts for frame in FRAMES]
+    kinds += [("other", "", t) for t in (*DECOYS, *DENIALS)]
+    rows = literal_rows(spark, "i int, body string", [(i, t) for i, (_, _, t) in enumerate(kinds)])
+    rows = rows.select("i", F.transform(words(F.col("body")), lambda x: F.hash(x)).alias("one"))
+    pairs = F.zip_with("one", F.slice("one", F.lit(2), F.size("one")), _pair)
+    told = {r.i: (r.one, r.two[:-1]) for r in rows.select("i", "one", pairs.alias("two")).collect()}
+    terms = [*{x for ts in NAMES.values() for line in ts for x in line}, *DENIALS]
+    hashes = literal_rows(spark, "i int, w array<string>", [(i, x.split()) for i, x in enumerate(terms)])
+    first, second = F.hash(F.col("w")[0]), F.hash(F.get("w", F.lit(1)))
+    hashed = hashes.select("i", F.when(F.size("w") == 1, first).otherwise(_pair(first, second)).alias("h")).collect()
+    of = {terms[r.i]: r.h for r in hashed}
+    templates: dict[str, list[list[int]]] = {}
+    for i, (kind, f, _) in enumerate(kinds):
+        if kind == "template":
+            templates.setdefault(f, []).append(list(dict.fromkeys([*told[i][0], *told[i][1]])))
+    kept = [told[i] for i, (kind, _, _) in enumerate(kinds) if kind != "name"]
+    return Vocabulary(
+        tuple(sorted({x for one, _ in kept for x in one})), tuple(sorted({x for _, two in kept for x in two})),
+        templates, {f: [[of[x] for x in line] for line in lines] for f, lines in NAMES.items()}, [of[x] for x in DENIALS],
+    )
 
 
 def _once(df: DataFrame, *keep: str, **new: Column) -> DataFrame:
@@ -144,119 +197,120 @@ def _once(df: DataFrame, *keep: str, **new: Column) -> DataFrame:
 
 
 def windows(docs: DataFrame, s: Settings) -> DataFrame:
-    """(doc_id, row, paragraph, inner, at, grams, lines): the windows of each row of docs.
+    """(doc_id, row, paragraph, inner, at, plain, first, hits, rest): the windows of each row of docs.
 
     A window inside a line (``inner``) counts to that line, one round a break to the line before it. ``at`` is
-    its first word's place in the text, ``lines`` the number of the text's lines that have words,
-    given with its first window only.
+    its first word's place in the text. ``plain`` tells that its line holds no word of licences (round a break, the
+    whole text holds none), ``first`` that it is the first of its line. ``hits`` are the words and pairs of the
+    vocabulary that it holds, each once, ``rest`` is the root of the number of the others.
     """
-    body = F.regexp_replace(F.translate(docs["text"].cast("string"), BREAK, " "), r"[\r\n]+", f" {BREAK} ")
-    tokens = F.array_remove(F.split(F.lower(F.concat(body, F.lit(f" {BREAK}"))), rf"[^\p{{L}}\p{{N}}{BREAK}]+"), "")
-    out = docs.filter(docs["text"].isNotNull()).select(docs["doc_id"].alias("doc_id"), F.monotonically_increasing_id().alias("row"), tokens.alias("t"))
-    out = _once(out, "doc_id", "row", t=F.col("t"))
+    v = _vocabulary(docs.sparkSession)
+    body = F.lower(F.regexp_replace(F.translate(docs["text"].cast("string"), BREAK, " "), r"[\r\n]+", f" {BREAK} "))
+    out = _once(docs.filter(docs["text"].isNotNull()), docs["doc_id"].alias("doc_id"), body=body)
+    tokens = F.array_remove(F.split(F.concat("body", F.lit(f" {BREAK}")), rf"[^\p{{L}}\p{{N}}{BREAK}]+"), "")
+    about = lambda x: functools.reduce(lambda a, b: a | b, [x.contains(w) for w in STATED])
+    said = F.when(about(F.col("body")), F.transform(F.split("body", BREAK), about))
+    out = _once(out.select("doc_id", F.monotonically_increasing_id().alias("row"), "body"), "doc_id", "row", t=tokens, said=said)
     places = F.filter(F.transform("t", lambda x, i: F.when(x == BREAK, i)), lambda i: i.isNotNull())
-    out = _once(out, "doc_id", "row", w=F.array_remove("t", BREAK), ends=F.transform(places, lambda e, j: e - j))
+    out = _once(out, "doc_id", "row", "said", w=F.array_remove("t", BREAK), ends=F.transform(places, lambda e, j: e - j))
     # lines as (paragraph, first word, words, whether the next line has words)
     begin = lambda j: F.when(j == 0, F.lit(0)).otherwise(F.get("ends", j - 1))
-    lines = F.transform("ends", lambda e, j: F.struct(j.alias("k"), begin(j).alias("b"), (e - begin(j)).alias("n"), (F.coalesce(F.get("ends", j + 1), e) > e).alias("on")))
-    out = _once(out, "doc_id", "row", one=_singles(F.col("w")), two=_pairs(F.col("w")), lines=F.filter(lines, lambda x: x["n"] > 0))
+    lines = F.transform(
+        "ends",
+        lambda e, j: F.struct(
+            j.alias("k"), begin(j).alias("b"), (e - begin(j)).alias("n"), (F.coalesce(F.get("ends", j + 1), e) > e).alias("on"), (~F.coalesce(F.get("said", j), F.lit(False))).alias("plain")
+        ),
+    )
+    out = _once(out, "doc_id", "row", one=F.transform("w", lambda x: v.told(F.hash(x))), bare=F.col("said").isNull(), lines=F.filter(lines, lambda x: x["n"] > 0))
+    out = _once(out.filter(F.size("lines") > 0), "doc_id", "row", "one", "bare", "lines", two=v.told_pairs(F.col("one")))
 
     def inside(x: Column) -> Column:
         last = F.greatest(x["n"] - s.window, F.lit(0))
         steps = F.sequence(F.lit(0), F.ceil(last / s.step).cast("int"))
-        return F.transform(steps, lambda i: F.struct(x["k"].alias("k"), F.lit(True).alias("inner"), (x["b"] + F.least(i * s.step, last)).alias("at"), F.least(x["n"], F.lit(s.window)).alias("n")))
+        return F.transform(
+            steps,
+            lambda i: F.struct(
+                x["k"].alias("k"), F.lit(True).alias("inner"), (x["b"] + F.least(i * s.step, last)).alias("at"), F.least(x["n"], F.lit(s.window)).alias("n"), x["plain"].alias("plain"), (i == 0).alias("first")
+            ),
+        )
 
     def round_break(x: Column) -> Column:
         end = x["b"] + x["n"]
         at = F.greatest(end - s.window // 2, F.lit(0))
-        return F.struct(x["k"].alias("k"), F.lit(False).alias("inner"), at.alias("at"), (end - at + s.window // 2).alias("n"))
+        return F.struct(x["k"].alias("k"), F.lit(False).alias("inner"), at.alias("at"), (end - at + s.window // 2).alias("n"), F.col("bare").alias("plain"), F.lit(False).alias("first"))
 
     spans = F.concat(F.flatten(F.transform("lines", inside)), F.transform(F.filter("lines", lambda x: x["on"]), round_break))
-    out = _once(out, "doc_id", "row", one=F.col("one"), two=F.col("two"), lines=F.size("lines"), spans=spans)
-    cut = lambda x, c, n: F.slice(c, x["at"] + 1, n)
-    told = F.transform(
-        "spans",
-        lambda x, i: F.struct(
-            x["k"].alias("paragraph"),
-            x["inner"].alias("inner"),
-            x["at"].alias("at"),
-            F.concat(cut(x, "one", x["n"]), F.slice(cut(x, "two", x["n"]), F.lit(1), F.least(x["n"], F.size("one") - x["at"]) - 1)).alias("grams"),
-            F.when(i == 0, F.col("lines")).otherwise(0).alias("lines"),
-        ),
-    )
-    return out.filter("lines > 0").select("doc_id", "row", F.inline_outer(told))
+    out = _once(out, "doc_id", "row", "one", "two", spans=spans)
+    out = out.select("doc_id", "row", "one", "two", F.inline("spans"))
+    cut = lambda c: F.slice(c, F.col("at") + 1, F.col("n"))
+    # the pair of a window's last word leaves the window
+    ours = F.concat(cut("one"), F.slice(cut("two"), F.lit(1), F.greatest(F.least("n", F.size("one") - F.col("at")) - 1, F.lit(0))), F.array(F.lit(OTHER)))
+    out = _once(out, "doc_id", "row", "k", "inner", "at", "plain", "first", own=ours)
+    return out.select("doc_id", "row", F.col("k").alias("paragraph"), "inner", "at", "plain", "first", _hits(F.col("own")).alias("hits"), _rest(F.col("own")).alias("rest"))
+
+
+def window_kinds(cut: DataFrame, s: Settings) -> DataFrame:
+    """hits, rest, n, lines, common of windows with the same hits and rest: how many are plain, how many plain lines begin with one, and whether they share less than ``apart`` of any template."""
+    kinds = cut.groupBy("hits", "rest").agg(F.count_if("plain").alias("n"), F.count_if(F.col("plain") & F.col("first")).alias("lines"))
+    return kinds.withColumn("common", _vocabulary(cut.sparkSession).share("hits") < s.apart)
 
 
-def _features(df: DataFrame, s: Settings) -> DataFrame:
-    """df with features from its column ``grams``; a line without words has an empty vector."""
-    hashed = HashingTF(inputCol="grams", outputCol="_tf", numFeatures=1 << s.bits).transform(df)
-    return Normalizer(inputCol="_tf", outputCol="features").transform(hashed).drop("_tf")
+def _features(df: DataFrame) -> DataFrame:
+    """df with features from its columns ``hits`` and ``rest``: one for each word and pair of the vocabulary, one for all others; a line without words has an empty vector."""
+    v = _vocabulary(df.sparkSession)
+    terms = [str(h) for h in sorted({OTHER, *v.words, *v.pairs})]
+    counter = CountVectorizerModel.from_vocabulary(terms, inputCol="_grams", outputCol="_tf")
+    grams = df.withColumn("_grams", F.concat("hits", F.array_repeat(F.lit(OTHER), F.col("rest"))).cast("array<string>"))
+    return Normalizer(inputCol="_tf", outputCol="features").transform(counter.transform(grams)).drop("_tf", "_grams")
 
 
 class Classifier:
-    """The learned model and its families."""
+    """The model learned from all windows of a table, and its families.
 
-    def __init__(self, docs: DataFrame, s: Settings = Settings()):
-        spark = docs.sparkSession
-        self.s, self.families = s, [NONE, *TEMPLATES]
+    Windows with the same ``hits`` and ``rest`` are alike to the model: each kind of them (``window_kinds``) is learned from
+    once, weighted by how many there are.
+    """
+
+    def __init__(self, kinds: DataFrame, s: Settings = Settings()):
+        spark = kinds.sparkSession
+        self.s, self.families, self.vocabulary = s, [NONE, *TEMPLATES], _vocabulary(spark)
+        #: The least score of a row of ``unknown``; ``calibrate`` sets it.
+        self.threshold = s.least_score
         known = [(self.families.index(f), frame.format(t)) for f, ts in TEMPLATES.items() for t in ts for frame in FRAMES]
         known += [(0, d) for d in DECOYS for _ in range(4)]
-        stated = F.col("body").rlike(r"(?i)licen[sc]e|copyright|permission|warrant|SPDX")
-        # a bounded sample: lines of documents with small hashes, at any size of the table
-        part = max(1, docs.count() // (2 * s.sample))
-        some = docs.filter(F.pmod(F.xxhash64("doc_id", "text"), F.lit(part)) == 0)
-        plain = paragraphs(some).filter((F.length("body") <= s.sample_chars) & ~stated).select("body").distinct()
-        scratch = Scratch(spark, "licences")
-        every = scratch.save(plain.orderBy(F.xxhash64("body"), "body").limit(s.sample), "plain")
-        apart = F.pmod(F.xxhash64("body", F.lit(11)), F.lit(4)) == 0
-        plain, held_out = every.filter(~apart), every.filter(apart)
-        # all statements together weigh as much as the ordinary lines, and so do statements among ordinary words
-        weight = F.when(F.col("label") == 0, F.lit(1.0)).otherwise(F.lit(s.sample / len(known)))
-        seen = literal_rows(spark, "label int, body string", known).select("label", weight.alias("weight"), words(F.col("body")).alias("w"))
-        seen = seen.unionAll(plain.select(F.lit(0), F.lit(1.0), words(F.col("body")))).unionAll(self._among(plain))
-        seen = _features(seen.select("label", "weight", grams(F.col("w")).alias("grams")), s).coalesce(1).cache()
+        plain = kinds.filter((F.col("n") > 0) & F.col("common"))
+        total = plain.agg(F.sum("n")).first()[0] or 1
+        hits, rest = self.vocabulary.line(F.col("body"))
+        # all statements together weigh as much as the ordinary windows, and so do statements among ordinary words
+        seen = literal_rows(spark, "label int, body string", known).select("label", F.lit(WEIGHT / len(known)).alias("weight"), hits.alias("hits"), rest.alias("rest"))
+        weight = F.col("n") * F.lit(WEIGHT / total)
+        seen = seen.unionAll(plain.select(F.lit(0), weight, "hits", "rest")).unionAll(self._among(plain, weight))
+        seen = _features(seen).select("label", "weight", "features").persist(StorageLevel.MEMORY_AND_DISK)
         learner = LogisticRegression(family="multinomial", regParam=1e-5, maxIter=s.iterations, standardization=False, weightCol="weight")
         self.model = learner.fit(seen)
         seen.unpersist()
-        texts = literal_rows(spark, "family string, body string", [(f, t) for f, ts in TEMPLATES.items() for t in ts])
-        self.templates: dict[str, list[list[int]]] = {}
-        for r in texts.select("family", F.array_distinct(grams(words(F.col("body")))).alias("g")).collect():
-            self.templates.setdefault(r.family, []).append(r.g)
-        self.names = {f: [self._hashes(spark, line) for line in lines] for f, lines in NAMES.items()}
-        self.denials = self._hashes(spark, DENIALS)
-        self.threshold = self._calibrated(held_out)
-
-    def _calibrated(self, held_out: DataFrame) -> float:
-        """The score that at most ``missed`` of the held-out ordinary lines reach by their best window, ``least_score`` at least."""
-        told = self.scored(windows(held_out.select(F.xxhash64("body").alias("doc_id"), F.col("body").alias("text")), self.s).drop("lines"))
-        lines = told.groupBy("row", "paragraph").agg(F.floor(F.max("score") * BINS).cast("int").alias("b"))
-        counts = {r.b: r["count"] for r in lines.groupBy("b").count().collect()}
-        return max(self.s.least_score, edge(counts, BINS, self.s.missed * sum(counts.values())))
-
-    @staticmethod
-    def _hashes(spark: SparkSession, told: tuple[str, ...]) -> list[int]:
-        """Hashes of words and of pairs of words, as grams() makes them."""
-        rows = literal_rows(spark, "i int, w array<string>", [(i, t.split()) for i, t in enumerate(told)])
-        first, second = F.col("w")[0], F.get("w", F.lit(1))
-        return [r.h for r in rows.select("i", F.when(F.size("w") == 1, F.hash(first)).otherwise(F.hash(first, second)).alias("h")).orderBy("i").collect()]
-
-    def _among(self, plain: DataFrame) -> DataFrame:
-        """label, weight, w of statements in a window of words of an ordinary line; a line has as many of them as makes about ``sample``."""
-        s, n = self.s, max(plain.count(), 1)
+
+    def calibrate(self, found: DataFrame, lines: int) -> None:
+        """Sets the score that at most ``missed`` of all ``lines`` ordinary lines reach by their best window, ``least_score`` at least; ``found`` holds the windows that reach that."""
+        best = found.filter("plain").groupBy("row", "paragraph").agg(F.floor(F.max("score") * BINS).cast("int").alias("b"))
+        counts = {r.b: r["count"] for r in best.groupBy("b").count().collect()}
+        self.threshold = max(self.s.least_score, edge(counts, BINS, self.s.missed * lines))
+
+    def _among(self, plain: DataFrame, weight: Column) -> DataFrame:
+        """label, weight, hits, rest of a statement among the words of each kind of ordinary windows: it takes the place of some of them."""
         texts = [(k, self.families.index(f), t) for k, (f, t) in enumerate((f, t) for f, ts in TEMPLATES.items() for t in ts)]
-        each = min(max(s.sample // n, 1), len(texts))
-        texts = literal_rows(plain.sparkSession, "k int, label int, text string", texts).select("k", "label", words(F.col("text")).alias("own"))
-        first = F.xxhash64("body", F.lit(7))
-        lines = plain.select("body", words(F.col("body")).alias("w"), F.explode(F.sequence(F.lit(0), F.lit(each - 1))).alias("i"))
-        lines = lines.select("w", F.pmod(first + F.col("i"), F.lit(texts.count())).alias("k"), F.pmod(F.xxhash64("body", "i"), F.lit(s.window)).alias("cut").cast("int"))
-        room = F.greatest(s.window - F.size("own"), F.lit(0))
-        before = F.least("cut", room)
-        w = F.concat(F.slice("w", F.lit(1), before), F.col("own"), F.slice("w", before + 1, room - before))
-        return lines.join(F.broadcast(texts), "k").select("label", F.lit(s.sample / (n * each)), w)
+        own, rest = self.vocabulary.line(F.col("text"))
+        size = F.size(words(F.col("text")))
+        side = literal_rows(plain.sparkSession, "k int, label int, text string", texts).select("k", "label", own.alias("own"), rest.alias("left"), (F.lit(1.0) - F.least(size / self.s.window, F.lit(1.0))).alias("room"))
+        k = F.pmod(F.xxhash64("hits", "rest"), F.lit(len(texts))).cast("int")
+        both = plain.select("hits", "rest", weight.alias("weight"), k.alias("k")).join(F.broadcast(side), "k")
+        kept = F.filter("hits", lambda x: F.pmod(F.hash(x, F.lit(7)), F.lit(1000)) < F.col("room") * 1000)
+        others = F.ceil(F.sqrt(F.col("left") * F.col("left") + F.col("rest") * F.col("rest") * F.col("room"))).cast("int")
+        return both.select("label", "weight", F.array_sort(F.array_union("own", kept)), others)
 
     def scored(self, rows: DataFrame) -> DataFrame:
-        """rows(grams) with family (the likeliest but none) and score (its probability)."""
-        told = self.model.transform(_features(rows, self.s)).withColumn("p", vector_to_array("probability"))
+        """rows(hits, rest) with family (the likeliest but none) and score (its probability)."""
+        told = self.model.transform(_features(rows)).withColumn("p", vector_to_array("probability"))
         told = told.drop("features", "rawPrediction", "probability", "prediction")
         told = told.withColumn("p", F.slice("p", 2, len(self.families) - 1)).withColumn("score", F.array_max("p"))
         family = F.element_at(F.array(*[F.lit(f) for f in self.families[1:]]), F.array_position("p", F.col("score")).cast("int"))
@@ -266,14 +320,14 @@ class Classifier:
         """The greatest share of the words and word pairs of one of the family's templates that are among a window's.
 
         0 if the window lacks the family's name or version, or denies the statement."""
-        out = F.lit(None).cast("double")
-        for f, sets in self.templates.items():
+        v, out = self.vocabulary, F.lit(None).cast("double")
+        for f, sets in v.templates.items():
             shares = [F.size(F.array_intersect(own, F.array(*map(F.lit, has)))) / len(has) for has in sets]
             holds = lambda line: F.size(F.array_intersect(own, F.array(*map(F.lit, line)))) == len(set(line))
-            named = functools.reduce(lambda a, b: a | b, [holds(line) for line in self.names[f]])
+            named = functools.reduce(lambda a, b: a | b, [holds(line) for line in v.names[f]])
             share = F.greatest(*shares) if len(shares) > 1 else shares[0]
             out = F.when(family == f, F.when(named, share).otherwise(0.0)).otherwise(out)
-        return F.when(F.arrays_overlap(own, F.array(*map(F.lit, self.denials))), 0.0).otherwise(out)
+        return F.when(F.arrays_overlap(own, F.array(*map(F.lit, v.denials))), 0.0).otherwise(out)
 
 
 def edge(counts: dict[int, int], bins: int, allowed: float) -> float:
@@ -297,11 +351,19 @@ def scan(docs: DataFrame, model: Classifier | None = None, s: Settings = Setting
     an empty table gives none; other columns are ignored. Only windows that reach ``least_score``
     are shuffled.
     """
-    model, scratch = model or Classifier(docs, s), Scratch(docs.sparkSession, "licences")
-    s = model.s
-    found = model.scored(windows(docs, s).drop("lines")).filter(F.col("score") >= s.least_score)
-    found = scratch.save(found, "found")
-    found = found.withColumn("similarity", model.likeness(F.array_distinct("grams"), F.col("family"))).drop("grams")
+    scratch = Scratch(docs.sparkSession, "licences")
+    s = model.s if model else s
+    cut = scratch.save(windows(docs, s), "windows")
+    kinds = scratch.save(window_kinds(cut, s), "kinds")
+    learned = model or Classifier(kinds, s)
+    told = learned.scored(kinds).filter(F.col("score") >= s.least_score).withColumn("similarity", learned.likeness(F.col("hits"), F.col("family")))
+    told = scratch.save(told.drop("n", "lines"), "told")
+    found = cut.join(small_side(told, 64, F.size("hits") * 4), ["hits", "rest"]).withColumn("plain", F.col("plain") & F.col("common"))
+    found = scratch.save(found.drop("hits", "rest", "first", "common"), "found")
+    if model is None:
+        learned.calibrate(found, kinds.agg(F.sum("lines")).first()[0] or 0)
+    for name in ("windows", "kinds", "told"):
+        scratch.drop(name)
     found = found.withColumn("sure", F.col("similarity") >= s.likeness)
     told = F.when(F.col("sure"), F.col("similarity")).otherwise(F.lit(0.0))
     # what is told round a break counts only if no window that overlaps it tells the family as well
@@ -316,7 +378,7 @@ def scan(docs: DataFrame, model: Classifier | None = None, s: Settings = Setting
     rank = Window.partitionBy("row", "paragraph", F.when(F.col("sure"), F.col("family"))).orderBy(F.desc_nulls_last(F.when(F.col("sure"), F.col("similarity"))), F.desc("score"), "at", "family")
     found = scratch.save(found.withColumn("k", F.row_number().over(rank)).filter("k = 1"), "lines")
     scratch.drop("found")
-    found = found.filter(F.col("sure") | (F.col("score") >= model.threshold))
+    found = found.filter(F.col("sure") | (F.col("score") >= learned.threshold))
     confirmed = F.when(F.col("sure"), F.col("family")).otherwise(UNKNOWN)
     return found.select("doc_id", "paragraph", confirmed.alias("family"), F.col("family").alias("predicted"), "score", "similarity")
 
