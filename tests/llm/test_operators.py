@@ -445,6 +445,17 @@ def test_pieces_are_compared_with_the_library_both_ways():
                 v.encode_batch(texts)
 
 
+def test_pieces_of_marks_and_spaces_and_what_the_cache_holds():
+    """Marks in a text, runs of spaces and a zero character are as the library has them; a segment that decodes to itself is kept as its ids only."""
+    v = sentencepieces.Vocabulary(sentencepieces.default_model())
+    texts = [" ", "   ", "a▁b ▁ c", "▁▁x", "stone  bridge ", "a\0b c", "🙂▁🙂", "\ue000 x", "über die Brücke", "\n \n"]
+    for _ in range(2):
+        for t, (n, ids, text) in zip(texts, v.encode_batch(texts), strict=True):
+            want = v.library.encode(t)
+            assert ([int(x) for x in ids.split(b",") if x], text.decode(), n) == (want, v.library.decode(want), len(want)), t
+    assert isinstance(v.seen[" Brücke"], bytes) and isinstance(v.seen["  bridge"], bytes)
+
+
 def test_quality_learns_and_scores_empty_texts(spark):
     rows = [(i, ("good words flow along here " if i % 2 else "@@## $$ 11 %% ") * 5, "a") for i in range(200)] + [(900, None, "a"), (901, "", "a")]
     labels = spark.createDataFrame([(i, i % 2, 0) for i in range(200)], "doc_id long, quality int, toxic int")

@@ -24,7 +24,8 @@ from pyspark.sql import DataFrame, SparkSession
 from .scratch import read_table, small_batches
 
 MARK = "▁"
-CACHE = 150_000
+#: Segments of a generation of the cache; two are kept.
+CACHE = 300_000
 #: Texts are cut in blocks of at most so many characters (or one text), so that the lists of segments stay small.
 BLOCK_CHARS = 1 << 20
 #: Segments over this length aren't kept in the cache.
@@ -54,27 +55,32 @@ class Vocabulary:
             else:
                 plain.append((piece, m.get_score(i), i))
                 self.bytes_of.append(piece.replace(MARK, " ").encode())
+        # spaces stand for the mark from here on: most segments then take a byte for each character
         for piece, score, i in plain:
-            self.ids[piece] = i
-            self.rank[piece] = -score
-        if any(MARK in p.lstrip(MARK) for p in self.ids):
+            self.ids[piece.replace(MARK, " ")] = i
+            self.rank[piece.replace(MARK, " ")] = -score
+        if len(self.ids) < len(plain) or any(" " in p for p, _, _ in plain) or " " in m.normalize("a b"):
+            raise ValueError("spaces aren't marked: a mark and a space would be told as one")
+        if any(" " in p.lstrip(" ") for p in self.ids):
             raise ValueError("a piece holds a space after another character: segments would depend on each other")
         self.unknown = m.unk_id()
         self.told = [str(i).encode() for i in range(n)]
-        self.cut = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
-        self.seen: dict[str, tuple[bytes, bytes]] = {}
-        self.older: dict[str, tuple[bytes, bytes]] = {}
+        self.cut = re.compile(" *[^ ]+| +")
+        # ids as text of each segment; with the decoded text, only where that isn't the segment itself
+        self.seen: dict[str, bytes | tuple[bytes, bytes]] = {}
+        self.older: dict[str, bytes | tuple[bytes, bytes]] = {}
         # What this model's normaliser does besides marking spaces; most merge models do nothing else.
         self.prefix = m.normalize("a").startswith(MARK)
         probe = "Aﬁ ÅÅ  é\t\nＡ x "
         self.plain_text = m.normalize(probe) == (MARK if self.prefix else "") + probe.replace(" ", MARK)
 
     def normalise(self, text: str) -> str:
+        """The library's normal text, with spaces for its marks."""
         if not text:
             return ""
         if not self.plain_text or "\0" in text:
-            return self.library.normalize(text)
-        return (MARK if self.prefix else "") + text.replace(" ", MARK)
+            return self.library.normalize(text).replace(MARK, " ")
+        return (" " if self.prefix else "") + text.replace(MARK, " ")
 
     def merge(self, segment: str) -> list[int]:
         """Ids of a normalised segment by a score-ordered agenda of adjacent symbol pairs."""
@@ -107,19 +113,19 @@ class Vocabulary:
             if (i := self.ids.get(s)) is not None:
                 ids.append(i)
             elif self.byte_ids:
-                ids += [self.byte_ids[b] for b in s.encode()]
+                ids += [self.byte_ids[b] for b in s.replace(" ", MARK).encode()]
             else:
                 ids.append(self.unknown)
         return ids
 
-    def _learn(self, segments: list[str]) -> dict[str, tuple[bytes, bytes]]:
-        """Encodes segments, checks them against the library in one call, and returns (ids as text, decoded)."""
+    def _learn(self, segments: list[str]) -> dict[str, bytes | tuple[bytes, bytes]]:
+        """Encodes segments, checks them against the library in one call, and returns their ids as text, (ids as text, decoded) where they decode to another text."""
         made = [self.merge(s) for s in segments]
         if self.prefix:
             # the library puts its own space mark in front of what it is given
-            asked = [s[1:].replace(MARK, " ") if s[0] == MARK else None for s in segments]
+            asked = [s[1:] if s[0] == " " else None for s in segments]
         else:
-            asked = [s.replace(MARK, " ") for s in segments]
+            asked = segments
         known = [(a, ids) for a, ids in zip(asked, made, strict=True) if a and self.plain_text]
         theirs = self.library.encode([a for a, _ in known], num_threads=1)
         for (a, ids), own in zip(known, theirs, strict=True):
@@ -130,7 +136,8 @@ class Vocabulary:
         self._same_text(flat, self.decode(flat), self.library.decode(flat) if flat else "")
         of, told, out = self.bytes_of, self.told, {}
         for s, ids in zip(segments, made, strict=True):
-            out[s] = (b",".join([told[i] for i in ids]), b"".join([of[i] for i in ids]))
+            x, text = b",".join([told[i] for i in ids]), b"".join([of[i] for i in ids])
+            out[s] = x if text == s.encode() else (x, text)
         return out
 
     @staticmethod
@@ -148,7 +155,8 @@ class Vocabulary:
 
     def encode_batch(self, texts: list[str]) -> list[tuple[int, bytes, bytes]]:
         """(number of ids, ids in decimal joined by commas, decoded text in UTF-8) of each text."""
-        cuts = [self.cut.findall(self.normalise(t)) for t in texts]
+        normal = [self.normalise(t) for t in texts]
+        cuts = [self.cut.findall(t) for t in normal]
         need = set().union(*cuts) if cuts else set()
         get, older = self.seen, self.older
         found, new = {}, []
@@ -167,11 +175,15 @@ class Vocabulary:
                 get[s] = x
         if len(get) > CACHE:
             self.older, self.seen = get, {}
+        odd = {s: x for s, x in found.items() if type(x) is tuple}
+        found |= {s: x for s, (x, _) in odd.items()}
         out = []
-        for own in cuts:
-            parts = [found[s] for s in own]
-            ids = b",".join([p[0] for p in parts])
-            text = b"".join([p[1] for p in parts])
+        for whole, own in zip(normal, cuts, strict=True):
+            ids = b",".join([found[s] for s in own])
+            if odd and not odd.keys().isdisjoint(own):
+                text = b"".join([odd[s][1] if s in odd else s.encode() for s in own])
+            else:
+                text = whole.encode()
             if self.prefix and text[:1] == b" ":
                 text = text[1:]
             out.append((ids.count(b",") + 1 if ids else 0, ids, text))
