@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tidewheel.llm import crosspolytope, jaccard, licences, mixing, quality, repeats, sentencepieces, textblocks
+from tidewheel.llm import crosspolytope, jaccard, licences, mixing, quality, repeats, scratch, sentencepieces, textblocks
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, spans string"
 
@@ -456,6 +456,28 @@ def test_pieces_of_marks_and_spaces_and_what_the_cache_holds():
     assert isinstance(v.seen[" Brücke"], bytes) and isinstance(v.seen["  bridge"], bytes)
 
 
+def test_a_worker_lets_go_of_the_cache_at_a_task_of_another_operator(spark):
+    """Segments stay from task to task of the encoding; any other operator's task in that worker finds the cache empty, and ends with it so."""
+    path = sentencepieces.default_model()
+    v = sentencepieces.vocabulary(path)
+    v.encode_batch(["some words"])
+    assert list(scratch.trimmed(lambda batches: batches, keeps="sentencepieces")([1])) == [1] and sentencepieces.vocabulary(path) is v
+    assert list(scratch.trimmed(lambda batches: batches)([2])) == [2] and sentencepieces.vocabulary.cache_info().currsize == 0
+
+    def probe(batches):
+        import pyarrow as pa
+
+        from tidewheel.llm import sentencepieces
+
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([sentencepieces.vocabulary.cache_info().currsize] * b.num_rows, pa.int64())], ["kept"])
+
+    docs = make_docs(spark, [(i, prose(8, i), "a") for i in range(64)]).repartition(16)
+    assert sentencepieces.encode_documents(docs).count() == 64
+    kept = docs.select("doc_id").mapInArrow(scratch.trimmed(probe), "kept long").collect()
+    assert len(kept) == 64 and {r.kept for r in kept} == {0}
+
+
 def test_quality_learns_and_scores_empty_texts(spark):
     rows = [(i, ("good words flow along here " if i % 2 else "@@## $$ 11 %% ") * 5, "a") for i in range(200)] + [(900, None, "a"), (901, "", "a")]
     labels = spark.createDataFrame([(i, i % 2, 0) for i in range(200)], "doc_id long, quality int, toxic int")

@@ -161,10 +161,11 @@ def scorer(spark: SparkSession, weights: np.ndarray, s: Settings = Settings()):
     """A function of a text column to its score: only the text goes to Python, other columns of the row stay in the JVM."""
     shared = small_batches(spark).sparkContext.broadcast(weights)
 
-    def run(texts: pa.Array) -> pa.Array:
-        return pa.array(scores(texts, shared.value, s), pa.float64())
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for texts in batches:
+            yield pa.array(scores(texts, shared.value, s), pa.float64())
 
-    return F.arrow_udf(run, "double")
+    return F.arrow_udf(trimmed(run), "double")
 
 
 def score(docs: DataFrame, weights: np.ndarray, s: Settings = Settings(), keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:

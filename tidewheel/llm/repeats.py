@@ -340,7 +340,7 @@ def repeated_paths(docs: DataFrame, texts: DataFrame, scratch: Scratch, k: int =
 def _cut(k: int):
     """A function of (text, whether all its edges go, first edges, last edges of its paths) to (n_words, n_removed, kept)."""
 
-    def run(texts: pa.Array, copies: pa.Array, starts: pa.Array, ends: pa.Array) -> pa.Array:
+    def cut(texts: pa.Array, copies: pa.Array, starts: pa.Array, ends: pa.Array) -> pa.Array:
         n, gone, kept = [], [], []
         for first, _, data, offsets in blocks(text_array(texts)):
             w = Words(data, offsets)
@@ -361,7 +361,11 @@ def _cut(k: int):
         cols = [pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(kept, pa.string())]
         return pa.StructArray.from_arrays(cols, ["n_words", "n_removed", "kept"])
 
-    return F.arrow_udf(run, "n_words long, n_removed long, kept string")
+    def run(batches: Iterator[tuple[pa.Array, ...]]) -> Iterator[pa.Array]:
+        for batch in batches:
+            yield cut(*batch)
+
+    return F.arrow_udf(trimmed(run), "n_words long, n_removed long, kept string")
 
 
 def substring_dedup(docs: DataFrame, k: int = 13, m: int = 8, keep: tuple[str, ...] = ("doc_id",), unit: int = UNIT_BYTES, heavy: int = HEAVY_EDGES) -> DataFrame:

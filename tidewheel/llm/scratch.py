@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import functools
 import re
 import shutil
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -40,14 +42,29 @@ def small_batches(spark: SparkSession) -> SparkSession:
     return spark
 
 
-def trimmed(run):
-    """A function of batches that, at the end of a task, gives the memory that the worker has freed back to the machine: workers stay for the tasks of later stages."""
+#: What a worker keeps from task to task: functions that let go of it, by the operator that keeps it.
+KEPT: dict[str, Callable[[], None]] = {}
 
+
+def let_go(but: str = "") -> None:
+    """Empties what other operators than ``but`` keep in this worker."""
+    for name, empty in KEPT.items():
+        if name != but:
+            empty()
+
+
+def trimmed(run, keeps: str = ""):
+    """A function of batches that, at the end of a task, gives the memory that the worker has freed back to the machine: workers stay for the tasks of later stages.
+
+    What other operators than ``keeps`` have kept in the worker goes before the task begins."""
+
+    @functools.wraps(run)
     def told(batches):
         import ctypes
 
         import pyarrow as pa
 
+        let_go(keeps)
         yield from run(batches)
         pa.default_memory_pool().release_unused()
         with contextlib.suppress(OSError, AttributeError):  # only glibc has it

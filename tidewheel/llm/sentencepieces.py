@@ -21,7 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from .scratch import read_table, small_batches
+from .scratch import KEPT, read_table, small_batches, trimmed
 
 MARK = "▁"
 #: Segments of a generation of the cache; two are kept.
@@ -205,6 +205,9 @@ def vocabulary(path: str) -> Vocabulary:
     return Vocabulary(path)
 
 
+KEPT["sentencepieces"] = vocabulary.cache_clear
+
+
 def default_model() -> str:
     import public_tokenizers
 
@@ -229,8 +232,8 @@ def encode_documents(docs: DataFrame, model: str | None = None, with_ids: bool =
 
     A null or empty text has no ids and decodes to the empty text. Repeated rows give repeated
     rows, an empty table gives none, other columns are ignored. Nothing is shuffled; a task holds one
-    Arrow batch, blocks of about a million characters and a cache of bounded size. ``model`` is a
-    path that every machine can open.
+    Arrow batch, blocks of about a million characters and a cache of bounded size, which
+    a worker keeps until a task of another operator. ``model`` is a path that every machine can open.
     """
     path = model or default_model()
     small_batches(docs.sparkSession)
@@ -253,7 +256,7 @@ def encode_documents(docs: DataFrame, model: str | None = None, with_ids: bool =
                 yield pa.RecordBatch.from_arrays(cols, names)
 
     names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"] + ["ids"] * with_ids + ["decoded"] * with_text
-    return docs.select(docs["doc_id"].cast("long"), docs["text"].cast("string")).mapInArrow(run, schema)
+    return docs.select(docs["doc_id"].cast("long"), docs["text"].cast("string")).mapInArrow(trimmed(run, keeps="sentencepieces"), schema)
 
 
 def enumerate_blocks(column: pa.Array) -> Iterator[tuple[int, list[str]]]:
