@@ -15,6 +15,8 @@ from tidewheel.llm.textblocks import WORD
 
 #: Documents with a lower quality score are rejected.
 LEAST_QUALITY = 0.5
+#: Segments of a generation of the encoder's cache, and characters of its blocks: here workers share an executor with a JVM that earlier stages have filled.
+CACHE, BLOCK_CHARS = 40_000, 1 << 18
 
 
 def _packed(docs: DataFrame) -> DataFrame:
@@ -87,7 +89,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 and ids of each copy; a null text has no ids."""
-    return sentencepieces.encode_documents(docs, with_ids=True)
+    return sentencepieces.encode_documents(docs, with_ids=True, cache=CACHE, block_chars=BLOCK_CHARS)
 
 
 STAGES = [

@@ -478,6 +478,37 @@ def test_a_worker_lets_go_of_the_cache_at_a_task_of_another_operator(spark):
     assert len(kept) == 64 and {r.kept for r in kept} == {0}
 
 
+def test_a_smaller_cache_holds_less_and_tells_the_same_pieces(spark, monkeypatch):
+    """The pipeline's encoding keeps no more in a worker than its own bounds, whatever another encoding left there, and its rows are those of the large cache."""
+    import corpus_pipeline
+
+    v = sentencepieces.Vocabulary(sentencepieces.default_model())
+    v.encode_batch([" ".join(f"w{i}" for i in range(100))])
+    v.hold(50)
+    assert v.seen and v.most == 50
+    v.hold(40)
+    assert not v.seen and not v.older
+
+    def probe(batches):
+        import pyarrow as pa
+
+        from tidewheel.llm import sentencepieces
+
+        for b in batches:
+            v = sentencepieces.vocabulary(sentencepieces.default_model())
+            yield pa.RecordBatch.from_arrays([pa.array([len(v.seen) + len(v.older)] * b.num_rows, pa.int64())], ["kept"])
+
+    assert corpus_pipeline.CACHE < sentencepieces.CACHE
+    monkeypatch.setattr(corpus_pipeline, "CACHE", 50)
+    monkeypatch.setattr(corpus_pipeline, "BLOCK_CHARS", 200)
+    docs = make_docs(spark, [(i, " ".join(f"w{i}x{k}" for k in range(40)), "a") for i in range(64)]).repartition(16)
+    want = sorted(sentencepieces.encode_documents(docs, with_ids=True).collect())
+    assert sorted(corpus_pipeline.encode(spark, docs, "").collect()) == want and len(want) == 64
+    kept = docs.select("doc_id").mapInArrow(scratch.trimmed(probe, keeps="sentencepieces"), "kept long").collect()
+    # a generation ends after the block that fills it, of one text of 40 segments here
+    assert len(kept) == 64 and max(r.kept for r in kept) <= 2 * (50 + 40)
+
+
 def test_quality_learns_and_scores_empty_texts(spark):
     rows = [(i, ("good words flow along here " if i % 2 else "@@## $$ 11 %% ") * 5, "a") for i in range(200)] + [(900, None, "a"), (901, "", "a")]
     labels = spark.createDataFrame([(i, i % 2, 0) for i in range(200)], "doc_id long, quality int, toxic int")

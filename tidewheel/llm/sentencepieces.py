@@ -69,11 +69,18 @@ class Vocabulary:
         # ids as text of each segment; with the decoded text, only where that isn't the segment itself
         self.seen: dict[str, bytes | tuple[bytes, bytes]] = {}
         self.older: dict[str, bytes | tuple[bytes, bytes]] = {}
+        self.most = CACHE
         # What this model's normaliser does besides marking spaces; most merge models do nothing else.
         self.prefix = m.normalize("a").startswith(MARK)
         probe = "Aﬁ ÅÅ  é\t\nＡ x "
         self.plain_text = m.normalize(probe) == (MARK if self.prefix else "") + probe.replace(" ", MARK)
 
+    def hold(self, most: int) -> None:
+        """From now on a generation of the cache has ``most`` segments; a cache with more than two of them is emptied."""
+        self.most = most
+        if len(self.seen) + len(self.older) > 2 * most:
+            self.seen, self.older = {}, {}
+
     def normalise(self, text: str) -> str:
         """The library's normal text, with spaces for its marks."""
         if not text:
@@ -173,7 +180,7 @@ class Vocabulary:
         for s, x in learned.items():
             if len(s) <= LONG:
                 get[s] = x
-        if len(get) > CACHE:
+        if len(get) > self.most:
             self.older, self.seen = get, {}
         odd = {s: x for s, x in found.items() if type(x) is tuple}
         found |= {s: x for s, (x, _) in odd.items()}
@@ -214,11 +221,11 @@ def default_model() -> str:
     return public_tokenizers.path("piece_bpe_32k.model")
 
 
-def text_blocks(texts: list[str | None]) -> Iterator[list[str]]:
+def text_blocks(texts: list[str | None], most: int = BLOCK_CHARS) -> Iterator[list[str]]:
     block, size = [], 0
     for t in texts:
         t = t or ""
-        if block and size + len(t) > BLOCK_CHARS:
+        if block and size + len(t) > most:
             yield block
             block, size = [], 0
         block.append(t)
@@ -227,13 +234,14 @@ def text_blocks(texts: list[str | None]) -> Iterator[list[str]]:
         yield block
 
 
-def encode_documents(docs: DataFrame, model: str | None = None, with_ids: bool = False, with_text: bool = False) -> DataFrame:
+def encode_documents(docs: DataFrame, model: str | None = None, with_ids: bool = False, with_text: bool = False, cache: int = CACHE, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 of each row of docs(doc_id, text); ids (array<int>) and decoded on demand.
 
     A null or empty text has no ids and decodes to the empty text. Repeated rows give repeated
     rows, an empty table gives none, other columns are ignored. Nothing is shuffled; a task holds one
-    Arrow batch, blocks of about a million characters and a cache of bounded size, which
-    a worker keeps until a task of another operator. ``model`` is a path that every machine can open.
+    Arrow batch, blocks of about ``block_chars`` characters and a cache of bounded size, which
+    a worker keeps until a task of another operator. ``model`` is a path that every machine can open;
+    ``cache`` is the number of segments in each of the cache's two generations: with fewer, more are merged anew.
     """
     path = model or default_model()
     small_batches(docs.sparkSession)
@@ -242,8 +250,9 @@ def encode_documents(docs: DataFrame, model: str | None = None, with_ids: bool =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = vocabulary(path)
+        v.hold(cache)
         for batch in batches:
-            for i, block in enumerate_blocks(batch.column(1)):
+            for i, block in enumerate_blocks(batch.column(1), block_chars):
                 told = v.encode_batch(block)
                 cols = [batch.column(0).slice(i, len(block)), pa.array([n for n, _, _ in told], pa.int64())]
                 cols += [pa.array([hashlib.sha256(t[k]).hexdigest() for t in told], pa.string()) for k in (1, 2)]
@@ -259,11 +268,11 @@ def encode_documents(docs: DataFrame, model: str | None = None, with_ids: bool =
     return docs.select(docs["doc_id"].cast("long"), docs["text"].cast("string")).mapInArrow(trimmed(run, keeps="sentencepieces"), schema)
 
 
-def enumerate_blocks(column: pa.Array) -> Iterator[tuple[int, list[str]]]:
+def enumerate_blocks(column: pa.Array, most: int = BLOCK_CHARS) -> Iterator[tuple[int, list[str]]]:
     """(first row, texts) of blocks of an Arrow column."""
     at = 0
     for start in range(0, len(column), 256):
-        for block in text_blocks(column.slice(start, 256).to_pylist()):
+        for block in text_blocks(column.slice(start, 256).to_pylist(), most):
             yield at, block
             at += len(block)
 
